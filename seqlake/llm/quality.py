@@ -14,7 +14,7 @@ from .common import blobs, stage, table
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Transformed statistics of a text, and the least standard deviation that each is taken to have.
-FEATURES = {"x_length": 0.6, "x_words": 0.08, "x_symbols": 0.06, "x_lines": 0.1, "x_repeats": 0.1, "x_upper": 0.08, "x_marks": 0.12, "x_digits": 0.1}
+FEATURES = {"x_length": 0.6, "x_words": 0.08, "x_symbols": 0.06, "x_lines": 0.1, "x_repeats": 0.1, "x_upper": 0.08, "x_marks": 0.12, "x_digits": 0.1, "x_stutter": 0.1}
 #: A group of fewer texts is pooled with its language's, and then with all such.
 GROUP = 100
 #: Share of a group that the determinant is minimised over, concentration steps, and the distance that rejects.
@@ -47,7 +47,7 @@ def _repeated(words: list[bytes], size: int) -> int:
 
 
 def counts(text: bytes) -> tuple[int, ...]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, upper, letters, marks, digits) of a whole text."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, upper, marks, digits, stutter) of a whole text."""
     words = text.split()
     joined = b"".join(words)
     readable = joined.decode()
@@ -57,10 +57,10 @@ def counts(text: bytes) -> tuple[int, ...]:
     upper = sum(map(str.__ne__, readable, lower)) if len(lower) == len(readable) and readable != lower else 0
     marks = len(joined) - len(joined.translate(_NO_SYMBOL, b"!?;:^~_=+/\\()[]{}\"'`@"))
     digits = len(joined) - len(joined.translate(_NO_SYMBOL, b"0123456789"))
-    return len(words), len(readable), symbols, len(lines) - len(set(lines)), _repeated(words, WINDOW), upper, marks, digits
+    return len(words), len(readable), symbols, len(lines) - len(set(lines)), _repeated(words, WINDOW), upper, marks, digits, sum(map(bytes.__eq__, words, words[1:]))
 
 
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "upper", "marks", "digits")
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "upper", "marks", "digits", "stutter")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -89,6 +89,7 @@ def _features() -> dict[str, Column]:
         "x_upper": F.sqrt(F.col("upper") / chars),
         "x_marks": F.sqrt(F.col("marks") / words),
         "x_digits": F.sqrt(F.col("digits") / chars),
+        "x_stutter": F.sqrt(F.col("stutter") / words),
     }
     return {name: F.round(x * 1024) / 1024 for name, x in raw.items()}
 
@@ -155,8 +156,8 @@ def _concentrate(df: DataFrame, model: DataFrame) -> DataFrame:
     return sums.mapInArrow(run, "g string, m array<double>, p array<double>")
 
 
-#: What the covariance of the nearest three quarters of an 8-dimensional normal sample is to be multiplied by.
-_CONSISTENT = 1.45
+#: What the covariance of the nearest three quarters of a 9-dimensional normal sample is to be multiplied by.
+_CONSISTENT = 1.4
 
 
 def judge(docs: DataFrame) -> DataFrame:
