@@ -155,13 +155,13 @@ def op8_sql() -> str:
     templates = ", ".join(f"('{label}', '{text.replace(chr(39), chr(39) * 2)}')" for label, text in TEMPLATES.items())
     phrases = ", ".join(f"({list(p.split())}, '{label}')" for p, label in PHRASES.items())
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    pick = lambda x: f"list_filter(regexp_split_to_array({lower(x)}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '')"
+    pick = lambda x: f"list_filter(regexp_split_to_array({lower(x)}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
     return f"""
 WITH templates AS (SELECT label, list_distinct({pick('text')}) AS ws FROM (VALUES {templates}) t(label, text)),
 phrases AS (SELECT * FROM (VALUES {phrases}) t(ws, label)),
 docs AS (SELECT doc_id, text, {pick("coalesce(text, '')")} AS ws FROM documents),
 places AS (
-  SELECT doc_id, label, unnest(list_filter(range(0, len(docs.ws)), i -> docs.ws[i + 1] = phrases.ws[1] AND docs.ws[i + 1:i + len(phrases.ws)] = phrases.ws)) AS place
+  SELECT doc_id, label, unnest(list_filter(range(0, len(docs.ws)), lambda i: docs.ws[i + 1] = phrases.ws[1] AND docs.ws[i + 1:i + len(phrases.ws)] = phrases.ws)) AS place
   FROM docs, phrases WHERE list_contains(docs.ws, phrases.ws[1])),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
 blocks AS (SELECT doc_id, {pick('block')} AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS block FROM docs)),
