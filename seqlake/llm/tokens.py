@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import blobs, slices, table
 
 #: Where the public tokenizers lie, and the vocabulary that the registered query counts with.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Nodes that a task's trie may have before it starts anew.
-NODES = 400_000
+#: Bytes of text whose new pre-tokens make one walk, and terminals that a task may keep before it starts anew.
+CHUNK, TERMINALS = 8 << 20, 400_000
 #: What begins a word, and what a character outside the vocabulary costs a byte, in nats below the rarest piece.
 WORD, PENALTY = "▁", 2.0
 
@@ -34,86 +35,78 @@ def load(path: str) -> dict[str, float]:
     return {p: -math.log(k + 2.7) - total for k, p in enumerate(pieces)}
 
 
-class Trie(dict):
-    """Token counts of pre-tokens: trie[word] is the count of its best segmentation.
+class Trie:
+    """Token counts of pre-tokens, by one walk over the trie of those that are new.
 
-    A node stands for a prefix and holds the best score of its segmentations and that one's number of tokens, worked
-    out once from its ancestors for all pre-tokens that share it. Terminal counts are kept as the dictionary's values.
-    A tie goes to fewer tokens. A character in no piece is a token for each of its bytes.
+    Sorted pre-tokens are the trie in depth-first order. A node stands for a prefix and has the best score of its
+    segmentations and that one's number of tokens; the walk keeps those of the nodes above it, so each is worked out
+    once for all pre-tokens that share the prefix, and stores the count at every terminal. A tie goes to fewer tokens.
+    A character in no piece is a token for each of its bytes.
     """
 
     def __init__(self, pieces: dict[str, float]):
-        super().__init__()
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+        #: The pieces and, without a score, the ends of pieces: past what it lacks, no longer candidate need be tried.
+        self.ending: dict[str, float | None] = {p[k:]: None for p in pieces for k in range(1, len(p))} | pieces
         self.unknown = min(pieces.values(), default=0.0) - PENALTY
-        self.clear_nodes()
-
-    def clear_nodes(self) -> None:
-        self.clear()
-        self.child: dict[str, tuple[float, int]] = {"": (0.0, 0)}
-
-    def __missing__(self, word: str) -> int:
-        if len(self.child) > NODES:
-            self.clear_nodes()
-        text, child, get = WORD + word, self.child, self.pieces.get
-        known = len(text)
-        if text not in child:
-            low = 0
-            while low < known:  # the longest prefix that has a node; a prefix of one has one
-                middle = (low + known + 1) // 2
-                if text[:middle] in child:
-                    low = middle
-                else:
-                    known = middle - 1
-        path = [child[text[:n]] for n in range(max(0, known + 1 - self.longest), known + 1)]
-        first = known + 1 - len(path)
-        for end in range(known + 1, len(text) + 1):
-            score, count = path[end - 1 - first]
-            size = len(text[end - 1].encode())
-            best, tokens = score + size * self.unknown, count + size
-            for start in range(max(first, end - self.longest), end):
-                value = get(text[start:end])
-                if value is not None:
-                    score, count = path[start - first]
-                    value += score
-                    if value > best or value == best and count + 1 < tokens:
-                        best, tokens = value, count + 1
-            path.append((best, tokens))
-            if end <= 64:  # deeper prefixes are hardly shared, and would make a long text's keys quadratic
-                child[text[:end]] = (best, tokens)
-        if len(text) <= 64:
-            self[word] = path[-1][1]
-        return path[-1][1]
+        self.count: dict[bytes, int] = {}
+
+    def insert(self, words: Iterable[bytes]) -> None:
+        """Store the terminal counts of pre-tokens, given as UTF-8."""
+        if len(self.count) > TERMINALS:
+            self.count.clear()
+        get, unknown, count = self.ending.get, self.unknown, self.count
+        best, tokens = [0.0], [0]
+        before = ""
+        for word in sorted(set(words).difference(count)):
+            text = WORD + word.decode()
+            shared, most = 0, min(len(text), len(before))
+            while shared < most and text[shared] == before[shared]:
+                shared += 1
+            del best[shared + 1 :], tokens[shared + 1 :]
+            for end in range(shared + 1, len(text) + 1):
+                score = number = None
+                for start in range(end - 1, -1, -1):
+                    value = get(text[start:end], 0)
+                    if value == 0:
+                        break
+                    if value is not None:
+                        value += best[start]
+                        if score is None or value > score or value == score and tokens[start] < number:
+                            score, number = value, tokens[start]
+                if number is not None:
+                    number += 1
+                if get(text[end - 1]) is None:
+                    size = len(text[end - 1].encode())
+                    value = best[end - 1] + size * unknown
+                    if score is None or value > score:
+                        score, number = value, tokens[end - 1] + size
+                best.append(score)
+                tokens.append(number)
+            count[word] = tokens[-1]
+            before = text
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row's whole text.
 
     Pre-tokens are runs of characters other than ASCII white space, each with a mark of its beginning. A task inserts
-    the different pre-tokens of its rows into a trie, so no row is moved; NODES bounds its memory. A null text has no
+    the different pre-tokens of its rows into a trie, so no row is moved; TERMINALS and CHUNK bound its memory. A null text has no
     tokens; repeated rows repeat; an empty table gives no rows; other columns are ignored.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load(vocabulary))  # a vocabulary's size, which is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(pieces.value)
-        count = trie.__getitem__
-        for batch in batches:
-            words, tokens = [], []
-            for text in batch.column("text").to_pylist():
-                found = (text or "").translate(_SPACES).split(" ")
-                found = list(filter(None, found))
-                words.append(len(found))
-                tokens.append(sum(map(count, found)))
+        for batch in slices(batches, "text", CHUNK):
+            found = [text.split() for text in blobs(batch.column("text"))]
+            trie.insert(chain.from_iterable(found))
+            count = trie.count.__getitem__
+            words, tokens = [len(x) for x in found], [sum(map(count, x)) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")
 
 
-_SPACES = dict.fromkeys(range(9, 14), " ")
-
-
 def op4_unigram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
