@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,23 +14,49 @@ from pyspark.sql import functions as F
 from .common import blobs, partitions, runs, stage, table
 from .components import connected_components
 
-#: Fingerprints of at most so many differing bits are linked.
-RADIUS = 4
-#: Disjoint bit ranges, one more than RADIUS: two linked fingerprints agree on one of them entirely.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How texts are printed and prints are linked.
+
+    Prints are `longs` numbers of 64 bits and link at `radius` or fewer differing bits. `blocks` are the (number,
+    first bit, bits) of the bit ranges by which prints are dealt to shards: prints meet if they agree on one.
+    """
+
+    size: int = 4
+    longs: int = 1
+    radius: int = 4
+    blocks: tuple[tuple[int, int, int], ...] = ((0, 0, 13), (0, 13, 13), (0, 26, 13), (0, 39, 13), (0, 52, 12))
+
+
+#: Links at 4 bits, of which none is missed: five disjoint blocks, so that linked prints agree on one entirely.
+EXACT = Scheme()
+#: Shingles of five words of which two texts share 0.8: 256 bits of which 0.151 (the angle between the texts' shingle
+#: sets) differ. A pair at that similarity agrees on one of the 20 blocks with probability 0.95, one at 0.9 with 0.999.
+SIMILAR = Scheme(5, 4, 38, tuple((n, 12 * k, 12) for n in range(4) for k in range(5)))
 #: A shard of more fingerprints is split again by distance from two vantage points.
 SHARD = 50_000
-#: Width of a cell of distances, above RADIUS.
-CELL = 8
 LEAF = 512
-_SHINGLES = 1 << 16
+_SHINGLES = 1 << 14
+_SEEDS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def _derived(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Further 64-bit hashes of what `hashes` are of; seed 0 leaves them as they are."""
+    if not seed:
+        return hashes
+    x = (hashes ^ np.uint64(seed)) * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(29))
 
 
-def fingerprint(text: bytes, size: int = 4) -> int:
-    """SimHash of a text's word shingles as an unsigned number; no words give 0, fewer than `size` a single shingle."""
+def fingerprint(text: bytes, size: int = 4, longs: int = 1) -> np.ndarray:
+    """SimHash of a text's word shingles as uint64 numbers; no words give 0, fewer than `size` a single shingle."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(longs, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -37,22 +64,29 @@ def fingerprint(text: bytes, size: int = 4) -> int:
     size = min(size, len(words))
     xxh64 = xxhash.xxh64_intdigest
     first, last = starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((longs, 64), np.int64)
     for k in range(0, len(first), _SHINGLES):
         hashes = np.array([xxh64(joined[i:j], 42) for i, j in zip(first[k : k + _SHINGLES], last[k : k + _SHINGLES])], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(first), bitorder="little").view(np.uint64)[0])
+        for n in range(longs):
+            counts[n] += np.unpackbits(_derived(hashes, _SEEDS[n]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(first), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """(doc_id, fp long: the fingerprint's bits) of every whole text; a null text has no words."""
+def _columns(scheme: Scheme) -> list[str]:
+    return [f"f{n}" for n in range(scheme.longs)]
+
+
+def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """(doc_id, f0, ...: the print's bits as longs) of every whole text; a null text has no words."""
+    columns = _columns(scheme)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, size) for t in blobs(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, scheme.size, scheme.longs) for t in blobs(batch.column(1))], np.uint64).view(np.int64).reshape(-1, scheme.longs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, n]) for n in range(scheme.longs))], names=["doc_id", *columns])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in columns))
 
 
 class Links:
@@ -73,17 +107,22 @@ class Links:
                 self.root = deeper
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances between all of two sets of prints (rows of uint64)."""
+    return sum(np.bitwise_count(a[:, None, n] ^ b[None, :, n]).astype(np.int16) for n in range(a.shape[1]))
+
+
 def _across(fps: np.ndarray, one: np.ndarray, two: np.ndarray, radius: int, links: Links) -> None:
     """Link what is near between two sets of positions, block by block."""
     for i in range(0, len(one), LEAF):
         for j in range(0, len(two), LEAF):
             a, b = one[i : i + LEAF], two[j : j + LEAF]
-            x, y = np.nonzero(np.bitwise_count(fps[a][:, None] ^ fps[b][None, :]) <= radius)
+            x, y = np.nonzero(_distances(fps[a], fps[b]) <= radius)
             links.add(a[x], b[y])
 
 
-def link_shard(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each distinct uint64 fingerprint the position of its component's first member within this shard.
+def link_shard(fps: np.ndarray, radius: int) -> np.ndarray:
+    """For each distinct print (a row of uint64) the position of its component's first member within this shard.
 
     A vantage-point tree: each node splits its members at the median Hamming distance from a vantage point. By the
     triangle inequality a linked pair that the split separates lies within `radius` of the boundary, distance shell by
@@ -96,69 +135,92 @@ def link_shard(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         if len(members) <= LEAF:
             _across(fps, members, members, radius, links)
             continue
-        far = np.bitwise_count(fps[members] ^ fps[members[0]]).astype(np.int16)
+        far = _distances(fps[members], fps[members[:1]])[:, 0]
         middle = int(np.median(far))
         if middle == far.max():
             middle = int(far[far < middle].max())
         todo += [members[far <= middle], members[far > middle]]
-        for shell in range(max(0, middle - radius + 1), middle + 1):
+        for shell in np.unique(far[(far <= middle) & (far > middle - radius)]).tolist():
             _across(fps, members[far == shell], members[(far > middle) & (far <= shell + radius)], radius, links)
     return links.root
 
 
-def _routed(nodes: DataFrame) -> DataFrame:
-    """(shard string, fp): each fingerprint in the shard of each of its blocks; crowded shards split by distance cells.
+def _routed(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """nodes with their shard: each print in the shard of each of its blocks; crowded shards split by distance cells.
 
-    A crowded shard has two vantage points, its smallest and largest fingerprint. A member goes to the cell of its
-    two distances, and where it is within RADIUS of the next cell's lower boundary also there, as a query.
+    A crowded shard has two vantage points, its least and greatest print. A member goes to the cell of its two
+    distances, cells being wider than the radius, and where it is within the radius of the next cell's lower boundary
+    also there, as a query.
     """
-    blocks = [F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1) + (tree << 13) for tree, (at, bits) in enumerate(BLOCKS)]
-    dealt = nodes.select("fp", F.explode(F.array(*blocks)).alias("block"))
-    crowded = dealt.groupBy("block").agg(F.count("*").alias("n"), F.min("fp").alias("near"), F.max("fp").alias("far")).filter(F.col("n") > SHARD)
+    columns = _columns(scheme)
+    blocks = [F.shiftrightunsigned(f"f{n}", at).bitwiseAND((1 << bits) - 1) + (tree << 13) for tree, (n, at, bits) in enumerate(scheme.blocks)]
+    dealt = nodes.select("node", *columns, F.explode(F.array(*blocks)).alias("block"))
+    print_ = F.struct(*columns)
+    crowded = dealt.groupBy("block").agg(F.count("*").alias("n"), F.min(print_).alias("near"), F.max(print_).alias("far")).filter(F.col("n") > SHARD)
+    width = 2 * scheme.radius
 
     def cells(vantage: str):
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.col(vantage)))
-        home = F.floor(d / CELL)
-        return F.when(d % CELL >= CELL - RADIUS, F.array(home, home + 1)).otherwise(F.array(home))
+        d = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{vantage}.{c}"))) for c in columns), F.lit(0))
+        home = F.floor(d / width)
+        return F.when(d % width >= width - scheme.radius, F.array(home, home + 1)).otherwise(F.array(home))
 
     split = F.flatten(F.transform(cells("near"), lambda x: F.transform(cells("far"), lambda y: F.concat_ws(".", x, y))))
     cell = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(""))).otherwise(split))
-    return dealt.join(crowded, "block", "left").select("fp", "block", cell.alias("cell")).select(F.concat_ws("/", "block", "cell").alias("shard"), "fp")
+    routed = dealt.join(crowded, "block", "left").select("node", *columns, "block", cell.alias("cell"))
+    return routed.select(F.concat_ws("/", "block", "cell").alias("shard"), "node", *columns)
 
 
-def near_links(nodes: DataFrame) -> DataFrame:
-    """(a, b) of distinct fingerprints `nodes(fp)`: links that join all those, and only those, of one component."""
+def near_links(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """(a, b) of distinct prints nodes(node, f0, ...): links that join all those, and only those, of one component."""
+    columns = _columns(scheme)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, "shard"):
-            fps = np.unique(rows.column("fp").to_numpy())
-            roots = link_shard(fps.view(np.uint64))
+            node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
+            fps = np.stack([rows.column(c).to_numpy()[at] for c in columns], axis=1).view(np.uint64)
+            roots = link_shard(fps, scheme.radius)
             tied = np.flatnonzero(roots != np.arange(len(fps)))
             if len(tied):
-                yield pa.RecordBatch.from_arrays([pa.array(fps[tied]), pa.array(fps[roots[tied]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[roots[tied]])], names=["a", "b"])
 
-    routed = _routed(nodes).repartition(partitions(nodes.sparkSession), "shard").sortWithinPartitions("shard")
+    routed = _routed(nodes, scheme).repartition(partitions(nodes.sparkSession), "shard").sortWithinPartitions("shard")
     return routed.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text).
 
-    Fingerprints within RADIUS bits are linked and links are transitive; component_id is the smallest doc_id
-    reachable. Equal fingerprints meet as one node, so copies cost a group, not pairs. Nodes are dealt to the shards
-    of five 13-bit blocks (two linked fingerprints agree on one block, which is distance 0 there), each shard is
+    Prints within the scheme's radius are linked and links are transitive; component_id is the smallest doc_id
+    reachable. Equal prints meet as one node, so copies cost a group, not pairs. Nodes are dealt to the shards of the
+    scheme's blocks (within EXACT, two linked prints agree on one block, which is distance 0 there), each shard is
     searched by a vantage-point tree, and shards of over SHARD nodes are first partitioned by Hamming distance with
     the overlap that the triangle bound asks for. Repeated rows give repeated rows; a null doc_id links like any
     other but is never a component_id unless the whole component has none; an empty table gives no rows; other
     columns are ignored.
     """
-    prints = stage(fingerprints(docs, size))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_links(nodes.select("fp")))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    columns = _columns(scheme)
+    node = F.col("f0") if scheme.longs == 1 else F.xxhash64(*columns)
+    prints = stage(fingerprints(docs, scheme).withColumn("node", node))
+    nodes = prints.groupBy("node", *columns).agg(F.min("doc_id").alias("least"))
+    roots = connected_components(near_links(nodes, scheme)).withColumnRenamed("node", "_node")
+    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = rooted.join(least, "root").select("node", "component_id")
+    return prints.join(found, "node").select("doc_id", F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in columns)).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their component, with all their columns.
+
+    Of rows that share a doc_id one stays. Rows without a doc_id stay unless their component has one.
+    """
+    found = stage(near_duplicates(docs, scheme).select("doc_id", "component_id"))
+    ids = F.col("doc_id").cast("long")
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if not again.isEmpty():
+        docs = docs.dropDuplicates(["doc_id"])
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, ids.eqNullSafe(F.col("_id")), "left_anti")
 
 
 def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
