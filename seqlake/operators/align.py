@@ -39,8 +39,38 @@ def _pairs(function, kind: DataType):
     return F.pandas_udf(run, kind)
 
 
-#: Gapless score of two letter columns, Arrow batch by batch.
-gapless_score = _pairs(lambda x, y: gapless(x, y)[0], IntegerType())
+def gapless_batch(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 20) -> np.ndarray:
+    """gapless()'s score of many pairs, a row of all pairs' tables at a time; `cells` bounds what is held."""
+    out = np.zeros(len(pairs), np.int32)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    start = 0
+    while start < len(order):
+        width, stop = max(1, len(pairs[order[start]][1])), start + 1
+        while stop < len(order) and (stop + 1 - start) * max(1, len(pairs[order[stop]][1])) <= cells and len(pairs[order[stop]][1]) <= 2 * width:
+            stop += 1
+        some = [pairs[k] for k in order[start:stop]]
+        m, n = max(len(a) for a, _ in some), max(len(b) for _, b in some)
+        a, b = np.full((len(some), m), -1, np.int32), np.full((len(some), n), -2, np.int32)
+        for k, (x, y) in enumerate(some):
+            a[k, : len(x)], b[k, : len(y)] = x, y
+        row, best = np.zeros((len(some), n + 1), np.int32), np.zeros(len(some), np.int32)
+        for i in range(m):
+            fresh = np.zeros_like(row)
+            np.add(row[:, :-1], np.where(b == a[:, i : i + 1], MATCH, MISMATCH), out=fresh[:, 1:])
+            np.maximum(fresh, 0, out=fresh)
+            row = fresh
+            np.maximum(best, row.max(axis=1), out=best)
+        out[order[start:stop]] = best
+        start = stop
+    return out
+
+
+@F.pandas_udf(IntegerType())
+def gapless_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Gapless score of two letter columns, Arrow batch by batch."""
+    return pd.Series(gapless_batch([(np.asarray(x), np.asarray(y)) for x, y in zip(a, b)]))
+
+
 gapless_place = _pairs(lambda x, y: list(gapless(x, y)), ArrayType(IntegerType()))
 
 
