@@ -32,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files go when the driver's JVM ends.
+    The files go with unstage(), at the latest when the driver's JVM ends. Shuffles that nothing refers to any more
+    go at once: Spark's cleaner waits for the driver's garbage collection, which a large job may never see.
     """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
@@ -40,7 +41,17 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    jvm.System.gc()
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = at
+    return staged
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete the files of stage()'s results that nothing will read again."""
+    for df in staged:
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        df.staged_at.getFileSystem(conf).delete(df.staged_at, True)
 
 
 def partitions(spark: SparkSession) -> int:

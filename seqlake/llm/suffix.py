@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, flat, partitions, runs, slices, stage, table
+from .common import blobs, flat, partitions, runs, slices, stage, table, unstage
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 200
@@ -20,7 +20,7 @@ GRAM = 32
 #: Bytes of text taken into numpy at a time, and bytes of one suffix array.
 CHUNK, SHARD = 1 << 18, 1 << 20
 #: A gram with more different surroundings than this, and than this share of all, is a late choice as anchor.
-CROWD, SHARE = 2000, 50_000
+CROWD, SHARE = 10_000, 50_000
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
 _POSITION = 21  # bits for positions within a chunk, which has at most 2 MB unless a single text is longer
@@ -295,7 +295,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["gram", "context", "n", "bytes"])
 
-    return docs.select("k", "text").dropDuplicates(["k"]).join(lists, "k").select("text", "asked").mapInArrow(run, "gram long, context long, n long, bytes binary")
+    return docs.select("k", "text").join(lists, "k").select("text", "asked").mapInArrow(run, "gram long, context long, n long, bytes binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -319,13 +319,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if not set(more) - set(late):
             break
         late = sorted({*late, *more})
+        unstage(anchored, contexts)
     again = by_gram.filter("places > 1").select("gram")
-    wanted = contexts.join(again, "gram").select("gram", "context", "n", "at.*")
+    wanted = stage(contexts.join(again, "gram").select("gram", "context", "n", "at.*"))
+    unstage(contexts)
     texts = _cut(docs, wanted, length).repartition(partitions(docs.sparkSession), "gram").sortWithinPartitions("gram", "context")
     found = stage(_judged(texts, length))
+    unstage(wanted)
     hit = anchored.join(found, ["gram", "context"])
     span = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.struct((F.col("at") + s["starts"]).alias("s"), (F.col("at") + s["ends"] - 1 + length).alias("e")))
-    return hit.groupBy("k").agg(F.flatten(F.collect_list(span)).alias("spans"))
+    spans = stage(hit.groupBy("k").agg(F.flatten(F.collect_list(span)).alias("spans")))
+    unstage(anchored, found)
+    return spans
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
