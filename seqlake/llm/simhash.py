@@ -15,26 +15,32 @@ from .common import blobs, partitions, runs, stage, table
 from .components import connected_components
 
 
-
 @dataclass(frozen=True)
 class Scheme:
     """How texts are printed and prints are linked.
 
     Prints are `longs` numbers of 64 bits and link at `radius` or fewer differing bits. `blocks` are the (number,
-    first bit, bits) of the bit ranges by which prints are dealt to shards: prints meet if they agree on one.
+    first bit, bits) of the bit ranges by which prints are dealt to shards: prints meet if they agree on one. Where
+    `similarity` is given, such prints are candidates only, and texts link that share it of their sets of shingles.
     """
 
     size: int = 4
     longs: int = 1
     radius: int = 4
     blocks: tuple[tuple[int, int, int], ...] = ((0, 0, 13), (0, 13, 13), (0, 26, 13), (0, 39, 13), (0, 52, 12))
+    similarity: float = 0.0
 
 
 #: Links at 4 bits, of which none is missed: five disjoint blocks, so that linked prints agree on one entirely.
 EXACT = Scheme()
-#: Shingles of five words of which two texts share 0.8: 256 bits of which 0.151 (the angle between the texts' shingle
-#: sets) differ. A pair at that similarity agrees on one of the 20 blocks with probability 0.95, one at 0.9 with 0.999.
-SIMILAR = Scheme(5, 4, 38, tuple((n, 12 * k, 12) for n in range(4) for k in range(5)))
+#: Shingles of five words of which two texts share 0.8: 256 bits of which 39 differ by expectation (the angle between
+#: the texts' shingle sets), with a standard deviation of 6; 56 is three of them above. A pair at that similarity agrees
+#: on one of the 20 blocks with probability 0.95, one at 0.9 with 0.999.
+SIMILAR = Scheme(5, 4, 56, tuple((n, 12 * k, 12) for n in range(4) for k in range(5)), 0.8)
+#: Candidates of each print that are compared as texts in the first round, and by how much that grows each round.
+MOST, GROWTH = 4, 8
+#: Up to so many texts to compare, their hashes (8 bytes each) are broadcast to the scan of all texts.
+FEW = 1_000_000
 #: A shard of more fingerprints is split again by distance from two vantage points.
 SHARD = 50_000
 LEAF = 512
@@ -52,11 +58,11 @@ def _derived(hashes: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprint(text: bytes, size: int = 4, longs: int = 1) -> np.ndarray:
-    """SimHash of a text's word shingles as uint64 numbers; no words give 0, fewer than `size` a single shingle."""
+def shingles(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles, repeats included, in chunks; fewer words than `size` are a single shingle."""
     words = text.lower().split()
     if not words:
-        return np.zeros(longs, np.uint64)
+        return
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -64,29 +70,40 @@ def fingerprint(text: bytes, size: int = 4, longs: int = 1) -> np.ndarray:
     size = min(size, len(words))
     xxh64 = xxhash.xxh64_intdigest
     first, last = starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
-    counts = np.zeros((longs, 64), np.int64)
     for k in range(0, len(first), _SHINGLES):
-        hashes = np.array([xxh64(joined[i:j], 42) for i, j in zip(first[k : k + _SHINGLES], last[k : k + _SHINGLES])], np.uint64)
+        yield np.array([xxh64(joined[i:j], 42) for i, j in zip(first[k : k + _SHINGLES], last[k : k + _SHINGLES])], np.uint64)
+
+
+def fingerprint(text: bytes, size: int = 4, longs: int = 1) -> np.ndarray:
+    """SimHash of a text's word shingles as uint64 numbers; no words give 0, fewer than `size` a single shingle."""
+    counts, total = np.zeros((longs, 64), np.int64), 0
+    for hashes in shingles(text, size):
+        total += len(hashes)
         for n in range(longs):
             counts[n] += np.unpackbits(_derived(hashes, _SEEDS[n]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(first), axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def _columns(scheme: Scheme) -> list[str]:
     return [f"f{n}" for n in range(scheme.longs)]
 
 
+def _texts(docs: DataFrame, *ids: str) -> DataFrame:
+    """Ids as longs, the text and h, a hash of it."""
+    text = F.col("text").cast("string")
+    return docs.select(*(F.col(i).cast("long").alias(i) for i in ids), text.alias("text"), F.xxhash64(text).alias("h"))
+
+
 def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """(doc_id, f0, ...: the print's bits as longs) of every whole text; a null text has no words."""
+    """(doc_id, h: a hash of the text, f0, ...: the print's bits as longs) of every whole text; a null text has no words."""
     columns = _columns(scheme)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, scheme.size, scheme.longs) for t in blobs(batch.column(1))], np.uint64).view(np.int64).reshape(-1, scheme.longs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, n]) for n in range(scheme.longs))], names=["doc_id", *columns])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(found[:, n]) for n in range(scheme.longs))], names=["doc_id", "h", *columns])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in columns))
+    return _texts(docs, "doc_id").mapInArrow(run, "doc_id long, h long, " + ", ".join(f"{c} long" for c in columns))
 
 
 class Links:
@@ -112,28 +129,18 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(a[:, None, n] ^ b[None, :, n]).astype(np.int16) for n in range(a.shape[1]))
 
 
-def _across(fps: np.ndarray, one: np.ndarray, two: np.ndarray, radius: int, links: Links) -> None:
-    """Link what is near between two sets of positions, block by block."""
-    for i in range(0, len(one), LEAF):
-        for j in range(0, len(two), LEAF):
-            a, b = one[i : i + LEAF], two[j : j + LEAF]
-            x, y = np.nonzero(_distances(fps[a], fps[b]) <= radius)
-            links.add(a[x], b[y])
-
-
-def link_shard(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For each distinct print (a row of uint64) the position of its component's first member within this shard.
+def _compared(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sets of at most LEAF positions that hold all pairs of prints within `radius`; a set comes with itself or another.
 
     A vantage-point tree: each node splits its members at the median Hamming distance from a vantage point. By the
     triangle inequality a linked pair that the split separates lies within `radius` of the boundary, distance shell by
-    distance shell, so only those shells are compared across the branches. Nothing is returned for pairs, only roots.
+    distance shell, so only those shells are compared across the branches.
     """
-    links = Links(len(fps))
     todo = [np.arange(len(fps))]
     while todo:
         members = todo.pop()
         if len(members) <= LEAF:
-            _across(fps, members, members, radius, links)
+            yield members, members
             continue
         far = _distances(fps[members], fps[members[:1]])[:, 0]
         middle = int(np.median(far))
@@ -141,12 +148,56 @@ def link_shard(fps: np.ndarray, radius: int) -> np.ndarray:
             middle = int(far[far < middle].max())
         todo += [members[far <= middle], members[far > middle]]
         for shell in np.unique(far[(far <= middle) & (far > middle - radius)]).tolist():
-            _across(fps, members[far == shell], members[(far > middle) & (far <= shell + radius)], radius, links)
+            one, two = members[far == shell], members[(far > middle) & (far <= shell + radius)]
+            for i in range(0, len(one), LEAF):
+                for j in range(0, len(two), LEAF):
+                    yield one[i : i + LEAF], two[j : j + LEAF]
+
+
+def link_shard(fps: np.ndarray, radius: int) -> np.ndarray:
+    """For each distinct print (a row of uint64) the position of its component's first member within this shard.
+
+    Nothing is returned for pairs, only roots.
+    """
+    links = Links(len(fps))
+    for one, two in _compared(fps, radius):
+        x, y = np.nonzero(_distances(fps[one], fps[two]) <= radius)
+        links.add(one[x], two[y])
     return links.root
 
 
+def nearest(fps: np.ndarray, roots: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Each print with its `most` nearest prints of another component, as pairs of positions within `radius`.
+
+    The third value tells whether any print has more of them. A tie goes to the smaller position.
+    """
+    held, waiting, size, more = np.zeros((3, 0), np.int64), [], 0, False
+
+    def trimmed() -> tuple[np.ndarray, bool]:
+        rows = np.concatenate([held, *waiting], axis=1)
+        rows = rows[:, np.lexsort(rows[::-1])]
+        near = np.arange(rows.shape[1]) - np.searchsorted(rows[0], rows[0]) < most
+        return rows[:, near], not near.all()
+
+    for one, two in _compared(fps, radius):
+        d = _distances(fps[one], fps[two])
+        x, y = np.nonzero((d <= radius) & (roots[one][:, None] != roots[two]))
+        if not len(x):
+            continue
+        rows = np.stack([one[x], d[x, y], two[y]])
+        waiting += [rows] if one is two else [rows, rows[::-1]]
+        size += len(x)
+        if size > 1 << 19:
+            held, cut = trimmed()
+            waiting, size, more = [], 0, more or cut
+    if not waiting:
+        return held[0], held[2], more
+    held, cut = trimmed()
+    return held[0], held[2], more or cut
+
+
 def _routed(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """nodes with their shard: each print in the shard of each of its blocks; crowded shards split by distance cells.
+    """nodes(node, f0, ..., more columns) with their shard: each print in the shard of each of its blocks; crowded shards split by distance cells.
 
     A crowded shard has two vantage points, its least and greatest print. A member goes to the cell of its two
     distances, cells being wider than the radius, and where it is within the radius of the next cell's lower boundary
@@ -154,7 +205,7 @@ def _routed(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """
     columns = _columns(scheme)
     blocks = [F.shiftrightunsigned(f"f{n}", at).bitwiseAND((1 << bits) - 1) + (tree << 13) for tree, (n, at, bits) in enumerate(scheme.blocks)]
-    dealt = nodes.select("node", *columns, F.explode(F.array(*blocks)).alias("block"))
+    dealt = nodes.select("*", F.explode(F.array(*blocks)).alias("block"))
     print_ = F.struct(*columns)
     crowded = dealt.groupBy("block").agg(F.count("*").alias("n"), F.min(print_).alias("near"), F.max(print_).alias("far")).filter(F.col("n") > SHARD)
     width = 2 * scheme.radius
@@ -166,8 +217,8 @@ def _routed(nodes: DataFrame, scheme: Scheme) -> DataFrame:
 
     split = F.flatten(F.transform(cells("near"), lambda x: F.transform(cells("far"), lambda y: F.concat_ws(".", x, y))))
     cell = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(""))).otherwise(split))
-    routed = dealt.join(crowded, "block", "left").select("node", *columns, "block", cell.alias("cell"))
-    return routed.select(F.concat_ws("/", "block", "cell").alias("shard"), "node", *columns)
+    routed = dealt.join(crowded, "block", "left").select(*nodes.columns, "block", cell.alias("cell"))
+    return routed.select(F.concat_ws("/", "block", "cell").alias("shard"), *nodes.columns)
 
 
 def near_links(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
@@ -183,15 +234,81 @@ def near_links(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
             if len(tied):
                 yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[roots[tied]])], names=["a", "b"])
 
-    routed = _routed(nodes, scheme).repartition(partitions(nodes.sparkSession), "shard").sortWithinPartitions("shard")
+    routed = _routed(nodes.select("node", *columns), scheme).repartition(partitions(nodes.sparkSession), "shard").sortWithinPartitions("shard")
     return routed.mapInArrow(run, "a long, b long")
 
 
+def _candidates(routed: DataFrame, scheme: Scheme, most: int) -> DataFrame:
+    """(shard, a, b) of prints by nearest(); a and b are null in a row more for a shard where a print has more."""
+    columns = _columns(scheme)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in runs(batches, "shard"):
+            if len(rows) < 2:
+                continue
+            node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
+            fps = np.stack([rows.column(c).to_numpy()[at] for c in columns], axis=1).view(np.uint64)
+            one, two, more = nearest(fps, rows.column("root").to_numpy()[at], scheme.radius, most)
+            if not len(one):
+                continue
+            ends = [[*f(node[one], node[two]).tolist(), *[None] * more] for f in (np.minimum, np.maximum)]
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ends[0])), *(pa.array(x, pa.int64()) for x in ends)], names=["shard", "a", "b"])
+
+    dealt = routed.repartition(partitions(routed.sparkSession), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "shard string, a long, b long")
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, s: sorted distinct hashes of shingles) for wanted(node, h), from any text of that hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if node not in done:  # copies of one text
+                    done.add(node)
+                    found = [*shingles(blobs(pa.array([text.as_py()], pa.string()))[0], size), np.zeros(0, np.uint64)]
+                    yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([np.unique(np.concatenate(found)).view(np.int64)], pa.list_(pa.int64()))], names=["node", "s"])
+
+    few = wanted.count() <= FEW
+    picked = _texts(docs).join(F.broadcast(wanted) if few else wanted, "h").select("node", "text")
+    return picked.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"])
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b) of nodes(node, h, f0, ...) whose texts share scheme.similarity of their shingles.
+
+    The links join all those of one component, but are not all links: in each round every print is compared, as a set
+    of shingles, with its nearest candidates of other components, and shards where a print has further ones go into
+    the next round, with GROWTH times as many. So a group of near copies costs a few pairs a text, no candidate
+    between components is left out, and the rounds grow with the logarithm of the largest group.
+    """
+    columns, most, links, marked = _columns(scheme), MOST, None, None
+    rooted = nodes.select("node", *columns, F.col("node").alias("root"))
+    while True:
+        routed = _routed(rooted, scheme)
+        found = stage(_candidates(routed if marked is None else routed.join(marked, "shard", "left_semi"), scheme, most))
+        pairs = stage(found.filter("a is not null").select("a", "b").distinct())
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = stage(_shingle_sets(docs, stage(ends.join(nodes, "node").select("node", "h")), scheme.size))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        passed = both.filter(common >= F.lit(scheme.similarity) * (F.size("sa") + F.size("sb") - common) - F.lit(1e-9)).select("a", "b")
+        links = stage(passed if links is None else links.unionByName(passed))
+        marked = found.filter("a is null").select("shard").distinct()
+        if marked.isEmpty():
+            return links
+        roots = connected_components(links).withColumnRenamed("node", "_node")
+        joined = nodes.join(roots, F.col("node") == F.col("_node"), "left")
+        rooted = stage(joined.select("node", *columns, F.coalesce("root", "node").alias("root")))
+        most *= GROWTH
+
+
 def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text).
 
-    Prints within the scheme's radius are linked and links are transitive; component_id is the smallest doc_id
-    reachable. Equal prints meet as one node, so copies cost a group, not pairs. Nodes are dealt to the shards of the
+    Prints within the scheme's radius are linked, if the scheme has a similarity only where the texts have it, and
+    links are transitive; component_id is the smallest doc_id reachable. Equal prints meet as one node, so copies cost a group, not pairs. Nodes are dealt to the shards of the
     scheme's blocks (within EXACT, two linked prints agree on one block, which is distance 0 there), each shard is
     searched by a vantage-point tree, and shards of over SHARD nodes are first partitioned by Hamming distance with
     the overlap that the triangle bound asks for. Repeated rows give repeated rows; a null doc_id links like any
@@ -201,8 +318,11 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     columns = _columns(scheme)
     node = F.col("f0") if scheme.longs == 1 else F.xxhash64(*columns)
     prints = stage(fingerprints(docs, scheme).withColumn("node", node))
-    nodes = prints.groupBy("node", *columns).agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_links(nodes, scheme)).withColumnRenamed("node", "_node")
+    nodes = prints.groupBy("node", *columns).agg(F.min("doc_id").alias("least"), F.min("h").alias("h"))
+    if scheme.similarity:
+        nodes = stage(nodes)
+    links = similar_links(docs, nodes, scheme) if scheme.similarity else near_links(nodes, scheme)
+    roots = connected_components(links).withColumnRenamed("node", "_node")
     rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(least, "root").select("node", "component_id")

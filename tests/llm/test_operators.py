@@ -80,6 +80,51 @@ def test_keep_one(docs):
     assert ids.count(4) == 1 and 5 not in ids and 6 not in ids and 7 in ids and 0 in ids and 1 not in ids
 
 
+def test_nearest_equals_all_pairs():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, 9, np.uint64)
+    fps = np.unique(np.concatenate([b ^ (np.uint64(1) << r.integers(0, 64, 90, np.uint64)) for b in base] + [base]))[:, None]
+    roots = np.arange(len(fps)) // 2
+    d = simhash._distances(fps, fps)
+    for most in (1, 3, 1000):
+        one, two, more = simhash.nearest(fps, roots, 4, most)
+        want, further = set(), False
+        for i in range(len(fps)):
+            near = sorted((int(d[i, j]), j) for j in range(len(fps)) if d[i, j] <= 4 and roots[i] != roots[j])
+            want.update((i, j) for _, j in near[:most])
+            further |= len(near) > most
+        assert set(zip(one.tolist(), two.tolist())) == want and more == further
+
+
+def test_similar_texts_equal_brute_force(spark):
+    """Texts with a few words changed, some 0.8 alike and some not, and a crowd that needs several rounds."""
+    r = random.Random(5)
+    texts = []
+    for k in range(12):
+        words = prose(100 + k, 120 + 40 * k).split()
+        for _ in range(60 if k == 0 else 5):
+            changed = list(words)
+            for _ in range(r.randint(0, len(words) // 30)):
+                changed[r.randrange(len(words))] = f"new{r.random()}"
+            texts.append(" ".join(changed))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    prints = [simhash.fingerprint(t.encode(), 5, 4) for t in texts]
+    scheme, group, alike = simhash.SIMILAR, list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                alike.append((i, j))
+                differ = [int(x) ^ int(y) for x, y in zip(prints[i], prints[j])]
+                meet = any(not differ[n] >> at & (1 << bits) - 1 for n, at, bits in scheme.blocks)
+                if meet and sum(x.bit_count() for x in differ) <= scheme.radius:
+                    group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = dict(simhash.near_duplicates(docs, scheme).select("doc_id", "component_id").collect())
+    assert 12 < len(set(group)) < len(texts) - 12
+    assert [found[i] for i in range(len(texts))] == group
+    assert sum(group[i] == group[j] for i, j in alike) >= 0.95 * len(alike)
+
+
 def brute_spans(texts: list[bytes], n: int) -> list[list[bool]]:
     seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []
