@@ -281,14 +281,16 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFram
     The links join all those of one component, but are not all links: in each round every print is compared, as a set
     of shingles, with its nearest candidates of other components, and shards where a print has further ones go into
     the next round, with GROWTH times as many. So a group of near copies costs a few pairs a text, no candidate
-    between components is left out, and the rounds grow with the logarithm of the largest group.
+    between components is left out or compared twice, and the rounds grow with the logarithm of the largest group.
     """
-    columns, most, links, marked = _columns(scheme), MOST, None, None
+    columns, most, links, marked, tried = _columns(scheme), MOST, None, None, None
     rooted = nodes.select("node", *columns, F.col("node").alias("root"))
     while True:
         routed = _routed(rooted, scheme)
         found = stage(_candidates(routed if marked is None else routed.join(marked, "shard", "left_semi"), scheme, most))
-        pairs = stage(found.filter("a is not null").select("a", "b").distinct())
+        pairs = found.filter("a is not null").select("a", "b").distinct()
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = stage(_shingle_sets(docs, stage(ends.join(nodes, "node").select("node", "h")), scheme.size))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
