@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +44,8 @@ FEW = 1_000_000
 #: A shard of more fingerprints is split again by distance from two vantage points.
 SHARD = 50_000
 LEAF = 512
+#: Bits of the parity map of a text's set of shingles.
+PARITY = 1024
 _SHINGLES = 1 << 14
 _SEEDS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -74,16 +76,29 @@ def shingles(text: bytes, size: int) -> Iterator[np.ndarray]:
         yield np.array([xxh64(joined[i:j], 42) for i, j in zip(first[k : k + _SHINGLES], last[k : k + _SHINGLES])], np.uint64)
 
 
-def fingerprint(text: bytes, size: int = 4, longs: int = 1) -> np.ndarray:
-    """SimHash of a text's word shingles as uint64 numbers; no words give 0, fewer than `size` a single shingle."""
+def _print(chunks: Iterator[np.ndarray], longs: int) -> np.ndarray:
     counts, total = np.zeros((longs, 64), np.int64), 0
-    for hashes in shingles(text, size):
+    for hashes in chunks:
         total += len(hashes)
         for n in range(longs):
             counts[n] += np.unpackbits(_derived(hashes, _SEEDS[n]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > total, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def fingerprint(text: bytes, size: int = 4, longs: int = 1) -> np.ndarray:
+    """SimHash of a text's word shingles as uint64 numbers; no words give 0, fewer than `size` a single shingle."""
+    return _print(shingles(text, size), longs)
+
+
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """For a set of shingles (distinct hashes) whether an odd number of them falls on each of PARITY bits, as uint64.
+
+    Two maps differ in no more bits than the sets have members that are not common to both, so they tell apart sets
+    of too little similarity without an error on the other side.
+    """
+    return np.packbits(np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1, bitorder="little").view(np.uint64)
+
+
 def _columns(scheme: Scheme) -> list[str]:
     return [f"f{n}" for n in range(scheme.longs)]
 
@@ -95,15 +110,29 @@ def _texts(docs: DataFrame, *ids: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """(doc_id, h: a hash of the text, f0, ...: the print's bits as longs) of every whole text; a null text has no words."""
+    """(doc_id, h: a hash of the text, f0, ...: the print's bits as longs) of every whole text; a null text has no words.
+
+    A scheme with a similarity adds `n`, the size of the text's set of shingles, and `parity`, its parity_map().
+    """
     columns = _columns(scheme)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, scheme.size, scheme.longs) for t in blobs(batch.column(1))], np.uint64).view(np.int64).reshape(-1, scheme.longs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(found[:, n]) for n in range(scheme.longs))], names=["doc_id", "h", *columns])
-
-    return _texts(docs, "doc_id").mapInArrow(run, "doc_id long, h long, " + ", ".join(f"{c} long" for c in columns))
+            prints, sizes, maps = [], [], []
+            for text in blobs(batch.column(1)):
+                chunks = shingles(text, scheme.size)
+                if scheme.similarity:
+                    chunks = [*chunks]
+                    distinct = np.unique(np.concatenate([*chunks, np.zeros(0, np.uint64)]))
+                    sizes.append(len(distinct))
+                    maps.append(parity_map(distinct).tobytes())
+                prints.append(_print(chunks, scheme.longs))
+            found = np.array(prints, np.uint64).view(np.int64).reshape(-1, scheme.longs)
+            more = {"n": pa.array(sizes, pa.int64()), "parity": pa.array(maps, pa.binary())} if scheme.similarity else {}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "h": batch.column(2)} | {c: pa.array(found[:, n]) for n, c in enumerate(columns)} | more)
+
+    schema = ["doc_id long", "h long", *(f"{c} long" for c in columns), *["n long", "parity binary"] * bool(scheme.similarity)]
+    return _texts(docs, "doc_id").mapInArrow(run, ", ".join(schema))
 
 
 class Links:
@@ -166,10 +195,23 @@ def link_shard(fps: np.ndarray, radius: int) -> np.ndarray:
     return links.root
 
 
-def nearest(fps: np.ndarray, roots: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def similar_enough(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, maps: np.ndarray, similarity: float) -> np.ndarray:
+    """For pairs of positions whether their sets of shingles can share `similarity`; no pair that does is denied.
+
+    |A and B| / |A or B| >= s means that A and B differ in at most (|A| + |B|) (1 - s) / (1 + s) members.
+    """
+    differ = np.zeros(len(one), np.int64)
+    for n in range(maps.shape[1]):
+        differ += np.bitwise_count(maps[one, n] ^ maps[two, n])
+    a, b = sizes[one], sizes[two]
+    return np.maximum(differ, np.abs(a - b)) <= (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def nearest(fps: np.ndarray, roots: np.ndarray, radius: int, most: int, possible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
     """Each print with its `most` nearest prints of another component, as pairs of positions within `radius`.
 
-    The third value tells whether any print has more of them. A tie goes to the smaller position.
+    Pairs of positions that `possible` denies are no pairs. The third value tells whether any print has more of them.
+    A tie goes to the smaller position.
     """
     held, waiting, size, more = np.zeros((3, 0), np.int64), [], 0, False
 
@@ -182,6 +224,9 @@ def nearest(fps: np.ndarray, roots: np.ndarray, radius: int, most: int) -> tuple
     for one, two in _compared(fps, radius):
         d = _distances(fps[one], fps[two])
         x, y = np.nonzero((d <= radius) & (roots[one][:, None] != roots[two]))
+        if possible and len(x):
+            kept = possible(one[x], two[y])
+            x, y = x[kept], y[kept]
         if not len(x):
             continue
         rows = np.stack([one[x], d[x, y], two[y]])
@@ -239,8 +284,12 @@ def near_links(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
 
 
 def _candidates(routed: DataFrame, scheme: Scheme, most: int) -> DataFrame:
-    """(shard, a, b) of prints by nearest(); a and b are null in a row more for a shard where a print has more."""
+    """(shard, a, b) of prints by nearest(); a and b are null in a row more for a shard where a print has more.
+
+    Where routed has the columns n and parity, only pairs count that can have the scheme's similarity.
+    """
     columns = _columns(scheme)
+    mapped = "parity" in routed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in runs(batches, "shard"):
@@ -248,7 +297,12 @@ def _candidates(routed: DataFrame, scheme: Scheme, most: int) -> DataFrame:
                 continue
             node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
             fps = np.stack([rows.column(c).to_numpy()[at] for c in columns], axis=1).view(np.uint64)
-            one, two, more = nearest(fps, rows.column("root").to_numpy()[at], scheme.radius, most)
+            possible = None
+            if mapped:
+                sizes = rows.column("n").to_numpy()[at]
+                maps = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(len(rows), -1)[at]
+                possible = lambda x, y: similar_enough(x, y, sizes, maps, scheme.similarity)
+            one, two, more = nearest(fps, rows.column("root").to_numpy()[at], scheme.radius, most, possible)
             if not len(one):
                 continue
             ends = [[*f(node[one], node[two]).tolist(), *[None] * more] for f in (np.minimum, np.maximum)]
@@ -275,19 +329,23 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return picked.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"])
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, b) of nodes(node, h, f0, ...) whose texts share scheme.similarity of their shingles.
+def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b) of nodes(node, h, f0, ...) of prints whose texts share scheme.similarity of their shingles.
 
     The links join all those of one component, but are not all links: in each round every print is compared, as a set
     of shingles, with its nearest candidates of other components, and shards where a print has further ones go into
     the next round, with GROWTH times as many. So a group of near copies costs a few pairs a text, no candidate
     between components is left out or compared twice, and the rounds grow with the logarithm of the largest group.
+    From the second round on, which only crowded shards reach, candidates also have to pass the parity maps of their
+    sets, so that a crowd that is a little less alike than the similarity isn't compared pair by pair.
     """
     columns, most, links, marked, tried = _columns(scheme), MOST, None, None, None
     rooted = nodes.select("node", *columns, F.col("node").alias("root"))
     while True:
         routed = _routed(rooted, scheme)
-        found = stage(_candidates(routed if marked is None else routed.join(marked, "shard", "left_semi"), scheme, most))
+        if marked is not None:
+            routed = routed.join(marked, "shard", "left_semi").join(maps, "node")
+        found = stage(_candidates(routed, scheme, most))
         pairs = found.filter("a is not null").select("a", "b").distinct()
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -300,6 +358,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFram
         marked = found.filter("a is null").select("shard").distinct()
         if marked.isEmpty():
             return links
+        maps = nodes.select("node", "h").join(prints.select("h", "n", "parity").dropDuplicates(["h"]), "h").select("node", "n", "parity")
         roots = connected_components(links).withColumnRenamed("node", "_node")
         joined = nodes.join(roots, F.col("node") == F.col("_node"), "left")
         rooted = stage(joined.select("node", *columns, F.coalesce("root", "node").alias("root")))
@@ -323,7 +382,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     nodes = prints.groupBy("node", *columns).agg(F.min("doc_id").alias("least"), F.min("h").alias("h"))
     if scheme.similarity:
         nodes = stage(nodes)
-    links = similar_links(docs, nodes, scheme) if scheme.similarity else near_links(nodes, scheme)
+    links = similar_links(docs, prints, nodes, scheme) if scheme.similarity else near_links(nodes, scheme)
     roots = connected_components(links).withColumnRenamed("node", "_node")
     rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

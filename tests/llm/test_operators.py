@@ -96,6 +96,22 @@ def test_nearest_equals_all_pairs():
         assert set(zip(one.tolist(), two.tolist())) == want and more == further
 
 
+def test_parity_maps_deny_no_similar_pair():
+    r = np.random.default_rng(5)
+    base = [r.integers(0, 2**63, int(n), np.uint64) for n in (1, 5, 40, 200, 3000)]
+    sets = [np.zeros(0, np.uint64)]
+    for b in base:
+        for share in (0, 0.02, 0.08, 0.1, 0.12, 0.2, 0.5):
+            kept = b[r.random(len(b)) >= share]
+            sets += [np.unique(kept), np.unique(np.concatenate([kept, r.integers(0, 2**63, len(b) - len(kept), np.uint64)]))]
+    sizes, maps = np.array([len(s) for s in sets]), np.stack([simhash.parity_map(s) for s in sets])
+    one, two = np.triu_indices(len(sets), 1)
+    common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(one, two)])
+    alike = common >= 0.8 * (sizes[one] + sizes[two] - common)
+    able = simhash.similar_enough(one, two, sizes, maps, 0.8)
+    assert able[alike].all() and alike.any() and not able.all()
+
+
 def test_similar_texts_equal_brute_force(spark):
     """Texts with a few words changed, some 0.8 alike and some not, and a crowd that needs several rounds."""
     r = random.Random(5)
