@@ -8,36 +8,33 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 
-def _pointed(edges: DataFrame) -> DataFrame:
-    """Each edge from both of its ends, without loops."""
-    both = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
-    return edges.filter("a <> b").select(both.alias("e")).select("e.u", "e.v")
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m) with the smallest of each node's smaller neighbours."""
+    return edges.groupBy("a").agg(F.min("b").alias("m"))
 
 
-def _least(arcs: DataFrame) -> DataFrame:
-    return arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node with a smaller neighbour has just one, which itself has none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below + above > 1 and below > 0").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a long, b long); root is the smallest node of the component.
 
     Alternates large-star and small-star contraction, each of which keeps the components and never adds edges, until
-    an alternation changes nothing. Hub nodes cost a partial minimum and a join that adaptive execution can split.
-    Each alternation is cut off by a reliable checkpoint. No edges give no rows; null ends are not edges.
+    all edges lead to a root. Edges are kept from the larger end to the smaller, so a large star moves an edge's
+    smaller end b to the smallest neighbour of b, and a small star ties all smaller neighbours of a node to the least.
+    Hub nodes cost a partial minimum and a join that adaptive execution can split. Each alternation is cut off by a
+    reliable checkpoint. No edges give no rows; null ends are not edges.
     """
     shared_dir(edges.sparkSession)
-    edges = edges.select("a", "b").filter("a <> b").distinct().checkpoint()
-    before = None
-    while True:
-        arcs = _pointed(edges)
-        large = arcs.join(_least(arcs), "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        joined = down.join(_least(down), "u")
-        pairs = F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b"))))
-        edges = joined.select(pairs.alias("e")).select("e.a", "e.b").filter("a <> b").distinct().checkpoint()
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if now == before:
-            break
-        before = now
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    while not _stars(edges):
+        large = edges.join(_least(edges).withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        least = _least(large)
+        others = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = others.unionByName(least.withColumnRenamed("m", "b")).distinct().checkpoint()
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

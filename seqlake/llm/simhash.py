@@ -360,6 +360,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, scheme:
             return links
         maps = nodes.select("node", "h").join(prints.select("h", "n", "parity").dropDuplicates(["h"]), "h").select("node", "n", "parity")
         roots = connected_components(links).withColumnRenamed("node", "_node")
+        links = roots.filter("_node <> root").select(F.col("_node").alias("a"), F.col("root").alias("b"))
         joined = nodes.join(roots, F.col("node") == F.col("_node"), "left")
         rooted = stage(joined.select("node", *columns, F.coalesce("root", "node").alias("root")))
         most *= GROWTH

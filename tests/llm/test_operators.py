@@ -96,6 +96,19 @@ def test_nearest_equals_all_pairs():
         assert set(zip(one.tolist(), two.tolist())) == want and more == further
 
 
+def test_components_equal_union_find(spark):
+    r = np.random.default_rng(6)
+    edges = [*zip(range(60), range(1, 61)), *((100, n) for n in range(101, 160)), *((n, 300) for n in range(201, 260)), *map(tuple, r.integers(400, 700, (150, 2)).tolist()), (5, 5), (None, 7), (-3, 2), (-3, 2)]
+    found = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    root = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    for _ in root:
+        for a, b in edges:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    assert sorted(map(tuple, found)) == sorted(root.items())
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_parity_maps_deny_no_similar_pair():
     r = np.random.default_rng(5)
     base = [r.integers(0, 2**63, int(n), np.uint64) for n in (1, 5, 40, 200, 3000)]
