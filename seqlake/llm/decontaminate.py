@@ -1,4 +1,4 @@
-"""Benchmark passages in texts: latent semantic retrieval, then alignment."""
+"""Benchmark passages in texts: latent semantic retrieval and a join on rare words, then alignment."""
 
 from __future__ import annotations
 
@@ -58,8 +58,41 @@ def verdict(item: list[bytes], region: list[bytes]) -> tuple[float, bool]:
     return share, share >= COPY or subsequence(answer, region) >= COPY * len(answer)
 
 
+def _least(share: float, size: int) -> int:
+    """The smallest number of `size` words that is a share of them, as verdict() compares."""
+    return next(c for c in range(size + 1) if c / size >= share and c >= share * size)
+
+
+def rare_words(item: list[bytes], seen: dict[bytes, int]) -> set[bytes]:
+    """Words of an item of which every region that verdict() calls a leak has one (prefix filter), by the documents each stands in.
+
+    A copy lacks so few of the item's words that it has one of the rarest of them; a paraphrase likewise has one of
+    the answer's, and of the rarest of PARAPHRASE of the item's, of which the set in fewer documents is taken.
+    """
+
+    def prefix(part: list[bytes], share: float) -> list[bytes]:
+        return sorted(part, key=lambda w: (seen[w], w))[: len(part) - _least(share, len(part)) + 1]
+
+    answer = item[-max(1, round(len(item) * ANSWER)) :]
+    either = [set(prefix(answer, COPY)), set(prefix(item, PARAPHRASE))]
+    return min(either, key=lambda ws: sum(seen[w] for w in ws)).union(prefix(item, COPY))
+
+
+def possible(item: list[bytes], present: set[bytes]) -> bool:
+    """Whether a region of these words can be a leak; no leak is denied."""
+    common = [*map(present.__contains__, item)]
+    n = sum(common)
+    answer = common[-max(1, round(len(item) * ANSWER)) :]
+    return n >= PARAPHRASE * len(item) - 1e-9 and (n >= COPY * len(item) - 1e-9 or sum(answer) >= COPY * len(answer) - 1e-9)
+
+
+def _width(item: list[bytes]) -> int:
+    """Words of the windows that are held against an item."""
+    return max(2 * STEP, 1 << (len(item) - 1).bit_length())
+
+
 class Words:
-    """A chunk's words that have a weight: their numbers, their places and their texts' first places.
+    """A chunk's words that have a number: their numbers, their places and their texts' first places.
 
     Places are counted over the chunk, each text beginning on a multiple of STEP.
     """
@@ -160,10 +193,11 @@ def _search(docs: DataFrame, names: list[int], items: list[list[bytes]], schema:
     weight = np.where(seen <= max(20, COMMON * n), np.log((n + 1) / (seen + 0.5)), 0.0)
     weight = np.maximum(weight, 0.0)
     basis = latent_basis(docs.select("text"), items, known, weight).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((names, items, known, weight, basis))
+    rarity = dict(zip(known, seen.tolist()))
+    shared = docs.sparkSession.sparkContext.broadcast((names, items, known, weight, basis, rarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, items, known, weight, basis = shared.value
+        names, items, known, weight, basis, rarity = shared.value
         number = {w: k for k, w in enumerate(known)}
         latent = (basis * weight[:, None]).astype(np.float32)
         targets = np.stack([latent[[number[w] for w in item]].sum(axis=0) for item in items])
@@ -171,17 +205,55 @@ def _search(docs: DataFrame, names: list[int], items: list[list[bytes]], schema:
         targets /= np.maximum(norms, 1e-9)[:, None]
         scales: dict[int, list[int]] = {}
         for k, item in enumerate(items):
-            scales.setdefault(max(2 * STEP, 1 << (len(item) - 1).bit_length()), []).append(k)
-        weighty = {w: k for w, k in number.items() if weight[k] > 0}
+            scales.setdefault(_width(item), []).append(k)
+        by_word: list[list[int]] = [[] for _ in known]
+        for k, item in enumerate(items):
+            for word in rare_words(item, rarity):
+                by_word[number[word]].append(k)
+        fan = np.array([len(x) for x in by_word])
+        of, begin_of = np.array([*chain.from_iterable(by_word)], np.int64), np.cumsum(fan) - fan
+        halves_of = np.array([_width(item) // 2 for item in items])
+
+        def joined(chunk: Words) -> Iterator[tuple[int, int, int]]:
+            """(text, item, number of the half window that a window begins with) of all regions that can be leaks."""
+            hit = fan[chunk.ids] > 0
+            ids, place = chunk.ids[hit], chunk.place[hit]
+            doc = np.searchsorted(chunk.first, place, side="right") - 1
+            place = place - chunk.first[doc]
+            times = fan[ids]
+            item = of[np.repeat(begin_of[ids] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+            at = np.repeat(place, times) // halves_of[item]
+            rows = np.stack([np.repeat(doc, times), halves_of[item], at, item])
+            rows = np.unique(rows, axis=1) if rows.shape[1] else rows
+            rows = np.concatenate([rows + np.array([[0], [0], [k], [0]]) for k in (-2, -1, 0, 1)], axis=1)
+            rows = rows[:, rows[2] >= 0]
+            before, present = None, set()
+            for key in sorted(set(zip(*rows.tolist()))):
+                if key[:3] != before:
+                    before = doc, half, k = key[:3]
+                    present = set(chunk.words[doc][max(0, k - 1) * half : (k + 3) * half])
+                if possible(items[key[3]], present):
+                    yield doc, key[3], k
+
         for batch in slices(batches, "text", CHUNK):
-            chunk = Words(blobs(batch.column("text")), weighty)
-            if not len(chunk.ids):
-                continue
-            sums, block = _sums(latent[chunk.ids], chunk.place // STEP)
+            chunk = Words(blobs(batch.column("text")), number)
             best: dict[tuple[int, int], tuple] = {}
             tried: set[tuple[int, int, int]] = set()
+            for doc, item, k in joined(chunk):
+                half = int(halves_of[item])
+                offset = max(0, k - 1) * half
+                tried.add((doc, item, offset))
+                share, leak = verdict(items[item], chunk.words[doc][offset : (k + 3) * half])
+                if leak and share > best.get((doc, item), (0.0,))[0]:
+                    inside = [number[w] for w in chunk.words[doc][k * half : (k + 2) * half] if w in number]
+                    vector = latent[inside].sum(axis=0)
+                    best[doc, item] = (share, float(targets[item] @ vector / max(np.linalg.norm(vector), 1e-9)), offset)
+            weighty = weight[chunk.ids] > 0
+            sums, block = _sums(latent[chunk.ids[weighty]], chunk.place[weighty] // STEP)
             for width, members in scales.items():
                 half = width // (2 * STEP)
+                if not len(sums):
+                    break
                 halves, at = _sums(sums, block // half)
                 both = halves.copy()
                 follows = np.flatnonzero(at[1:] == at[:-1] + 1)
@@ -221,9 +293,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words of the items are weighted by inverse frequency over all documents and projected on a latent space
     (latent_basis); every window of every whole text, at the power-of-two width that holds the item, is a candidate if
-    its cosine with the item is COSINE or more. A candidate's surroundings are aligned with the item by longest common
-    subsequence (verdict); the best place by document and item is returned, with the word its region starts at and
-    h, a hash of the document's text. Items come in blocks of about BLOCK, so that what is broadcast stays bounded.
+    its cosine with the item is COSINE or more. Whatever the cosine, so is every window whose surroundings have a rare
+    word of the item (rare_words) and enough of all its words: each text's windows begin every half width, and none of
+    them that is a leak is left out, however common the item's words are. A candidate's surroundings are aligned with
+    the item by longest common subsequence (verdict); the best place by document and item is returned, with the word
+    its region starts at and h, a hash of the document's text. The cosine is 0 where no word has a weight. Items come in blocks of about BLOCK, so that what is broadcast stays bounded.
     Items of no words and null texts match nothing; repeated documents or items are each reported; empty tables give
     no rows; other columns are ignored.
     """

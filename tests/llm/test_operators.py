@@ -351,6 +351,28 @@ def test_leaks(spark, empty):
     assert decontaminate.find_leaks(empty, benchmark).count() == 0 and decontaminate.find_leaks(table, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_common_words(spark):
+    """A passage in a third of the documents, whose words all get common by that, and one of words that stand everywhere."""
+    leaked, frequent = prose(40, 38), "we go on and so do they as it was to be that it is as we do go so on they be"
+    filler = lambda i: " ".join(x + " " + y for x, y in zip(prose(700 + i, 60).split(), frequent.split() * 3))
+    docs = [(i, prose(300 + i, 70) + " " + (leaked + " " if i % 3 == 0 else "") + (frequent + " " if i == 50 else filler(i)) + prose(600 + i, 70)) for i in range(120)]
+    others = [(k, " ".join(docs[k][1].split()[:30])) for k in range(2, 120, 3)]
+    benchmark = spark.createDataFrame([(1000, leaked), (1001, frequent), *others], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert {d for d, i in found if i == 1000} == set(range(0, 120, 3))
+    assert (50, 1001) in found and {(k, k) for k, _ in others} <= found
+
+
+def test_rare_words_are_in_every_leak():
+    r = random.Random(3)
+    for _ in range(300):
+        item = [r.choice("abcdefghijklmnopqrstuvwxyz").encode() for _ in range(r.randint(1, 40))]
+        seen = {w: r.randint(0, 9) for w in item}
+        region = [w for w in item if r.random() < r.choice([0.5, 0.7, 0.9])] + [b"?"]
+        if decontaminate.verdict(item, region)[1]:
+            assert not decontaminate.rare_words(item, seen).isdisjoint(region) and decontaminate.possible(item, set(region))
+
+
 def test_language(spark, empty):
     words = {"aa": ["banana", "anagram", "cabana"], "bb": ["mitring", "sprint", "wind"], "cc": ["köln", "übör", "föhn"]}
     r = random.Random(1)
