@@ -378,31 +378,41 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     columns are ignored.
     """
     columns = _columns(scheme)
+    return _components(docs, scheme).select("doc_id", F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in columns)).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
+
+
+def _components(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Every row's doc_id, h (hash of the text) and print, and least, the smallest (doc_id, h) with a doc_id of its component."""
+    columns = _columns(scheme)
     node = F.col("f0") if scheme.longs == 1 else F.xxhash64(*columns)
     prints = stage(fingerprints(docs, scheme).withColumn("node", node))
-    nodes = prints.groupBy("node", *columns).agg(F.min("doc_id").alias("least"), F.min("h").alias("h"))
+    nodes = prints.groupBy("node", *columns).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("least"), F.min("h").alias("h"))
     if scheme.similarity:
         nodes = stage(nodes)
     links = similar_links(docs, prints, nodes, scheme) if scheme.similarity else near_links(nodes, scheme)
     roots = connected_components(links).withColumnRenamed("node", "_node")
     rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(least, "root").select("node", "component_id")
-    return prints.join(found, "node").select("doc_id", F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in columns)).alias("fingerprint"), "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("_least"))
+    found = rooted.join(least, "root").select("node", F.col("_least").alias("least"))
+    return prints.join(found, "node").select("doc_id", "h", *columns, "least")
 
 
 def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component, with all their columns.
+    """One row of each component, with all its columns: that of the smallest doc_id, then the smallest hash of the text.
 
-    Of rows that share a doc_id one stays. Rows without a doc_id stay unless their component has one.
+    Rows are told apart by doc_id and text, so different texts may share a doc_id. Of rows that share both one stays.
+    Rows without a doc_id stay unless their component has one.
     """
-    found = stage(near_duplicates(docs, scheme).select("doc_id", "component_id"))
-    ids = F.col("doc_id").cast("long")
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if not again.isEmpty():
-        docs = docs.dropDuplicates(["doc_id"])
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, ids.eqNullSafe(F.col("_id")), "left_anti")
+    found = stage(_components(docs, scheme).select("doc_id", "h", "least"))
+    text = F.xxhash64(F.col("text").cast("string"))
+    other = ~F.col("doc_id").eqNullSafe(F.col("least.doc_id")) | (F.col("h") != F.col("least.h"))
+    gone = found.filter(F.col("least").isNotNull() & other).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    again = found.filter("doc_id is not null").groupBy("doc_id", "h").count().filter("count > 1")
+    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text == F.col("_h")), "left_anti")
+    if again.isEmpty():
+        return kept
+    named = kept.filter("doc_id is not null").withColumn("_h", text).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return named.unionByName(kept.filter("doc_id is null"))
 
 
 def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,13 @@ def test_keep_one(docs):
     assert ids.count(4) == 1 and 5 not in ids and 6 not in ids and 7 in ids and 0 in ids and 1 not in ids
 
 
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    a, b, c, d = (prose(800 + k, 60) for k in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a + " tail"), (None, c), (None, d), (None, b + " end"), (5, c + " end")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, a), (1, b), (None, d), (5, c + " end")])
+
+
 def test_nearest_equals_all_pairs():
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 9, np.uint64)
