@@ -112,7 +112,8 @@ def _texts(docs: DataFrame, *ids: str) -> DataFrame:
 def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """(doc_id, h: a hash of the text, f0, ...: the print's bits as longs) of every whole text; a null text has no words.
 
-    A scheme with a similarity adds `n`, the size of the text's set of shingles, and `parity`, its parity_map().
+    A scheme with a similarity prints the text's set of shingles, without repeats, and adds `n`, that set's size, and
+    `parity`, its parity_map().
     """
     columns = _columns(scheme)
 
@@ -122,8 +123,8 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
             for text in blobs(batch.column(1)):
                 chunks = shingles(text, scheme.size)
                 if scheme.similarity:
-                    chunks = [*chunks]
                     distinct = np.unique(np.concatenate([*chunks, np.zeros(0, np.uint64)]))
+                    chunks = iter([distinct])  # print and similarity measure the same set
                     sizes.append(len(distinct))
                     maps.append(parity_map(distinct).tobytes())
                 prints.append(_print(chunks, scheme.longs))

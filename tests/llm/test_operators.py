@@ -161,6 +161,16 @@ def test_similar_texts_equal_brute_force(spark):
     assert sum(group[i] == group[j] for i, j in alike) >= 0.95 * len(alike)
 
 
+def test_repeated_phrases_leave_candidates(spark):
+    """Texts of nearly one set of shingles that repeat a phrase a different number of times."""
+    texts = []
+    for k in range(8):
+        words, phrase = prose(40 + k, 800, 5000), prose(90 + k, 10, 5000)
+        texts += [f"{words} {phrase}", " ".join([words, *[phrase] * 20])]
+    found = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), simhash.SIMILAR).select("doc_id", "component_id").collect())
+    assert found == {i: i // 2 * 2 for i in range(16)}
+
+
 def brute_spans(texts: list[bytes], n: int) -> list[list[bool]]:
     seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []
