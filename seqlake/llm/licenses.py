@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,12 @@ def vocabulary() -> dict[str, frozenset[bytes]]:
     return {label: words(text) for label, text in TEMPLATES.items()}
 
 
+@cache
+def spans() -> dict[str, int]:
+    """Words of the windows that are held against each template: its own, and as many more as it may lack."""
+    return {label: math.ceil(len(text.encode().translate(_FOLD).split()) / CONTAINMENT) for label, text in TEMPLATES.items()}
+
+
 def needed(size: int) -> int:
     """Words of a template of `size` words that a block must contain."""
     return math.ceil(CONTAINMENT * size - 1e-9)
@@ -104,10 +111,34 @@ class Join:
         return found
 
 
+def across(flat: list[bytes], join: Join) -> dict[str, float]:
+    """The best containment of each template that reaches the threshold in a window of spans() words, wherever lines end."""
+    inside = join.known.intersection(flat)
+    able = {label: ws for label, ws in vocabulary().items() if len(inside & ws) >= needed(len(ws))}
+    found: dict[str, float] = {}
+    for label, ws in able.items():
+        held: dict[bytes, int] = {}
+        places = [(k, w) for k, w in enumerate(flat) if w in ws]
+        first = best = 0
+        for k, w in places:
+            held[w] = held.get(w, 0) + 1
+            while places[first][0] <= k - spans()[label]:
+                gone = places[first][1]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                first += 1
+            best = max(best, len(held))
+        if best >= needed(len(ws)):
+            found[label] = best / len(ws)
+    return found
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row's whole text.
 
-    Blocks are the lines of a text; a template's label is given if one block contains CONTAINMENT of its different
+    Blocks are the lines of a text and, over all its lines, the windows of a template's length and a quarter more
+    (spans), so a notice is found however it is wrapped; a template's label is given if one block contains CONTAINMENT of its different
     words. score is the best containment of any template in any block, 1 where a base phrase stands, rounded to 6
     digits; templates under the threshold score 0. The frequencies that order the words come from every block of
     docs, but results don't depend on them. A null text has no words and null places; repeated rows repeat; an empty
@@ -133,9 +164,10 @@ def scan(docs: DataFrame) -> DataFrame:
                         at = joined.find(phrase, at + 1)
                 found: dict[str, float] = {}
                 if not join.keys.isdisjoint(flat):
-                    for block in folded.split(b"\n"):
-                        for label, share in join.match(block.split()).items():
-                            found[label] = max(share, found.get(label, 0.0))
+                    lines = [*map(bytes.split, folded.split(b"\n"))]
+                    matches = [*map(join.match, lines), *[across(flat, join)] * (len(lines) > 1)]
+                    for label, share in chain.from_iterable(x.items() for x in matches):
+                        found[label] = max(share, found.get(label, 0.0))
                 score = 1.0 if base else round(max(found.values(), default=0.0), 6)
                 rows.append((len(flat), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted({*base, *found})), score))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())

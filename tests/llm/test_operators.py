@@ -330,6 +330,20 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Each template wrapped, with and without blank lines and comment marks; text without a notice gets no label."""
+    rows = []
+    for label, text in licenses.TEMPLATES.items():
+        ws = text.split()
+        for between in ("\n", "\n# ", "\n\n"):
+            wrapped = between.join(" ".join(ws[i : i + 4]) for i in range(0, len(ws), 4))
+            rows.append((label, f"{prose(len(rows), 50)}\n{wrapped}\n{prose(len(rows) + 99, 50)}"))
+    rows.append(("", "\n".join([prose(7, 9), "permission to use", prose(8, 90), "software without", prose(9, 90), "restriction"])))
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert all(label in found[i]["labels"].split(",") and (found[i]["score"] == 1.0) == bool(label) for i, (label, _) in enumerate(rows))
+
+
 def test_license_join_equals_all_pairs():
     r = random.Random(5)
     known = sorted(frozenset().union(*licenses.vocabulary().values()))
