@@ -237,6 +237,14 @@ def test_quality_rejects_outliers_alone(spark):
     assert {r[0] for r in quality.keep_good(docs).select("doc_id").collect()} == kept
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_quality_rejects_a_third_of_junk(spark, copies):
+    good = [(i, prose(i, 80).capitalize() + ".", "en", "s") for i in range(160)]
+    junk = [(1000 + i, " | ".join(prose(0 if copies else i, 80).upper().split()), "en", "s") for i in range(80)]
+    kept = quality.judge(spark.createDataFrame(good + junk, "doc_id long, text string, lang string, source string")).filter("kept")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, *_ in good}
+
+
 def test_token_counts():
     pieces = {"▁": -1.0, "▁a": -2.0, "a": -3.0, "b": -3.0, "ab": -4.0, "▁ab": -7.5, "aba": -4.5, "c": -9.0}
     trie = tokens.Trie(pieces)
