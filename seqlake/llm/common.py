@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,7 +10,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    A session without that setting (a test) gets a folder of its own.
+    Where that is unset, the folder that setCheckpointDir() was given. A session of one JVM that has neither gets a
+    folder of its own; a cluster without one is an error, for its machines share no temporary folder.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not where and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
     return where or sc._jsc.sc().getCheckpointDir().get()
 
@@ -54,6 +59,35 @@ def unstage(*staged: DataFrame) -> None:
         df.staged_at.getFileSystem(conf).delete(df.staged_at, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to differ from all columns of df, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference to it, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_hash() -> Column:
+    """What tells texts of one doc_id apart; a null text has a hash as well."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def drop_rows(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id and text_hash() are not in bad(doc_id, h); nulls are equal."""
+    key, value = unused(docs, "bad_id", "bad_hash")
+    marked = bad.select(F.col("doc_id").alias(key), F.col("h").alias(value)).distinct()
+    return docs.join(marked, F.col("doc_id").eqNullSafe(F.col(key)) & (text_hash() == F.col(value)), "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
