@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import stage, unstage
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -26,15 +26,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star contraction, each of which keeps the components and never adds edges, until
     all edges lead to a root. Edges are kept from the larger end to the smaller, so a large star moves an edge's
     smaller end b to the smallest neighbour of b, and a small star ties all smaller neighbours of a node to the least.
-    Hub nodes cost a partial minimum and a join that adaptive execution can split. Each alternation is cut off by a
-    reliable checkpoint. No edges give no rows; null ends are not edges.
+    Hub nodes cost a partial minimum and a join that adaptive execution can split. Each alternation is written down,
+    and the one before it deleted. No edges give no rows; null ends are not edges; repeated edges count once.
     """
-    shared_dir(edges.sparkSession)
-    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    edges = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _stars(edges):
         large = edges.join(_least(edges).withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         least = _least(large)
         others = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = others.unionByName(least.withColumnRenamed("m", "b")).distinct().checkpoint()
+        last, edges = edges, stage(others.unionByName(least.withColumnRenamed("m", "b")).distinct())
+        unstage(last)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import blobs, partitions, runs, stage, table
+from .common import blobs, drop_rows, partitions, runs, stage, table, text_hash, unstage, unused
 from .components import connected_components
 
 
@@ -35,17 +36,22 @@ class Scheme:
 EXACT = Scheme()
 #: Shingles of five words of which two texts share 0.8: 256 bits of which 39 differ by expectation (the angle between
 #: the texts' shingle sets), with a standard deviation of 6; 56 is three of them above. A pair at that similarity agrees
-#: on one of the 20 blocks with probability 0.95, one at 0.9 with 0.999.
+#: on one of the 20 blocks with probability 0.95, one at 0.9 with 0.999; whatever they miss meets by its shingles.
 SIMILAR = Scheme(5, 4, 56, tuple((n, 12 * k, 12) for n in range(4) for k in range(5)), 0.8)
 #: Candidates of each print that are compared as texts in the first round, and by how much that grows each round.
 MOST, GROWTH = 4, 8
 #: Up to so many texts to compare, their hashes (8 bytes each) are broadcast to the scan of all texts.
 FEW = 1_000_000
-#: A shard of more fingerprints is split again by distance from two vantage points.
-SHARD = 50_000
-LEAF = 512
+#: A shard of more fingerprints is split again by distance from a vantage point; a tree's leaf has LEAF at most.
+SHARD, LEAF = 50_000, 64
+#: Up to so many shards' vantage points are broadcast to their rows, and keys that a hot component's rows are dealt to.
+VANTAGES, SALTS = 100_000, 64
+#: A shingle that over CROWD prints have among their first is a late choice; LATE bounds how many are (8 bytes each go to every task).
+CROWD, LATE = 1000, 4_000_000
 #: Bits of the parity map of a text's set of shingles.
 PARITY = 1024
+#: What the names of the shards of shingles begin with.
+SHINGLE = "s"
 _SHINGLES = 1 << 14
 _SEEDS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -105,35 +111,53 @@ def _columns(scheme: Scheme) -> list[str]:
 
 def _texts(docs: DataFrame, *ids: str) -> DataFrame:
     """Ids as longs, the text and h, a hash of it."""
-    text = F.col("text").cast("string")
-    return docs.select(*(F.col(i).cast("long").alias(i) for i in ids), text.alias("text"), F.xxhash64(text).alias("h"))
+    return docs.select(*(F.col(i).cast("long").alias(i) for i in ids), F.col("text").cast("string").alias("text"), text_hash().alias("h"))
+
+
+def first_shingles(hashes: np.ndarray, similarity: float, late: np.ndarray) -> np.ndarray:
+    """The first of a set's sorted hashes, as many as it takes for two sets that share `similarity` to have one in common.
+
+    All sets go by one order: hashes in `late` (sorted) after all others, else by number. Two sets A and B of that
+    similarity share at least that part of either, so the least common member is among the first
+    |A| - similarity * |A| + 1 of A, and likewise of B (prefix filter).
+    """
+    n = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+    if not len(late):
+        return hashes[:n]
+    is_late = late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes
+    return np.concatenate([hashes[~is_late], hashes[is_late]])[:n]
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """(doc_id, h: a hash of the text, f0, ...: the print's bits as longs) of every whole text; a null text has no words.
 
-    A scheme with a similarity prints the text's set of shingles, without repeats, and adds `n`, that set's size, and
-    `parity`, its parity_map().
+    A scheme with a similarity prints the text's set of shingles, without repeats, and adds `node`, a hash of that set,
+    `n`, its size, `parity`, its parity_map(), and `first`, its first_shingles().
     """
     columns = _columns(scheme)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, maps = [], [], []
+            prints, more = [], []
             for text in blobs(batch.column(1)):
                 chunks = shingles(text, scheme.size)
                 if scheme.similarity:
                     distinct = np.unique(np.concatenate([*chunks, np.zeros(0, np.uint64)]))
                     chunks = iter([distinct])  # print and similarity measure the same set
-                    sizes.append(len(distinct))
-                    maps.append(parity_map(distinct).tobytes())
+                    first = first_shingles(distinct, scheme.similarity, np.zeros(0, np.uint64))
+                    more.append((xxhash.xxh64_intdigest(distinct.tobytes()) - (1 << 63), len(distinct), parity_map(distinct).tobytes(), first.view(np.int64)))
                 prints.append(_print(chunks, scheme.longs))
             found = np.array(prints, np.uint64).view(np.int64).reshape(-1, scheme.longs)
-            more = {"n": pa.array(sizes, pa.int64()), "parity": pa.array(maps, pa.binary())} if scheme.similarity else {}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "h": batch.column(2)} | {c: pa.array(found[:, n]) for n, c in enumerate(columns)} | more)
+            arrays = [batch.column(0), batch.column(2), *(pa.array(found[:, n]) for n in range(scheme.longs))]
+            if scheme.similarity:
+                arrays += [pa.array(x, kind) for x, kind in zip(zip(*more) if more else [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = ["doc_id long", "h long", *(f"{c} long" for c in columns), *["n long", "parity binary"] * bool(scheme.similarity)]
-    return _texts(docs, "doc_id").mapInArrow(run, ", ".join(schema))
+    kinds = {"doc_id": "long", "h": "long"} | dict.fromkeys(columns, "long")
+    if scheme.similarity:
+        kinds |= {"node": "long", "n": "long", "parity": "binary", "first": "array<long>"}
+    names = list(kinds)
+    return _texts(docs, "doc_id").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds.items()))
 
 
 class Links:
@@ -184,15 +208,20 @@ def _compared(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.nda
                     yield one[i : i + LEAF], two[j : j + LEAF]
 
 
-def link_shard(fps: np.ndarray, radius: int) -> np.ndarray:
+def link_shard(fps: np.ndarray, radius: int, asking: np.ndarray | None = None) -> np.ndarray:
     """For each distinct print (a row of uint64) the position of its component's first member within this shard.
 
-    Nothing is returned for pairs, only roots.
+    Prints that are `asking` only belong to another shard and are not held against each other. Nothing is returned for
+    pairs, only roots.
     """
     links = Links(len(fps))
+    asking = np.zeros(len(fps), bool) if asking is None else asking
     for one, two in _compared(fps, radius):
-        x, y = np.nonzero(_distances(fps[one], fps[two]) <= radius)
-        links.add(one[x], two[y])
+        halves = [(one[~asking[one]], two)] if one is two else [(one[~asking[one]], two), (one[asking[one]], two[~asking[two]])]
+        for left, right in halves:
+            if len(left) and len(right):
+                x, y = np.nonzero(_distances(fps[left], fps[right]) <= radius)
+                links.add(left[x], right[y])
     return links.root
 
 
@@ -208,10 +237,11 @@ def similar_enough(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, maps: np
     return np.maximum(differ, np.abs(a - b)) <= (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def nearest(fps: np.ndarray, roots: np.ndarray, radius: int, most: int, possible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+def nearest(fps: np.ndarray, roots: np.ndarray, radius: int, most: int, possible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, tree: tuple[np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
     """Each print with its `most` nearest prints of another component, as pairs of positions within `radius`.
 
-    Pairs of positions that `possible` denies are no pairs. The third value tells whether any print has more of them.
+    Pairs of positions that `possible` denies are no pairs. `tree` gives other prints, and a radius that pairs also are
+    within by those, for the vantage-point tree to prune by. The third value tells whether any print has more of them.
     A tie goes to the smaller position.
     """
     held, waiting, size, more = np.zeros((3, 0), np.int64), [], 0, False
@@ -222,7 +252,7 @@ def nearest(fps: np.ndarray, roots: np.ndarray, radius: int, most: int, possible
         near = np.arange(rows.shape[1]) - np.searchsorted(rows[0], rows[0]) < most
         return rows[:, near], not near.all()
 
-    for one, two in _compared(fps, radius):
+    for one, two in _compared(*(tree or (fps, radius))):
         d = _distances(fps[one], fps[two])
         x, y = np.nonzero((d <= radius) & (roots[one][:, None] != roots[two]))
         if possible and len(x):
@@ -242,29 +272,51 @@ def nearest(fps: np.ndarray, roots: np.ndarray, radius: int, most: int, possible
     return held[0], held[2], more or cut
 
 
-def _routed(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """nodes(node, f0, ..., more columns) with their shard: each print in the shard of each of its blocks; crowded shards split by distance cells.
+def _split(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """rows(shard, node, f0, ..., more) with `asking`, in shards of at most SHARD members where vantage points can part them.
 
-    A crowded shard has two vantage points, its least and greatest print. A member goes to the cell of its two
-    distances, cells being wider than the radius, and where it is within the radius of the next cell's lower boundary
-    also there, as a query.
+    A vantage-point tree over shards. In each round a crowded shard takes one of its members as vantage point and is
+    parted at the median Hamming distance m from it. By the triangle inequality linked prints on both sides have
+    distances within the radius of m, so members beyond m by no more than the radius also go to the near side, to ask
+    there; what asks already goes to each side that it can have links in. The last parts are the tree's leaves.
     """
-    columns = _columns(scheme)
-    blocks = [F.shiftrightunsigned(f"f{n}", at).bitwiseAND((1 << bits) - 1) + (tree << 13) for tree, (n, at, bits) in enumerate(scheme.blocks)]
-    dealt = nodes.select("*", F.explode(F.array(*blocks)).alias("block"))
-    print_ = F.struct(*columns)
-    crowded = dealt.groupBy("block").agg(F.count("*").alias("n"), F.min(print_).alias("near"), F.max(print_).alias("far")).filter(F.col("n") > SHARD)
-    width = 2 * scheme.radius
+    columns, r = _columns(scheme), scheme.radius
+    rows, level = rows.withColumn("asking", F.lit(False)), 0
+    print_, done = F.struct(*columns), []
+    while True:
+        members = rows.filter("not asking")
+        seed = F.xxhash64(*columns, F.lit(level))
+        crowded = members.groupBy("shard").agg(F.count("*").alias("members"), F.min_by(print_, F.struct(seed, *columns)).alias("v")).filter(F.col("members") > SHARD)
+        crowded = stage(crowded)
+        n = crowded.count()
+        if not n:
+            for part in done:
+                rows = rows.unionByName(part)
+            return rows
+        few = F.broadcast if n <= VANTAGES else lambda df: df
+        far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"v.{c}"))) for c in columns), F.lit(0))
+        counts = members.join(few(crowded), "shard").groupBy("shard", "members", far.alias("d")).agg(F.count("*").alias("n"))
+        by = Window.partitionBy("shard")
+        below = counts.withColumns({"upto": F.sum("n").over(by.orderBy("d")), "top": F.max("d").over(by)})  # a row a distance
+        middle = F.least(F.min(F.when(2 * F.col("upto") >= F.col("members"), F.col("d"))), F.max(F.when(F.col("d") < F.col("top"), F.col("d"))))
+        cuts = crowded.select("shard", "v").join(below.groupBy("shard").agg(middle.alias("m")), "shard")
+        cuts = stage(cuts)
+        done.append(rows.join(few(crowded.select("shard")), "shard", "left_anti"))
+        side = lambda name, asks: F.struct(F.lit(name).alias("side"), asks.alias("asks"))
+        near_, far_ = far <= F.col("m"), far > F.col("m")
+        near = F.when(near_, side("n", F.col("asking"))).when(far <= F.col("m") + r, side("n", F.lit(True)))
+        away = F.when(far_, side("f", F.col("asking"))).when(F.col("asking") & (far > F.col("m") - r), side("f", F.lit(True)))
+        parted = rows.join(few(cuts), "shard").withColumn("to", F.explode(F.filter(F.array(near, away), lambda x: x.isNotNull())))
+        kept = [c for c in rows.columns if c not in ("shard", "asking")]
+        rows = stage(parted.select(F.concat("shard", "to.side").alias("shard"), *kept, F.col("to.asks").alias("asking")))
+        level += 1
 
-    def cells(vantage: str):
-        d = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{vantage}.{c}"))) for c in columns), F.lit(0))
-        home = F.floor(d / width)
-        return F.when(d % width >= width - scheme.radius, F.array(home, home + 1)).otherwise(F.array(home))
 
-    split = F.flatten(F.transform(cells("near"), lambda x: F.transform(cells("far"), lambda y: F.concat_ws(".", x, y))))
-    cell = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(""))).otherwise(split))
-    routed = dealt.join(crowded, "block", "left").select(*nodes.columns, "block", cell.alias("cell"))
-    return routed.select(F.concat_ws("/", "block", "cell").alias("shard"), *nodes.columns)
+def _routed(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """nodes(node, f0, ..., more columns) with their shard, of each of the print's blocks, and asking (_split)."""
+    blocks = [F.shiftrightunsigned(f"f{n}", at).bitwiseAND((1 << bits) - 1) + (tree << 13) for tree, (n, at, bits) in enumerate(scheme.blocks)]
+    dealt = nodes.select(F.explode(F.array(*blocks)).alias("block"), *nodes.columns)
+    return _split(dealt.select(F.concat(F.col("block").cast("string"), F.lit("/")).alias("shard"), *nodes.columns), scheme)
 
 
 def near_links(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
@@ -273,9 +325,12 @@ def near_links(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, "shard"):
-            node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
+            asks = rows.column("asking").to_numpy()
+            order = np.lexsort((asks, rows.column("node").to_numpy()))
+            node, at = np.unique(rows.column("node").to_numpy()[order], return_index=True)
+            at = order[at]  # a member's own row comes before those in which it asks
             fps = np.stack([rows.column(c).to_numpy()[at] for c in columns], axis=1).view(np.uint64)
-            roots = link_shard(fps, scheme.radius)
+            roots = link_shard(fps, scheme.radius, asks[at])
             tied = np.flatnonzero(roots != np.arange(len(fps)))
             if len(tied):
                 yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[roots[tied]])], names=["a", "b"])
@@ -287,10 +342,11 @@ def near_links(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
 def _candidates(routed: DataFrame, scheme: Scheme, most: int) -> DataFrame:
     """(shard, a, b) of prints by nearest(); a and b are null in a row more for a shard where a print has more.
 
-    Where routed has the columns n and parity, only pairs count that can have the scheme's similarity.
+    Where a shard's rows have n and parity, only pairs count that can have the scheme's similarity. The shards of
+    shingles always have them and know no radius of the prints; their tree is one of the parity maps, by which no
+    pair of that similarity is further apart than similar_enough() allows.
     """
     columns = _columns(scheme)
-    mapped = "parity" in routed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in runs(batches, "shard"):
@@ -298,12 +354,16 @@ def _candidates(routed: DataFrame, scheme: Scheme, most: int) -> DataFrame:
                 continue
             node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
             fps = np.stack([rows.column(c).to_numpy()[at] for c in columns], axis=1).view(np.uint64)
-            possible = None
-            if mapped:
+            possible = tree = None
+            radius = scheme.radius
+            if not rows.column("parity").null_count:
                 sizes = rows.column("n").to_numpy()[at]
                 maps = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(len(rows), -1)[at]
                 possible = lambda x, y: similar_enough(x, y, sizes, maps, scheme.similarity)
-            one, two, more = nearest(fps, rows.column("root").to_numpy()[at], scheme.radius, most, possible)
+                if shard.startswith(SHINGLE):
+                    radius = 64 * scheme.longs
+                    tree = maps, int(2 * sizes.max() * (1 - scheme.similarity) / (1 + scheme.similarity) + 1e-6)
+            one, two, more = nearest(fps, rows.column("root").to_numpy()[at], radius, most, possible, tree)
             if not len(one):
                 continue
             ends = [[*f(node[one], node[two]).tolist(), *[None] * more] for f in (np.minimum, np.maximum)]
@@ -313,8 +373,8 @@ def _candidates(routed: DataFrame, scheme: Scheme, most: int) -> DataFrame:
     return dealt.mapInArrow(run, "shard string, a long, b long")
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, s: sorted distinct hashes of shingles) for wanted(node, h), from any text of that hash."""
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, pick: Callable[[np.ndarray], np.ndarray] = lambda hashes: hashes) -> DataFrame:
+    """(node, s: sorted distinct hashes of shingles, or what `pick` takes of them) for wanted(node, h), from any text of that hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = set()
@@ -323,43 +383,83 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 if node not in done:  # copies of one text
                     done.add(node)
                     found = [*shingles(blobs(pa.array([text.as_py()], pa.string()))[0], size), np.zeros(0, np.uint64)]
-                    yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([np.unique(np.concatenate(found)).view(np.int64)], pa.list_(pa.int64()))], names=["node", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([pick(np.unique(np.concatenate(found))).view(np.int64)], pa.list_(pa.int64()))], names=["node", "s"])
 
     few = wanted.count() <= FEW
     picked = _texts(docs).join(F.broadcast(wanted) if few else wanted, "h").select("node", "text")
     return picked.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"])
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, b) of nodes(node, h, f0, ...) of prints whose texts share scheme.similarity of their shingles.
+def shingle_shards(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """(shard, node): a shard for each shingle that several of nodes(node, h, first) have among their first_shingles().
 
-    The links join all those of one component, but are not all links: in each round every print is compared, as a set
-    of shingles, with its nearest candidates of other components, and shards where a print has further ones go into
-    the next round, with GROWTH times as many. So a group of near copies costs a few pairs a text, no candidate
-    between components is left out or compared twice, and the rounds grow with the logarithm of the largest group.
-    From the second round on, which only crowded shards reach, candidates also have to pass the parity maps of their
-    sets, so that a crowd that is a little less alike than the similarity isn't compared pair by pair.
+    Two sets that share scheme.similarity meet in one of them, without exception. A shingle that over CROWD sets have
+    there (of a common line) is ranked last and the choice made again for those sets, so that a crowd meets only by
+    shingles of sets that have hardly any others: copies of each other, more or less. Of shards with the same members
+    one is enough.
+    """
+    postings, late = stage(nodes.select("node", "h", F.explode("first").alias("s"))), np.zeros(0, np.uint64)
+    while True:
+        crowd = max(CROWD, postings.count() // LATE)
+        hot = stage(postings.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("s"))
+        new = np.setdiff1d(hot.toArrow().column(0).to_numpy().view(np.uint64), late)  # at most LATE
+        if not len(new):
+            break
+        late = np.union1d(late, new)
+        again = stage(postings.join(hot, "s", "left_semi").select("node", "h").distinct())
+        shared = docs.sparkSession.sparkContext.broadcast(late)
+        chosen = _shingle_sets(docs, again, scheme.size, lambda hashes: first_shingles(hashes, scheme.similarity, shared.value))
+        rest = postings.join(again.select("node"), "node", "left_anti")
+        last, postings = postings, stage(rest.unionByName(chosen.join(again, "node").select("node", "h", F.explode("s").alias("s"))))
+        unstage(last, hot, again)
+    members = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (0, 1))]
+    several = postings.groupBy("s").agg(*members).filter("n > 1")
+    kept = several.groupBy("n", "x0", "x1").agg(F.min("s").alias("s")).select("s")
+    shards = stage(postings.join(kept, "s", "left_semi").select(F.concat(F.lit(SHINGLE), F.hex("s")).alias("shard"), "node"))
+    unstage(postings)
+    return shards
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b) of nodes(node, h, f0, ..., n, parity, first) whose texts share scheme.similarity of their shingles.
+
+    The links join all those of one component, but are not all links. Prints meet in the shards of their blocks, within
+    the scheme's radius, and in those of their shingles (shingle_shards), which no pair of that similarity escapes. In
+    each round every print is compared, as a set of shingles, with its nearest candidates of other components, and
+    shards where a print has further ones go into the next round, with GROWTH times as many. So a group of near copies
+    costs a few pairs a text, no candidate between components is left out or compared twice, and the rounds grow with
+    the logarithm of the largest group. In the shards of shingles, and from the second round on in all, candidates also
+    have to pass the parity maps of their sets, so that a crowd that is a little less alike than the similarity isn't
+    compared pair by pair.
     """
     columns, most, links, marked, tried = _columns(scheme), MOST, None, None, None
+    maps, by_shingle = nodes.select("node", "n", "parity"), shingle_shards(docs, nodes, scheme)
     rooted = nodes.select("node", *columns, F.col("node").alias("root"))
+    fields = ["shard", "node", *columns, "root", "n", "parity"]
     while True:
-        routed = _routed(rooted, scheme)
-        if marked is not None:
-            routed = routed.join(marked, "shard", "left_semi").join(maps, "node")
-        found = stage(_candidates(routed, scheme, most))
+        routed, shingled = _routed(rooted, scheme), by_shingle
+        if marked is None:
+            routed = routed.withColumns({"n": F.lit(None).cast("long"), "parity": F.lit(None).cast("binary")})
+        else:
+            routed, shingled = (x.join(marked, "shard", "left_semi") for x in (routed, shingled))
+            routed = routed.join(maps, "node")
+        shingled = shingled.join(rooted.join(maps, "node"), "node")
+        found = stage(_candidates(routed.select(fields).unionByName(shingled.select(fields)), scheme, most))
         pairs = found.filter("a is not null").select("a", "b").distinct()
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = stage(_shingle_sets(docs, stage(ends.join(nodes, "node").select("node", "h")), scheme.size))
+        wanted = stage(ends.join(nodes.select("node", "h"), "node"))
+        sets = stage(_shingle_sets(docs, wanted, scheme.size))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         passed = both.filter(common >= F.lit(scheme.similarity) * (F.size("sa") + F.size("sb") - common) - F.lit(1e-9)).select("a", "b")
         links = stage(passed if links is None else links.unionByName(passed))
-        marked = found.filter("a is null").select("shard").distinct()
+        unstage(wanted, sets)
+        marked = stage(found.filter("a is null").select("shard").distinct())
+        unstage(found)
         if marked.isEmpty():
             return links
-        maps = nodes.select("node", "h").join(prints.select("h", "n", "parity").dropDuplicates(["h"]), "h").select("node", "n", "parity")
         roots = connected_components(links).withColumnRenamed("node", "_node")
         links = roots.filter("_node <> root").select(F.col("_node").alias("a"), F.col("root").alias("b"))
         joined = nodes.join(roots, F.col("node") == F.col("_node"), "left")
@@ -370,13 +470,14 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, scheme:
 def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text).
 
-    Prints within the scheme's radius are linked, if the scheme has a similarity only where the texts have it, and
-    links are transitive; component_id is the smallest doc_id reachable. Equal prints meet as one node, so copies cost a group, not pairs. Nodes are dealt to the shards of the
-    scheme's blocks (within EXACT, two linked prints agree on one block, which is distance 0 there), each shard is
-    searched by a vantage-point tree, and shards of over SHARD nodes are first partitioned by Hamming distance with
-    the overlap that the triangle bound asks for. Repeated rows give repeated rows; a null doc_id links like any
-    other but is never a component_id unless the whole component has none; an empty table gives no rows; other
-    columns are ignored.
+    Prints within the scheme's radius are linked, or, if the scheme has a similarity, texts that share it; links are
+    transitive; component_id is the smallest doc_id reachable. Equal prints (or sets of shingles) meet as one node, so
+    copies cost a group, not pairs. Nodes are dealt to the shards of the scheme's blocks (within EXACT, two linked
+    prints agree on one block), shards of over SHARD nodes are parted by vantage points again and again, with the
+    overlap that the triangle bound asks for (_split), and each shard is searched by a vantage-point tree. Repeated
+    rows give repeated rows; a null doc_id links like any other but is never a component_id unless the whole component
+    has none; null and empty texts have no words and link with each other; ties don't matter; an empty table gives no
+    rows; other columns are ignored.
     """
     columns = _columns(scheme)
     return _components(docs, scheme).select("doc_id", F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in columns)).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
@@ -385,36 +486,37 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
 def _components(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """Every row's doc_id, h (hash of the text) and print, and least, the smallest (doc_id, h) with a doc_id of its component."""
     columns = _columns(scheme)
-    node = F.col("f0") if scheme.longs == 1 else F.xxhash64(*columns)
-    prints = stage(fingerprints(docs, scheme).withColumn("node", node))
-    nodes = prints.groupBy("node", *columns).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("least"), F.min("h").alias("h"))
-    if scheme.similarity:
-        nodes = stage(nodes)
-    links = similar_links(docs, prints, nodes, scheme) if scheme.similarity else near_links(nodes, scheme)
-    roots = connected_components(links).withColumnRenamed("node", "_node")
-    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("_least"))
-    found = rooted.join(least, "root").select("node", F.col("_least").alias("least"))
+    prints = fingerprints(docs, scheme)
+    prints = stage(prints if scheme.similarity else prints.withColumn("node", F.col("f0")))
+    more = [F.first(c).alias(c) for c in ("n", "parity", "first")] if scheme.similarity else []  # equal sets have them alike
+    nodes = stage(prints.groupBy("node", *columns).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("least"), F.min("h").alias("h"), *more))
+    links = similar_links(docs, nodes, scheme) if scheme.similarity else near_links(nodes, scheme)
+    linked = connected_components(links).join(nodes.select("node", "least"), "node")
+    least = linked.groupBy("root").agg(F.min("least").alias("shared")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = linked.select("node", "root", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")).join(least, ["root", "salt"]).select("node", "shared")
+    found = nodes.select("node", "least").join(shared.withColumn("linked", F.lit(True)), "node", "left")
+    found = found.select("node", F.when(F.col("linked"), F.col("shared")).otherwise(F.col("least")).alias("least"))
     return prints.join(found, "node").select("doc_id", "h", *columns, "least")
 
 
 def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id, then the smallest hash of the text.
+    """One row of each component, with all its columns, whatever their names: that of the smallest doc_id, then hash of the text.
 
     Rows are told apart by doc_id and text, so different texts may share a doc_id. Of rows that share both one stays.
-    Rows without a doc_id stay unless their component has one.
+    Rows without a doc_id stay unless their component has one. Null and empty texts are a component; an empty table
+    stays empty.
     """
     found = stage(_components(docs, scheme).select("doc_id", "h", "least"))
-    text = F.xxhash64(F.col("text").cast("string"))
     other = ~F.col("doc_id").eqNullSafe(F.col("least.doc_id")) | (F.col("h") != F.col("least.h"))
-    gone = found.filter(F.col("least").isNotNull() & other).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    kept = drop_rows(docs, found.filter(F.col("least").isNotNull() & other).select("doc_id", "h"))
     again = found.filter("doc_id is not null").groupBy("doc_id", "h").count().filter("count > 1")
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text == F.col("_h")), "left_anti")
     if again.isEmpty():
         return kept
-    named = kept.filter("doc_id is not null").withColumn("_h", text).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    (mark,) = unused(docs, "text_hash")
+    named = kept.filter("doc_id is not null").withColumn(mark, text_hash()).dropDuplicates(["doc_id", mark]).drop(mark)
     return named.unionByName(kept.filter("doc_id is null"))
 
 
 def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents by EXACT; nulls, ties, repeats and empty tables as there."""
     return near_duplicates(table(spark, sf_dir, "documents"))
