@@ -11,16 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, flat, partitions, runs, slices, stage, table, unstage
+from .common import blobs, flat, partitions, quoted, slices, stage, table, unstage
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 200
 #: Bytes of the grams that anchor windows; hashed by doubling, so a power of two.
 GRAM = 32
-#: Bytes of text taken into numpy at a time, and bytes of one suffix array.
-CHUNK, SHARD = 1 << 18, 1 << 20
-#: A gram with more different surroundings than this, and than this share of all, is a late choice as anchor.
-CROWD, SHARE = 10_000, 50_000
+#: Bytes of text taken into numpy at a time, bytes of the pieces that a longer text is cut into, and bytes of one suffix array.
+CHUNK, PIECE, SHARD = 1 << 18, 1 << 20, 1 << 20
+#: A gram with more different surroundings than CROWD is a late choice as anchor. LATE bounds how many grams are (8 bytes
+#: each go to every task): where there are over CROWD * LATE surroundings in all, the limit rises with them.
+CROWD, LATE = 10_000, 4_000_000
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
 _POSITION = 21  # bits for positions within a chunk, which has at most 2 MB unless a single text is longer
@@ -219,28 +220,38 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _anchor_rows(docs: DataFrame, length: int, late: list[int]) -> DataFrame:
-    """A row for each anchor: the document's key, its windows' places, the hashes of its gram and of its context."""
-    hot = np.array(sorted(x & (2**64 - 1) for x in late), np.uint64)
+#: The columns that tell documents apart, 96 bits of hash.
+KEY = ("k", "k2")
+
+
+def _anchor_rows(docs: DataFrame, length: int, late: np.ndarray) -> DataFrame:
+    """A row for each anchor: the document's key, its windows' places, the hashes of its gram and of its context.
+
+    A text of over four CHUNKs is cut into pieces that overlap by a window less one byte, so that each window is in
+    one of them; its anchor depends on its bytes alone.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(late)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in slices(batches, "text", CHUNK):
             data, offsets = flat(batch.column("text"))
-            text, first, last, gram = anchors(data, offsets, length, GRAM, hot)
-            raw = data.tobytes()
-            digest = xxhash.xxh3_64_intdigest
-            context = np.array([digest(raw[i : j + length]) for i, j in zip(first.tolist(), last.tolist())], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k").take(pa.array(text)), pa.array((first - offsets[text]).astype(np.int64)), pa.array((last - first).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))],
-                names=["k", "at", "more", "gram", "context"],
-            )
+            whole = len(data) <= 4 * CHUNK or batch.num_rows > 1
+            for start in (0,) if whole else range(0, len(data) - length + 1, PIECE):
+                part = data if whole else data[start : start + PIECE + length - 1]
+                text, first, last, gram = anchors(part, offsets if whole else np.array([0, len(part)]), length, GRAM, shared.value)
+                raw = part.tobytes()
+                context = np.array([digest(raw[i : j + length]) for i, j in zip(first.tolist(), last.tolist())], np.uint64)
+                keys = [batch.column(c).take(pa.array(text)) for c in KEY]
+                at = (first + start - (offsets[text] if whole else 0)).astype(np.int32)  # a column's text is under 2 GB
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(at), pa.array((last - first).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], names=[*KEY, "at", "more", "gram", "context"])
 
-    return docs.select("k", "text").mapInArrow(run, "k long, at long, more int, gram long, context long")
+    return docs.select(*KEY, "text").mapInArrow(run, "k long, k2 int, at int, more int, gram long, context long")
 
 
 def _contexts(anchored: DataFrame) -> DataFrame:
     """(gram, context, n, at): the different contexts of each gram, how many places each has, and the least of them."""
-    return anchored.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "more")).alias("at"))
+    return anchored.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at", "more")).alias("at"))
 
 
 def _judged(texts: DataFrame, length: int) -> DataFrame:
@@ -286,8 +297,8 @@ def _judged(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of each wanted context (k, gram, context, n, at, more), out of its document."""
-    lists = wanted.groupBy("k").agg(F.collect_list(F.struct("gram", "context", "n", "at", "more")).alias("asked"))
+    """The bytes of each wanted context (KEY, gram, context, n, at, more), out of its document."""
+    lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "context", "n", "at", "more")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK):
@@ -295,11 +306,11 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["gram", "context", "n", "bytes"])
 
-    return docs.select("k", "text").join(lists, "k").select("text", "asked").mapInArrow(run, "gram long, context long, n long, bytes binary")
+    return docs.select(*KEY, "text").join(lists, list(KEY)).select("text", "asked").mapInArrow(run, "gram long, context long, n long, bytes binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k, starts, ends) of docs(k long, text): for each key the runs of bytes that repeated strings cover.
+    """(KEY, spans) of docs(KEY, text): for each key the runs of bytes that repeated strings cover.
 
     A string of `length` bytes counts if it also starts anywhere else, in the same text or another. Every window has
     an anchor by content alone, so equal windows meet under the hash of their anchor's gram; a gram with one place
@@ -307,18 +318,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cut into shards of SHARD bytes, each of which gets a suffix array and common prefixes; a gram that runs over
     several shards is merged by binary search. Copies meet as one context with a count. A gram in a great many
     different contexts (a common line) is ranked last as an anchor and the choice made again, whereupon its windows
-    spread over their other grams; those wholly inside common text have few different contexts.
+    spread over their other grams; those wholly inside common text have few different contexts. What is left of a
+    crowd meets in one task, a shard of SHARD bytes at a time: at most the limit's contexts, of under two windows each.
     """
-    late: list[int] = []
+    late = np.zeros(0, np.uint64)
     while True:
         anchored = stage(_anchor_rows(docs, length, late))
         contexts = stage(_contexts(anchored))
         by_gram = contexts.groupBy("gram").agg(F.sum("n").alias("places"), F.count("*").alias("kinds"))
-        crowd = max(CROWD, contexts.count() // SHARE)
-        more = [r[0] for r in by_gram.filter(F.col("kinds") > crowd).select("gram").collect()]  # at most SHARE of them
-        if not set(more) - set(late):
+        crowd = max(CROWD, contexts.count() // LATE)
+        more = by_gram.filter(F.col("kinds") > crowd).select("gram").toArrow().column(0).to_numpy().view(np.uint64)  # at most LATE
+        if np.isin(more, late).all():
             break
-        late = sorted({*late, *more})
+        late = np.union1d(late, more)
         unstage(anchored, contexts)
     again = by_gram.filter("places > 1").select("gram")
     wanted = stage(contexts.join(again, "gram").select("gram", "context", "n", "at.*"))
@@ -328,13 +340,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     unstage(wanted)
     hit = anchored.join(found, ["gram", "context"])
     span = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.struct((F.col("at") + s["starts"]).alias("s"), (F.col("at") + s["ends"] - 1 + length).alias("e")))
-    spans = stage(hit.groupBy("k").agg(F.flatten(F.collect_list(span)).alias("spans")))
+    spans = stage(hit.groupBy(*KEY).agg(F.flatten(F.collect_list(span)).alias("spans")))
     unstage(anchored, found)
     return spans
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("k", F.xxhash64(F.col("doc_id").cast("long"), F.octet_length("text"), "text"))
+    parts = (F.col("doc_id").cast("long"), F.octet_length("text"), F.col("text"))
+    return docs.withColumns({"k": F.xxhash64(*parts), "k2": F.hash(*parts)})
 
 
 def _merged(spans: list[dict] | None) -> list[list[int]]:
@@ -351,15 +364,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
     """Every row of docs(doc_id, text) with what is left of its text once repeated bytes are removed.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `texts`, the rest as `text` beside all other
-    columns of docs: bytes of characters that a cut left incomplete are dropped from it. A null text is empty (and
-    stays null in `text`); texts shorter than `length` lose nothing; repeated rows count as places of their own and
-    so lose everything they share; an empty table gives no rows. Columns named k or spans may clash: they are kept
-    out of the way.
+    columns of docs, whatever their names: bytes of characters that a cut left incomplete are dropped from it. A null
+    text is empty (and stays null in `text`); texts shorter than `length` lose nothing; repeated rows count as places
+    of their own and so lose everything they share; a null doc_id is one like another; an empty table gives no rows.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if texts else []
-    packed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+    held = F.struct(*(F.col(quoted(c)).alias(f"c{n}") for n, c in enumerate(rest)), F.lit(0).alias("none"))
+    packed = docs.select("doc_id", F.col("text").cast("string").alias("text"), held.alias("rest"))
     keyed = _keyed(packed)
-    joined = keyed.join(repeated_spans(keyed.select("k", "text"), length), "k", "left").select("doc_id", "text", "spans", "rest")
+    joined = keyed.join(repeated_spans(keyed.select(*KEY, "text"), length), list(KEY), "left").select("doc_id", "text", "spans", "rest")
     figures = "doc_id {}, n_bytes long, n_removed long, n_spans long, kept_sha256 string".format(docs.schema["doc_id"].dataType.simpleString())
     kinds = f"{figures}, kept string, rest {packed.schema['rest'].dataType.simpleString()}" if texts else figures
 
@@ -380,8 +393,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -
             yield pa.RecordBatch.from_arrays(arrays[: len(names) if texts else 5], names=names if texts else names[:5])
 
     done = joined.mapInArrow(run, kinds)
-    return done.select("doc_id", F.col("kept").alias("text"), *(F.col("rest").getField(c).alias(c) for c in rest)).select(*docs.columns) if texts else done
+    back = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text")} | {c: F.col("rest").getField(f"c{n}").alias(c) for n, c in enumerate(rest)}
+    return done.select(*(back[c] for c in docs.columns)) if texts else done
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats() of all documents; nulls, ties, repeats and empty tables as there."""
     return remove_repeats(table(spark, sf_dir, "documents"))
