@@ -25,7 +25,8 @@ WORD, PENALTY = "▁", 2.0
 def load(path: str) -> dict[str, float]:
     """Log probability of each ordinary piece of a sentencepiece model.
 
-    The model lists pieces by rank; a unigram model takes Zipf's law over the ranks for their probabilities.
+    None of the public vocabularies is a unigram model, so none has probabilities: this one lists its pieces by rank,
+    and Zipf's law over the ranks stands in for them.
     """
     import sentencepiece
 
@@ -86,17 +87,29 @@ class Trie:
             before = text
 
 
+_held: tuple[dict[str, float], Trie] | None = None
+
+
+def trie_of(pieces: dict[str, float]) -> Trie:
+    """The Trie that this Python process keeps for a vocabulary, with the counts of its earlier tasks."""
+    global _held
+    if _held is None or _held[0] is not pieces:
+        _held = pieces, Trie(pieces)
+    return _held[1]
+
+
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row's whole text.
 
     Pre-tokens are runs of characters other than ASCII white space, each with a mark of its beginning. A task inserts
-    the different pre-tokens of its rows into a trie, so no row is moved; TERMINALS and CHUNK bound its memory. A null text has no
-    tokens; repeated rows repeat; an empty table gives no rows; other columns are ignored.
+    the different pre-tokens of its rows into a trie, which the tasks of one Python process share, so no row is moved;
+    TERMINALS and CHUNK bound its memory. A null text has no tokens; repeated rows repeat; ties go to fewer tokens; an
+    empty table gives no rows; other columns are ignored.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load(vocabulary))  # a vocabulary's size, which is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(pieces.value)
+        trie = trie_of(pieces.value)
         for batch in slices(batches, "text", CHUNK):
             found = [text.split() for text in blobs(batch.column("text"))]
             trie.insert(chain.from_iterable(found))
@@ -109,4 +122,5 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op4_unigram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """count_tokens() of all documents; nulls, ties, repeats and empty tables as there."""
     return count_tokens(table(spark, sf_dir, "documents"))
