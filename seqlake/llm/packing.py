@@ -2,93 +2,108 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, runs, stage, table
+from .tokens import VOCABULARY, count_tokens
 
-#: Permitted sequence lengths in tokens, and what a sequence costs besides its length.
-SIZES, OVERHEAD = (1024, 2048, 4096, 8192), 64
+#: Permitted sequence lengths in tokens, what a sequence costs besides its length, and the length at which attention
+#: costs as much again as all that goes by the token.
+SIZES, OVERHEAD, ATTENTION = (1024, 2048, 4096, 8192), 64, 24_576
 #: Pieces that are packed together, about.
 SHARD = 20_000
 
 
-def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
+def bin_cost(size: int, overhead: int = OVERHEAD, attention: int = ATTENTION) -> float:
+    """What a sequence of `size` tokens costs, in tokens: an overhead, the tokens, and attention, which goes by their square."""
+    return overhead + size + size * size / attention
+
+
+def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, attention: int = ATTENTION) -> tuple[list[int], list[int], list[int]]:
     """(bin, place in the bin) of each piece, and the size of each bin.
 
-    Pieces go longest first into the open bin whose free room they fill best. If none has room, a bin of the size of
-    least cost is opened: (overhead + size) a token that it can come to hold, which is the piece and what is left of
-    shorter pieces that would fit beside it. Finally each bin takes the smallest permitted size for its contents.
-    Pieces are at most the largest size long; a tie is settled by position.
+    Bins are opened for the longest piece that is left. Each permitted size that holds it is filled, on trial, with the
+    pieces that fit its free room best (the longest of those that are left, again and again), and the size of least
+    bin_cost() a token held is opened: a large bin costs more attention, a small one may stay empty beside a long
+    piece, and which weighs more depends on the pieces that are left. A tie goes to the smaller size. Finally each bin
+    takes the smallest permitted size for its contents. Pieces are at most the largest size long; those of one length
+    go by position; pieces of no tokens join the first bin.
     """
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    ordered = np.array([lengths[i] for i in order], np.int64)
-    left = np.append(np.cumsum(ordered[::-1])[::-1], 0)  # tokens from each place in the order on
-    ascending = -ordered
-    bins, places, filled, room = [0] * len(lengths), [0] * len(lengths), [], []
-    open_bins: dict[int, list[int]] = {}
-    for k, i in enumerate(order):
-        need = lengths[i]
-        at = bisect_left(room, need)
-        if at == len(room):
-
-            def cost(size: int) -> tuple[float, int]:
-                rest = max(k + 1, int(np.searchsorted(ascending, -(size - need), side="left")))
-                return (overhead + size) / max(1, min(size, need + int(left[rest]))), size
-
-            size = min((s for s in sizes if s >= need), key=cost)
-            free, b = size, len(filled)
-            filled.append(0)
-        else:
-            free = room[at]
-            b = open_bins[free].pop()
-            if not open_bins[free]:
-                del open_bins[free]
-                room.pop(at)
-        bins[i], places[i] = b, filled[b]
-        filled[b] += need
-        if free - need not in open_bins:
-            insort(room, free - need)
-        open_bins.setdefault(free - need, []).append(b)
-    return bins, places, [next(s for s in sorted(sizes) if s >= n) for n in filled]
-
-
-def pack_items(items: DataFrame, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD) -> DataFrame:
+    waiting: dict[int, list[int]] = {}
+    for i in range(len(lengths) - 1, -1, -1):
+        waiting.setdefault(lengths[i], []).append(i)
+    left = sorted(n for n in waiting if n)
+    permitted = sorted(sizes)
+    costs = {s: bin_cost(s, overhead, attention) for s in permitted}
+    bins, places, found = [0] * len(lengths), [0] * len(lengths), []
+
+    def filled(size: int) -> tuple[int, list[tuple[int, int]]]:
+        """Tokens that a bin of this size gets, and how many pieces of which lengths."""
+        room, at, taken = size, len(left) - 1, []
+        while at >= 0:
+            n = left[at]
+            if count := min(len(waiting[n]), room // n):
+                taken.append((n, count))
+                room -= n * count
+            at = min(at, bisect_right(left, room)) - 1
+        return size - room, taken
+
+    while left:
+        trials = [(s, *filled(s)) for s in permitted if s >= left[-1]]
+        held, taken = min(((costs[next(x for x in permitted if x >= n)] / n, s, n, t) for s, n, t in trials), key=lambda x: x[:2])[2:]
+        place = 0
+        for n, count in taken:
+            for _ in range(count):
+                i = waiting[n].pop()
+                bins[i], places[i] = len(found), place
+                place += n
+            if not waiting[n]:
+                left.pop(bisect_right(left, n) - 1)
+        found.append(next(s for s in permitted if s >= held))
+    if waiting.get(0) and not found:
+        found.append(permitted[0])
+    return bins, places, found
+
+
+def pack_items(items: DataFrame, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, attention: int = ATTENTION) -> DataFrame:
     """Pieces of items(doc_id, n_tokens) with their bins: doc_id, piece, start, length, bin, bin_start, bin_size.
 
-    An item longer than the largest size is cut into pieces of that size and a rest. Pieces are dealt by hash into
-    groups of about SHARD, whose number follows the rows, and each group is packed by pack(); a group's last bins are
-    all that the cut into groups costs. Items of no tokens (and null ones) are a piece of length 0; repeated rows are
-    items of their own; an empty table gives no rows; other columns are ignored.
+    An item longer than the largest size is cut into pieces of that size and a rest. The pieces are written down and
+    dealt, by a hash of the place where they stand there, into groups of about SHARD, whose number follows their
+    number, so items of one id and length spread like any others; each group is packed by pack(), and a group's last
+    bins are all that the cut into groups costs. Items of no tokens (and null ones) are a piece of length 0; repeated
+    rows are items of their own; an empty table gives no rows; other columns are ignored.
     """
     most, kind = max(sizes), items.schema["doc_id"].dataType.simpleString()
     whole = items.select("doc_id", F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).alias("n"))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(most).cast("long"))
-    pieces = stage(whole.select("doc_id", "n", F.posexplode(starts).alias("piece", "start")).select("doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(most)).alias("length")))
+    cut = whole.select("doc_id", "n", F.posexplode(starts).alias("piece", "start")).select("doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(most)).alias("length"))
+    pieces = stage(cut.withColumn("at", F.monotonically_increasing_id()))
     groups = pieces.count() // SHARD + 1
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("at"), F.lit(groups)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in runs(batches, "shard"):
-            bins, places, found = pack(rows.column("length").to_pylist(), sizes, overhead)
+            bins, places, found = pack(rows.column("length").to_pylist(), sizes, overhead, attention)
             extra = pa.table({"bin": [f"{shard}-{b}" for b in bins], "bin_start": pa.array(places, pa.int64()), "bin_size": pa.array([found[b] for b in bins], pa.int64())})
             for name in extra.column_names:
                 rows = rows.append_column(name, extra.column(name))
-            yield from rows.drop_columns(["shard"]).combine_chunks().to_batches()
+            yield from rows.drop_columns(["shard", "at"]).combine_chunks().to_batches()
 
-    ordered = dealt.repartition(min(groups, 8 * partitions(items.sparkSession)), "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece")
+    ordered = dealt.repartition(min(groups, 8 * partitions(items.sparkSession)), "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "at")
     return ordered.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, bin string, bin_start long, bin_size long")
 
 
-def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """pack_items() for docs(doc_id, text), a token being a byte of UTF-8."""
-    return pack_items(docs.select("doc_id", F.octet_length(F.col("text").cast("string")).alias("n_tokens")), sizes)
+def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = SIZES, vocabulary: str = VOCABULARY) -> DataFrame:
+    """pack_items() for the token counts that count_tokens() gives docs(doc_id, text); nulls, ties, repeats and empty tables as there."""
+    return pack_items(count_tokens(docs, vocabulary), sizes)
 
 
 def op5_variable_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents() for all documents; nulls, ties, repeats and empty tables as in pack_items()."""
     return pack_documents(table(spark, sf_dir, "documents"))
