@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import pyarrow as pa
@@ -41,15 +40,14 @@ def words(text: str) -> frozenset[bytes]:
     return frozenset(text.encode().translate(_FOLD).split())
 
 
-@cache
-def vocabulary() -> dict[str, frozenset[bytes]]:
-    return {label: words(text) for label, text in TEMPLATES.items()}
+def vocabulary(templates: dict[str, str] = TEMPLATES) -> dict[str, frozenset[bytes]]:
+    """Each template's different words; templates of none match nothing and are left out."""
+    return {label: found for label, text in templates.items() if (found := words(text))}
 
 
-@cache
-def spans() -> dict[str, int]:
+def window_words(templates: dict[str, str] = TEMPLATES) -> dict[str, int]:
     """Words of the windows that are held against each template: its own, and as many more as it may lack."""
-    return {label: math.ceil(len(text.encode().translate(_FOLD).split()) / CONTAINMENT) for label, text in TEMPLATES.items()}
+    return {label: math.ceil(len(text.encode().translate(_FOLD).split()) / CONTAINMENT) for label, text in templates.items()}
 
 
 def needed(size: int) -> int:
@@ -57,9 +55,9 @@ def needed(size: int) -> int:
     return math.ceil(CONTAINMENT * size - 1e-9)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(word, n): in how many blocks of all texts each word of the templates stands; words in none are left out."""
-    known = frozenset().union(*vocabulary().values())
+    known = frozenset().union(*vocabulary(templates).values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = dict.fromkeys(known, 0)
@@ -76,53 +74,58 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Join:
     """Containment join of a block with the templates: prefix, length and positional filters over one word order.
 
-    Words stand in the order of their frequency, rarest first. A block that contains `needed` of a template's words
-    contains one of its first size - needed + 1 words (prefix filter), has `needed` words or more (length filter),
-    and at its first common word, position p of the template's, enough of the template is left (positional filter).
+    Words stand in the order of their frequency, rarest first; those of no template are never ranked. A block that
+    contains `needed` of a template's words contains one of its first size - needed + 1 words, and has one among its
+    own first words, all but the least needed number less one (prefix filters). It has `needed` ranked words or more
+    (length filter), and from the first common word on, at places p of the template and q of the block, both have
+    `needed` words left (positional filter).
     """
 
-    def __init__(self, frequency: dict[bytes, int]):
-        rank = lambda w: (frequency.get(w, 0), w)
-        self.sorted = {label: sorted(ws, key=rank) for label, ws in vocabulary().items()}
-        self.index: dict[bytes, list[tuple[str, int]]] = {}
-        for label, ws in self.sorted.items():
-            for place, word in enumerate(ws[: len(ws) - needed(len(ws)) + 1]):
-                self.index.setdefault(word, []).append((label, place))
-        self.keys = frozenset(self.index)
-        self.known = frozenset().union(*vocabulary().values())
+    def __init__(self, frequency: dict[bytes, int], templates: dict[str, frozenset[bytes]] | None = None):
+        templates = vocabulary() if templates is None else templates
+        self.known = frozenset().union(*templates.values())
+        self.rank = {w: k for k, w in enumerate(sorted(self.known, key=lambda w: (frequency.get(w, 0), w)))}
+        self.sets = templates
+        self.index: dict[int, list[tuple[str, int, int]]] = {}
+        for label, ws in templates.items():
+            ranks = sorted(map(self.rank.__getitem__, ws))
+            for place, rank in enumerate(ranks[: len(ranks) - needed(len(ranks)) + 1]):
+                self.index.setdefault(rank, []).append((label, place, len(ranks)))
+        self.keys = frozenset(w for w, k in self.rank.items() if k in self.index)
+        self.least = min((needed(len(ws)) for ws in templates.values()), default=1)
+
+    def candidates(self, inside: frozenset[bytes]) -> list[str]:
+        """The templates that pass the filters for a block that has these words of theirs."""
+        ranks = sorted(map(self.rank.__getitem__, inside))
+        met, found = set(), []
+        for q, rank in enumerate(ranks[: max(0, len(ranks) - self.least + 1)]):
+            for label, place, size in self.index.get(rank, ()):
+                if label not in met:
+                    met.add(label)
+                    if min(size - place, len(ranks) - q) >= needed(size):
+                        found.append(label)
+        return found
 
     def match(self, block: list[bytes]) -> dict[str, float]:
         """The containment of each template that reaches the threshold."""
-        first = self.keys.intersection(block)
-        if not first:
+        if self.keys.isdisjoint(block):
             return {}
         inside = self.known.intersection(block)
-        found: dict[str, float] = {}
-        places: dict[str, int] = {}
-        for word in first:
-            for label, place in self.index[word]:
-                places[label] = min(place, places.get(label, place))
-        for label, place in places.items():
-            ws = self.sorted[label]
-            if len(inside) >= needed(len(ws)) and len(ws) - place >= needed(len(ws)):
-                common = len(inside.intersection(ws))
-                if common >= needed(len(ws)):
-                    found[label] = common / len(ws)
-        return found
+        shares = {label: len(inside & self.sets[label]) for label in self.candidates(inside)}
+        return {label: n / len(self.sets[label]) for label, n in shares.items() if n >= needed(len(self.sets[label]))}
 
 
-def across(flat: list[bytes], join: Join) -> dict[str, float]:
-    """The best containment of each template that reaches the threshold in a window of spans() words, wherever lines end."""
-    inside = join.known.intersection(flat)
-    able = {label: ws for label, ws in vocabulary().items() if len(inside & ws) >= needed(len(ws))}
+def across(flat: list[bytes], join: Join, spans: dict[str, int]) -> dict[str, float]:
+    """The best containment of each template that reaches the threshold in a window of its span's words, wherever lines end."""
     found: dict[str, float] = {}
-    for label, ws in able.items():
+    for label in join.candidates(join.known.intersection(flat)):
+        ws = join.sets[label]
         held: dict[bytes, int] = {}
         places = [(k, w) for k, w in enumerate(flat) if w in ws]
         first = best = 0
         for k, w in places:
             held[w] = held.get(w, 0) + 1
-            while places[first][0] <= k - spans()[label]:
+            while places[first][0] <= k - spans[label]:
                 gone = places[first][1]
                 held[gone] -= 1
                 if not held[gone]:
@@ -134,21 +137,22 @@ def across(flat: list[bytes], join: Join) -> dict[str, float]:
     return found
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row's whole text.
 
     Blocks are the lines of a text and, over all its lines, the windows of a template's length and a quarter more
     (spans), so a notice is found however it is wrapped; a template's label is given if one block contains CONTAINMENT of its different
     words. score is the best containment of any template in any block, 1 where a base phrase stands, rounded to 6
     digits; templates under the threshold score 0. The frequencies that order the words come from every block of
-    docs, but results don't depend on them. A null text has no words and null places; repeated rows repeat; an empty
-    table gives no rows; other columns are ignored.
+    docs, but results don't depend on them. `templates` maps labels to texts; it goes to every task, so it is for
+    hundreds of notices, not for a corpus. A null text has no words and null places; repeated rows repeat; ties don't
+    matter; an empty table gives no rows; other columns are ignored.
     """
-    frequency = {r["word"].encode(): r["n"] for r in word_counts(docs).collect()}  # at most the templates' words
-    phrases = [(f" {p} ".encode(), p.count(" ") + 1, label) for p, label in PHRASES.items()]
+    frequency = {r["word"].encode(): r["n"] for r in word_counts(docs, templates).collect()}  # at most the templates' words
+    phrases = [(f" {p} ".encode(), label) for p, label in PHRASES.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = Join(frequency)
+        join, spans = Join(frequency, vocabulary(templates)), window_words(templates)
         for batch in batches:
             rows = []
             for text in blobs(batch.column("text")):
@@ -156,16 +160,17 @@ def scan(docs: DataFrame) -> DataFrame:
                 flat = folded.split()
                 joined = b" " + b" ".join(flat) + b" "
                 places, base = [], set()
-                for phrase, _, label in phrases:
-                    at = joined.find(phrase)
+                for phrase, label in phrases:
+                    at, last, n = joined.find(phrase), 0, 0
                     while at >= 0:
-                        places.append(joined.count(b" ", 0, at))
+                        n += joined.count(b" ", last, at)  # each stretch is counted once
+                        places.append(n)
                         base.add(label)
-                        at = joined.find(phrase, at + 1)
+                        at, last = joined.find(phrase, at + 1), at
                 found: dict[str, float] = {}
                 if not join.keys.isdisjoint(flat):
                     lines = [*map(bytes.split, folded.split(b"\n"))]
-                    matches = [*map(join.match, lines), *[across(flat, join)] * (len(lines) > 1)]
+                    matches = [*map(join.match, lines), *[across(flat, join, spans)] * (len(lines) > 1)]
                     for label, share in chain.from_iterable(x.items() for x in matches):
                         found[label] = max(share, found.get(label, 0.0))
                 score = 1.0 if base else round(max(found.values(), default=0.0), 6)
@@ -179,6 +184,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() of all documents; nulls, ties, repeats and empty tables as there."""
     return scan(table(spark, sf_dir, "documents"))
 
 
