@@ -14,8 +14,10 @@ from .common import slices, table
 
 #: Hash buckets of letter trigrams, what is added to each one's count, and bytes of text times languages in a chunk.
 BUCKETS, SMOOTH, CHUNK = 1 << 16, 0.1, 1 << 22
-#: Rounds of expectation-maximisation, languages of a text at most tried, and the penalty's weight.
-ROUNDS, TRIED, PENALTY = 12, 4, 1.5
+#: Rounds of expectation-maximisation, and the penalty's weight.
+ROUNDS, PENALTY = 12, 1.5
+#: Languages that are learned at most, those of most texts: BUCKETS numbers each are what comes to the driver and goes to tasks.
+LANGUAGES = 256
 
 
 @cache
@@ -44,7 +46,9 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages of docs(text, lang), sorted, and their log probabilities of each bucket.
 
-    Counts cover all rows; at most BUCKETS numbers a language come to the driver. Null langs and texts teach nothing.
+    Counts cover all rows; at most BUCKETS numbers a language come to the driver, for the LANGUAGES langs of most texts
+    (the first by name of equals), so that junk labels stay out. Null langs and texts teach nothing; repeated rows
+    teach as often; an empty table teaches no language; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,6 +66,9 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"])
 
     taught = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).filter("text is not null and lang is not null")
+    common = [r["lang"] for r in taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()]
+    if len(common) > LANGUAGES:
+        taught = taught.filter(F.col("lang").isin(common[:LANGUAGES]))
     summed = taught.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = summed.toArrow()
     names = sorted(set(found.column("lang").to_pylist()))
@@ -87,7 +94,7 @@ def mixtures(texts: list[str], logs: np.ndarray) -> list[np.ndarray | None]:
 
     Words are the mixture's observations: a word's likelihood in a language is that of its trigrams. Texts start with
     all languages; then the likelihood of their most likely k languages, less PENALTY * (k - 1) * log(words), chooses
-    k. Only texts with a second language of note are tried with k > 1.
+    k, out of every number up to that of the languages with a share of note. Equal values go to fewer languages.
     """
     bucket, word, text = trigrams(texts)
     out: list[np.ndarray | None] = [None] * len(texts)
@@ -108,20 +115,18 @@ def mixtures(texts: list[str], logs: np.ndarray) -> list[np.ndarray | None]:
     alone = singles.argmax(axis=1)
     best[np.arange(len(best)), alone] = 1.0
     value = singles.max(axis=1)
-    open_ = np.flatnonzero(share[np.arange(len(share)), order[:, 1]] > 0.5 / np.maximum(size, 25)) if languages > 1 else np.zeros(0, int)
-    for k in range(2, min(TRIED, languages) + 1):
-        if not len(open_):
-            break
-        allowed = np.zeros((len(open_), languages))
-        np.put_along_axis(allowed, order[open_, :k], 1.0, axis=1)
-        rows = np.concatenate([np.arange(first[d], first[d] + size[d]) for d in open_])
-        sizes = size[open_]
+    of_note = (share > (0.5 / np.maximum(size, 25))[:, None]).sum(axis=1)
+    for k in range(2, int(of_note.max()) + 1):
+        tried_at = np.flatnonzero(of_note >= k)
+        allowed = np.zeros((len(tried_at), languages))
+        np.put_along_axis(allowed, order[tried_at, :k], 1.0, axis=1)
+        rows = np.concatenate([np.arange(first[d], first[d] + size[d]) for d in tried_at])
+        sizes = size[tried_at]
         tried, total = _maximise(likelihood[rows], np.cumsum(sizes) - sizes, sizes, allowed)
         total = total - PENALTY * (k - 1) * np.log(sizes + 1)
-        better = total > value[open_]
-        value[open_[better]] = total[better]
-        best[open_[better]] = tried[better]
-        open_ = open_[better]
+        better = total > value[tried_at]
+        value[tried_at[better]] = total[better]
+        best[tried_at[better]] = tried[better]
     for k, d in enumerate(present):
         out[d] = best[k]
     return out
@@ -150,6 +155,10 @@ def identify(docs: DataFrame, names: list[str], logs: np.ndarray) -> DataFrame:
 
 
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() for all documents, by what three quarters of them teach; nulls, ties, repeats and empty tables as there.
+
+    A null doc_id counts as an empty one when the quarters are told apart.
+    """
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
     names, logs = learn(docs.filter(~held_out))
