@@ -38,8 +38,8 @@ EXACT = Scheme()
 #: the texts' shingle sets), with a standard deviation of 6; 56 is three of them above. A pair at that similarity agrees
 #: on one of the 20 blocks with probability 0.95, one at 0.9 with 0.999; whatever they miss meets by its shingles.
 SIMILAR = Scheme(5, 4, 56, tuple((n, 12 * k, 12) for n in range(4) for k in range(5)), 0.8)
-#: Candidates of each print that are compared as texts in the first round, and by how much that grows each round.
-MOST, GROWTH = 4, 8
+#: Candidates of each print, in each of its shards, that are compared as texts in the first round, and by how much that grows each round.
+MOST, GROWTH = 1, 8
 #: Up to so many texts to compare, their hashes (8 bytes each) are broadcast to the scan of all texts.
 FEW = 1_000_000
 #: A shard of more fingerprints is split again by distance from a vantage point; a tree's leaf has LEAF at most.
@@ -396,27 +396,26 @@ def shingle_shards(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFra
     Two sets that share scheme.similarity meet in one of them, without exception. A shingle that over CROWD sets have
     there (of a common line) is ranked last and the choice made again for those sets, so that a crowd meets only by
     shingles of sets that have hardly any others: copies of each other, more or less. Of shards with the same members
-    one is enough.
+    (told by their number and a 64-bit sum) one is enough.
     """
-    postings, late = stage(nodes.select("node", "h", F.explode("first").alias("s"))), np.zeros(0, np.uint64)
+    postings, late = stage(nodes.select("node", F.explode("first").alias("s"))), np.zeros(0, np.uint64)
+    members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x")]
     while True:
-        crowd = max(CROWD, postings.count() // LATE)
-        hot = stage(postings.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("s"))
+        several = stage(postings.groupBy("s").agg(*members).filter("n > 1"))
+        hot = several.filter(F.col("n") > max(CROWD, postings.count() // LATE)).select("s")
         new = np.setdiff1d(hot.toArrow().column(0).to_numpy().view(np.uint64), late)  # at most LATE
         if not len(new):
             break
         late = np.union1d(late, new)
-        again = stage(postings.join(hot, "s", "left_semi").select("node", "h").distinct())
+        again = stage(postings.join(hot, "s", "left_semi").select("node").distinct().join(nodes.select("node", "h"), "node"))
         shared = docs.sparkSession.sparkContext.broadcast(late)
         chosen = _shingle_sets(docs, again, scheme.size, lambda hashes: first_shingles(hashes, scheme.similarity, shared.value))
         rest = postings.join(again.select("node"), "node", "left_anti")
-        last, postings = postings, stage(rest.unionByName(chosen.join(again, "node").select("node", "h", F.explode("s").alias("s"))))
-        unstage(last, hot, again)
-    members = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (0, 1))]
-    several = postings.groupBy("s").agg(*members).filter("n > 1")
-    kept = several.groupBy("n", "x0", "x1").agg(F.min("s").alias("s")).select("s")
-    shards = stage(postings.join(kept, "s", "left_semi").select(F.concat(F.lit(SHINGLE), F.hex("s")).alias("shard"), "node"))
-    unstage(postings)
+        last, postings = postings, stage(rest.unionByName(chosen.select("node", F.explode("s").alias("s"))))
+        unstage(last, several, again)
+    kept = stage(several.groupBy("n", "x").agg(F.min("s").alias("s")).select("s"))
+    shards = stage(postings.join(F.broadcast(kept) if kept.count() <= FEW else kept, "s", "left_semi").select(F.concat(F.lit(SHINGLE), F.hex("s")).alias("shard"), "node"))
+    unstage(postings, several, kept)
     return shards
 
 
