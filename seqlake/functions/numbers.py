@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 
 def gcd(a: Column, b: Column) -> Column:
@@ -98,21 +98,43 @@ def next_permutation(values: pd.Series) -> pd.Series:
     return values.map(advance)
 
 
-def _wrapping(step: Callable[[np.ndarray, np.ndarray], np.ndarray], finish: Callable[[np.ndarray], np.ndarray]):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for values in batches:
-            out = np.zeros(len(values), np.uint64)
-            lengths = values.map(len).to_numpy()
-            for k in range(int(lengths.max(initial=0))):
-                live = np.flatnonzero(lengths > k)
-                out[live] = step(out[live], np.array([values.iloc[i][k] for i in live], np.uint64))
-            yield pd.Series(finish(out).view(np.int64))
+_LOW = (1 << 32) - 1
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, LongType())
 
+def _add(a: Column, b: Column) -> Column:
+    """Sum of two longs on 64 bits that wrap, by halves that can't overflow."""
+    low = a.bitwiseAND(_LOW) + b.bitwiseAND(_LOW)
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(_LOW))
 
-#: Multiplicative hash of a letter array, on 64 bits that wrap.
-multiplicative_hash = _wrapping(lambda h, x: (h + x) * np.uint64(2654435761), lambda h: h)
-#: One-at-a-time hash of a letter array, on 64 bits that wrap.
-one_at_a_time_hash = _wrapping(lambda h, x: (g := (h + x) * np.uint64(1025)) ^ (g >> np.uint64(6)), lambda h: (g := (h * np.uint64(9)) ^ ((h * np.uint64(9)) >> np.uint64(11))) * np.uint64(32769))
+
+def shift_xor_hash(letters: Column) -> Column:
+    """Hash that starts at the length and, for each letter (a byte), turns by 5 and 27 bits on 64 that wrap; a signed long."""
+    step = lambda h, x: F.shiftleft(h, 5).bitwiseXOR(F.shiftrightunsigned(h, 27)).bitwiseXOR(x.cast("long").bitwiseAND(255))
+    return F.aggregate(letters, F.size(letters).cast("long"), step)
+
+
+def one_at_a_time_hash(letters: Column) -> Column:
+    """Jenkins's one-at-a-time hash of letters (bytes) on 64 bits that wrap; a signed long."""
+
+    def step(h: Column, x: Column) -> Column:
+        h = _add(h, x.cast("long").bitwiseAND(255))
+        h = _add(h, F.shiftleft(h, 10))
+        return h.bitwiseXOR(F.shiftrightunsigned(h, 6))
+
+    def finish(h: Column) -> Column:
+        h = _add(h, F.shiftleft(h, 3))
+        h = h.bitwiseXOR(F.shiftrightunsigned(h, 11))
+        return _add(h, F.shiftleft(h, 15))
+
+    return F.aggregate(letters, F.lit(0).cast("long"), step, finish)
+
+
+def nearest_distance(x: Column, y: Column) -> Column:
+    """(distance, which): the least distance between members of two arrays, and the place in x of the first such member.
+
+    Pairs go by y, then x. An empty or null array gives 0 and null.
+    """
+    pairs = F.flatten(F.transform(y, lambda b, k: F.transform(x, lambda a, n: F.struct(F.abs(a - b).alias("d"), k.alias("k"), n.alias("n")))))
+    least = F.array_min(pairs)
+    return F.struct(F.coalesce(least["d"], F.lit(0).cast("long")).alias("distance"), least["n"].alias("which"))

@@ -39,7 +39,7 @@ def _pairs(function, kind: DataType):
     return F.pandas_udf(run, kind)
 
 
-def gapless_batch(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 20) -> np.ndarray:
+def gapless_batch(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 20, match: int = MATCH, mismatch: int = MISMATCH) -> np.ndarray:
     """gapless()'s score of many pairs, a row of all pairs' tables at a time; `cells` bounds what is held."""
     out = np.zeros(len(pairs), np.int32)
     order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
@@ -56,7 +56,7 @@ def gapless_batch(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 <<
         row, best = np.zeros((len(some), n + 1), np.int32), np.zeros(len(some), np.int32)
         for i in range(m):
             fresh = np.zeros_like(row)
-            np.add(row[:, :-1], np.where(b == a[:, i : i + 1], MATCH, MISMATCH), out=fresh[:, 1:])
+            np.add(row[:, :-1], np.where(b == a[:, i : i + 1], match, mismatch), out=fresh[:, 1:])
             np.maximum(fresh, 0, out=fresh)
             row = fresh
             np.maximum(best, row.max(axis=1), out=best)
@@ -65,10 +65,14 @@ def gapless_batch(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 <<
     return out
 
 
-@F.pandas_udf(IntegerType())
-def gapless_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Gapless score of two letter columns, Arrow batch by batch."""
-    return pd.Series(gapless_batch([(np.asarray(x), np.asarray(y)) for x, y in zip(a, b)]))
+def gapless_score(match: int = MATCH, mismatch: int = MISMATCH):
+    """A function of two letter columns: their gapless score, Arrow batch by batch."""
+
+    @F.pandas_udf(IntegerType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(gapless_batch([(np.asarray(x), np.asarray(y)) for x, y in zip(a, b)], match=match, mismatch=mismatch))
+
+    return score
 
 
 gapless_place = _pairs(lambda x, y: list(gapless(x, y)), ArrayType(IntegerType()))
@@ -83,33 +87,59 @@ def gapless_by_diagonals(pairs: DataFrame, match: int = MATCH, mismatch: int = M
     return summed.withColumn("gain", gain).groupBy("query_id", "target_id").agg(F.greatest(F.lit(0), F.max("gain")).cast("int").alias("swscore"))
 
 
-def affine(a: np.ndarray, b: np.ndarray, open_: float, widen: float, local: bool, table: np.ndarray | None = None) -> tuple[float, list[tuple[int, int]]]:
-    """Score and aligned positions of the best alignment with affine gaps (Gotoh), local or global.
+def letter_table(a: np.ndarray, b: np.ndarray, matrix: np.ndarray | None = None) -> np.ndarray:
+    """Scores of all pairs of two sequences' letters: the matrix's, or MATCH and MISMATCH."""
+    return np.where(a[:, None] == b[None, :], float(MATCH), float(MISMATCH)) if matrix is None else matrix[np.ix_(a, b)]
+
+
+def profile_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores of all pairs of two profiles' positions: the products of their class probabilities, added up."""
+    return a @ b.T
+
 
-    `table` scores pairs of letters; without it they score MATCH or MISMATCH. A gap of n letters costs
-    open_ + (n - 1) * widen; end gaps of a global alignment are free.
+def affine_tables(scores: list[np.ndarray], open_: float, widen: float, local: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Best scores h and last steps of alignments with affine gaps (Gotoh) for many score tables at once.
+
+    h[k, i, j] is that of the first i and j places of pair k. Steps are the length of a gap down, the negative one of a gap
+    to the right, or 0. The tables are filled by anti-diagonals, whose cells don't depend on each other, over all pairs
+    together; smaller ones are padded.
     """
-    m, n = len(a), len(b)
-    score = np.where(a[:, None] == b[None, :], float(MATCH), float(MISMATCH)) if table is None else table[np.ix_(a, b)]
-    h, back = np.zeros((m + 1, n + 1)), np.zeros((m + 1, n + 1), np.int32)
-    down, down_from = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int32)
-    for i in range(1, m + 1):
-        opened = h[i - 1] - open_
-        longer = down - widen > opened
-        down = np.where(longer, down - widen, opened)
-        down_from = np.where(longer, down_from + 1, 1)
-        diagonal = h[i - 1, :-1] + score[i - 1]
-        right, right_from = -np.inf, 0
-        for j in range(1, n + 1):
-            right, right_from = max((h[i, j - 1] - open_, 1), (right - widen, right_from + 1))
-            value, step = diagonal[j - 1], 0
-            if down[j] > value:
-                value, step = down[j], int(down_from[j])
-            if right > value:
-                value, step = right, -right_from
-            h[i, j], back[i, j] = (0.0, 0) if local and value < 0 else (value, step)
+    m, n = max(x.shape[0] for x in scores), max(x.shape[1] for x in scores)
+    padded = np.zeros((len(scores), m, n))
+    for k, x in enumerate(scores):
+        padded[k, : x.shape[0], : x.shape[1]] = x
+    h, back = np.zeros((len(scores), m + 1, n + 1)), np.zeros((len(scores), m + 1, n + 1), np.int32)
+    # by the row i of a cell on the last anti-diagonal: the best scores that end in a gap, and the gap's length
+    down, right = np.full((2, len(scores), m + 1), -np.inf)
+    down_n, right_n = np.zeros((2, len(scores), m + 1), np.int32)
+    for d in range(2, m + n + 1):
+        i = np.arange(max(1, d - n), min(m, d - 1) + 1)
+        j = d - i
+        opened, longer = h[:, i - 1, j] - open_, down[:, i - 1] - widen
+        go = longer > opened
+        now_down, now_down_n = np.where(go, longer, opened), np.where(go, down_n[:, i - 1] + 1, 1)
+        opened, longer = h[:, i, j - 1] - open_, right[:, i] - widen
+        go = longer >= opened
+        now_right, now_right_n = np.where(go, longer, opened), np.where(go, right_n[:, i] + 1, 1)
+        value, step = h[:, i - 1, j - 1] + padded[:, i - 1, j - 1], np.zeros((len(scores), len(i)), np.int32)
+        go = now_down > value
+        value, step = np.where(go, now_down, value), np.where(go, now_down_n, step)
+        go = now_right > value
+        value, step = np.where(go, now_right, value), np.where(go, -now_right_n, step)
+        if local:
+            step[value < 0] = 0
+            value = np.maximum(value, 0.0)
+        h[:, i, j], back[:, i, j] = value, step
+        down, right = np.full((2, len(scores), m + 1), -np.inf)
+        down[:, i], right[:, i], down_n[:, i], right_n[:, i] = now_down, now_right, now_down_n, now_right_n
+    return h, back
+
+
+def traced(h: np.ndarray, back: np.ndarray, local: bool) -> tuple[float, list[tuple[int, int]]]:
+    """Score and aligned positions of the best alignment in one pair's tables of affine_tables()."""
+    m, n = h.shape[0] - 1, h.shape[1] - 1
     if local:
-        i, j = np.unravel_index(int(h.argmax()), h.shape)
+        i, j = map(int, np.unravel_index(int(h.argmax()), h.shape))
     else:
         i, j = (m, int(h[m].argmax())) if h[m].max() >= h[:, n].max() else (int(h[:, n].argmax()), n)
     total, pairs = float(h[i, j]), []
@@ -120,20 +150,48 @@ def affine(a: np.ndarray, b: np.ndarray, open_: float, widen: float, local: bool
         elif step < 0:
             j += step
         else:
-            pairs.append((int(i) - 1, int(j) - 1))
+            pairs.append((i - 1, j - 1))
             i, j = i - 1, j - 1
     return total, pairs[::-1]
 
 
+def alignments(scores: list[np.ndarray], open_: float, widen: float, local: bool, cells: int = 1 << 20) -> list[tuple[float, list[tuple[int, int]]]]:
+    """Score and aligned positions for many score tables, local or global; `cells` bounds what is held at a time.
+
+    A gap of n letters costs open_ + (n - 1) * widen; end gaps of a global alignment are free.
+    """
+    out: list[tuple[float, list[tuple[int, int]]]] = [(0.0, [])] * len(scores)
+    order = sorted((k for k, x in enumerate(scores) if x.size), key=lambda k: scores[k].shape)
+    start = 0
+    while start < len(order):
+        stop, m, n = start, 0, 0
+        while stop < len(order):
+            a, b = max(m, scores[order[stop]].shape[0]), max(n, scores[order[stop]].shape[1])
+            if stop > start and (stop + 1 - start) * a * b > cells:
+                break
+            stop, m, n = stop + 1, a, b
+        some = order[start:stop]
+        h, back = affine_tables([scores[k] for k in some], open_, widen, local)
+        for row, k in enumerate(some):
+            part = slice(scores[k].shape[0] + 1), slice(scores[k].shape[1] + 1)
+            out[k] = traced(h[row][part], back[row][part], local)
+        start = stop
+    return out
+
+
+def affine(a: np.ndarray, b: np.ndarray, open_: float, widen: float, local: bool, table: np.ndarray | None = None) -> tuple[float, list[tuple[int, int]]]:
+    """alignments() of one pair of letter sequences; `table` scores pairs of letters, else they score MATCH or MISMATCH."""
+    return alignments([letter_table(a, b, table)], open_, widen, local)[0]
+
+
 def linear_cells(a: np.ndarray, b: np.ndarray, indel: int = -5) -> tuple[int, list[int]]:
     """Local alignment with a linear gap cost: score and its cells, end to start, 1-based and flat.
 
     The way back prefers up, then left, then the diagonal.
     """
-    h = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            h[i, j] = max(0, h[i - 1, j] + indel, h[i, j - 1] + indel, h[i - 1, j - 1] + (MATCH if a[i - 1] == b[j - 1] else MISMATCH))
+    if not len(a) or not len(b):
+        return 0, []
+    h = affine_tables([letter_table(a, b)], -indel, -indel, True)[0][0].astype(np.int64)
     i, j = map(int, np.unravel_index(int(h.argmax()), h.shape))
     best, cells = int(h[i, j]), []
     while h[i, j] > 0:
@@ -147,20 +205,29 @@ def linear_cells(a: np.ndarray, b: np.ndarray, indel: int = -5) -> tuple[int, li
     return best, cells
 
 
-def weighted_distance(a: np.ndarray, b: np.ndarray, indel: int = 1, substitution: int = 1) -> int:
-    """Edit distance with given costs."""
-    row = np.arange(len(b) + 1) * indel
+def weighted_distance(a: np.ndarray, b: np.ndarray, indel: int = 1, substitution: int | np.ndarray = 1) -> int:
+    """Edit distance with given costs; those of substitutions may be a matrix by letters. Equal letters cost nothing."""
+    gaps = np.arange(len(b) + 1) * indel
+    row = gaps.copy()
     for i, x in enumerate(a, 1):
-        fresh = np.minimum(row[1:] + indel, row[:-1] + np.where(b == x, 0, substitution))
-        out = [i * indel]
-        for value in fresh.tolist():
-            out.append(min(value, out[-1] + indel))
-        row = np.array(out)
+        dear = substitution if np.isscalar(substitution) else substitution[x, b]
+        fresh = np.append(i * indel, np.minimum(row[1:] + indel, row[:-1] + np.where(b == x, 0, dear)))
+        row = np.minimum.accumulate(fresh - gaps) + gaps  # gaps to the right, from the best place before
     return int(row[-1])
 
 
-gapped_local = _pairs(lambda x, y: round(affine(x, y, 8.94, 0.88, True)[0], 4), DoubleType())
-gapped_global = _pairs(lambda x, y: round(affine(x, y, 3.25, 0.8942, False)[0], 4), DoubleType())
+def _all_pairs(local: bool, open_: float, widen: float):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            done = alignments([letter_table(np.asarray(x), np.asarray(y)) for x, y in zip(a, b)], open_, widen, local)
+            yield pd.Series([round(score, 4) for score, _ in done], dtype=float)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, DoubleType())
+
+
+gapped_local = _all_pairs(True, 8.94, 0.88)
+gapped_global = _all_pairs(False, 3.25, 0.8942)
 traceback_cells = _pairs(lambda x, y: linear_cells(x, y)[1], ArrayType(IntegerType()))
 weighted_edits = _pairs(lambda x, y: weighted_distance(x, y, 2, 3), IntegerType())
 

@@ -1,4 +1,4 @@
-"""Suffix order and places in concatenated sequences, for collections of a moderate size."""
+"""Suffix order and places in concatenated sequences."""
 
 from __future__ import annotations
 
@@ -10,24 +10,56 @@ from pyspark.sql.window import Window
 DELIMITER, SENTINEL = 4000, 4001
 
 
-def suffixes(sequences: DataFrame, depth: int | None = None) -> DataFrame:
-    """(seq_id, pos, suffix) of every position; suffixes cut at `depth` letters if given."""
-    length = F.size("letters") if depth is None else F.lit(depth)
-    cut = F.transform(F.sequence(F.lit(0), F.size("letters") - 1), lambda p: F.slice("letters", p + 1, length))
-    return sequences.filter(F.size("letters") > 0).select("seq_id", F.posexplode(cut).alias("pos", "suffix"))
+#: Letters of the first comparison; each later one is of twice as many.
+FIRST = 8
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """rows with rank, from 0, by suffix, seq_id and pos.
+def kept(df: DataFrame) -> DataFrame:
+    """df worked out once: written to the session's checkpoint folder, or cached where there is none."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows with their number from 0 by the given columns.
 
     Range partitions are counted first, so that no task sees all rows.
     """
-    parts = rows.repartitionByRange("suffix", "seq_id", "pos").withColumn("part", F.spark_partition_id())
-    parts = parts.checkpoint() if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else parts.persist()
+    parts = kept(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     counts = parts.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")  # a row a partition
-    within = F.row_number().over(Window.partitionBy("part").orderBy("suffix", "seq_id", "pos"))
-    return parts.withColumn("within", within).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("within") - 1).drop("part", "within", "before")
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return parts.withColumn("within", within).join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("within") - 1).drop("part", "within", "before")
+
+
+def openings(sequences: DataFrame, depth: int) -> DataFrame:
+    """(seq_id, pos, rest, head) of every position: how many letters there are from it on, and the first `depth` of them."""
+    cut = F.transform(F.sequence(F.lit(0), F.size("letters") - 1), lambda p: F.slice("letters", p + 1, F.lit(depth)))
+    rows = sequences.filter(F.size("letters") > 0).select("seq_id", F.size("letters").alias("n"), F.posexplode(cut).alias("pos", "head"))
+    return rows.select("seq_id", "pos", (F.col("n") - F.col("pos")).alias("rest"), "head")
+
+
+def suffix_ranks(sequences: DataFrame) -> tuple[DataFrame, int]:
+    """(seq_id, pos, rest, place, rank) of every position, and the letters after which no order changes.
+
+    rank, from 0, is by suffix, seq_id and pos; place is alike for equal suffixes. Prefix doubling: positions placed by
+    their first h letters are placed by 2h with the place h further on, until that parts none any more, so a row
+    holds two numbers, however long its suffix is.
+    """
+    rows, h = openings(sequences, FIRST), FIRST
+    places = numbered(rows.select("head").distinct(), "place", "head")
+    rows = kept(rows.join(places, "head").select("seq_id", "pos", "rest", "place"))
+    different = rows.select("place").distinct().count()
+    while True:
+        then = F.coalesce(F.lead("place", h).over(Window.partitionBy("seq_id").orderBy("pos")), F.lit(-1))
+        both = rows.withColumn("then", then)
+        places = numbered(both.select("place", "then").distinct(), "finer", "place", "then")
+        finer = kept(both.join(places, ["place", "then"]).select("seq_id", "pos", "rest", F.col("finer").alias("place")))
+        rows.unpersist()
+        rows, now = finer, finer.select("place").distinct().count()
+        h *= 2
+        if now == different:
+            return numbered(rows, "rank", "place", "seq_id", "pos"), h
+        different = now
 
 
 def shared_prefix(a: Column, b: Column) -> Column:
@@ -37,29 +69,57 @@ def shared_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_min(differs) - 1, n)
 
 
-def neighbour_prefixes(rows: DataFrame) -> DataFrame:
-    """rows with lcp: what each suffix shares with the one before it in rank."""
-    before = rows.select((F.col("rank") + 1).alias("rank"), F.col("suffix").alias("last"))
-    return rows.join(before, "rank", "left").withColumn("lcp", F.coalesce(shared_prefix(F.col("suffix"), F.col("last")), F.lit(0))).drop("last")
+def neighbour_prefixes(sequences: DataFrame) -> DataFrame:
+    """(seq_id, pos, rank, lcp): what each suffix shares with the one before it in rank; equal ones share all they have, the first nothing."""
+    ranks, depth = suffix_ranks(sequences)
+    rows = kept(ranks.join(openings(sequences, depth).select("seq_id", "pos", "head"), ["seq_id", "pos"]))
+    before = rows.select((F.col("rank") + 1).alias("rank"), F.col("head").alias("last"), F.col("place").alias("last_place"))
+    lcp = F.when(F.col("last").isNull(), 0).when(F.col("place") == F.col("last_place"), F.col("rest")).otherwise(shared_prefix(F.col("head"), F.col("last")))
+    return rows.join(before, "rank", "left").select("seq_id", "pos", "rank", lcp.cast("int").alias("lcp"))
 
 
-def pattern_ranges(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, a, b): the ranks of suffixes that begin with each pattern(pattern); (1, 0) if none does."""
-    keyed = rows.join(patterns.select("pattern", F.size("pattern").alias("k")).select("k").distinct()).select("rank", F.slice("suffix", 1, F.col("k")).alias("pattern"))
-    found = keyed.groupBy("pattern").agg(F.min("rank").alias("a"), F.max("rank").alias("b"))
+def pattern_ranges(sequences: DataFrame, patterns: DataFrame, lengths: list[int]) -> DataFrame:
+    """(pattern, a, b): the ranks of suffixes that begin with each pattern(pattern), of one of the lengths; (1, 0) if none does."""
+    ranks, _ = suffix_ranks(sequences)
+    heads = openings(sequences, max(lengths)).select("seq_id", "pos", "rest", F.explode(F.array(*(F.slice("head", 1, F.lit(k)) for k in lengths))).alias("pattern"))
+    asked = heads.filter(F.size("pattern") <= F.col("rest")).distinct().join(patterns.select("pattern").distinct(), "pattern", "left_semi")
+    found = asked.join(ranks.select("seq_id", "pos", "rank"), ["seq_id", "pos"]).groupBy("pattern").agg(F.min("rank").alias("a"), F.max("rank").alias("b"))
     return patterns.join(found, "pattern", "left").select("pattern", F.coalesce("a", F.lit(1)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
 
 
 def starts(sequences: DataFrame) -> DataFrame:
     """(seq_id, start, end): the places of sequences in their concatenation by seq_id, each with a delimiter after it."""
-    sizes = sequences.select("seq_id", (F.size("letters") + 1).cast("long").alias("n"))
-    end = F.sum("n").over(Window.orderBy("seq_id"))  # a row a sequence, without its letters
-    return sizes.select("seq_id", (end - F.col("n")).alias("start"), (end - 2).alias("end"))
+    sizes = kept(sequences.select("seq_id", (F.size("letters") + 1).cast("long").alias("n")).repartitionByRange("seq_id").withColumn("part", F.spark_partition_id()))
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("all"))
+    before = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))  # a row a partition
+    end = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("seq_id"))
+    return sizes.join(F.broadcast(before), "part").select("seq_id", (end - F.col("n")).alias("start"), (end - 2).alias("end"))
+
+
+#: Places that an as-of lookup takes together; an interval is carried on from cell to cell.
+CELL = 1 << 16
+
+
+def last_before(keys: DataFrame, asked: DataFrame, carried: str) -> DataFrame:
+    """asked(v, ...) with the column `carried` of the row of keys(v, carried) of the greatest v that isn't over its own; else null.
+
+    Both sides are put in one order, cell by cell of CELL values; the last key of each cell is carried on to the next.
+    """
+    extra = [c for c in asked.columns if c != "v"]
+    both = keys.select("v", F.struct("v", carried).alias("key"), F.lit(None).cast(asked.select(F.struct(*asked.columns)).schema[0].dataType).alias("row"))
+    both = both.unionByName(asked.select("v", F.lit(None).cast(both.schema["key"].dataType).alias("key"), F.struct(*asked.columns).alias("row"))).withColumn("cell", F.floor(F.col("v") / CELL))
+    within = F.last("key", ignorenulls=True).over(Window.partitionBy("cell").orderBy("v", F.col("key").isNull()))
+    tops = both.groupBy("cell").agg(F.max("key").alias("top"))
+    before = tops.select("cell", F.max("top").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))  # a row a cell
+    found = both.withColumn("own", within).join(before, "cell").filter("row is not null")
+    return found.select("row.v", *(f"row.{c}" for c in extra), F.coalesce("own", "earlier")[carried].alias(carried))
 
 
 def locate(places: DataFrame, at: DataFrame) -> DataFrame:
-    """(place, seq_id, pos): the sequence that owns each place, by range; delimiters own nothing."""
-    return places.join(at, F.col("place").between(F.col("start"), F.col("end"))).select("place", "seq_id", (F.col("place") - F.col("start")).alias("pos"))
+    """(place, seq_id, pos): the sequence that owns each place, the last that starts before it; delimiters own nothing."""
+    keys = at.select(F.col("start").alias("v"), F.struct("seq_id", "start", "end").alias("owner"))
+    found = last_before(keys, places.select(F.col("place").cast("long").alias("v")), "owner")
+    return found.filter("v <= owner.end").select(F.col("v").alias("place"), "owner.seq_id", (F.col("v") - F.col("owner.start")).alias("pos"))
 
 
 def concatenated(sequences: DataFrame) -> DataFrame:

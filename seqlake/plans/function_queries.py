@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import codes, numbers, text
-from ..operators.align import unit_edits
+from ..operators.align import gapped_global, gapped_local, unit_edits, weighted_edits
+from ..operators.suffixes import last_before, numbered
+from ..progress import required
 from ..sources.views import EVENT_SQL, PROB_SQL, event_sequences, probability_vectors, table
 from .catalog import query
 
@@ -48,6 +50,21 @@ def cantor_vector(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", codes.fold(values).alias("code"))
 
 
+@query("SELECT event_id, CAST(length(event_type) AS BIGINT) AS a, event_id % 7 AS b, user_id % 5 AS c FROM events")
+def cantor_decode_vector(spark, sf_dir):
+    values = F.array(F.length("event_type").cast("long"), F.col("event_id") % 7, F.col("user_id") % 5)
+    back = codes.unfold(codes.fold(values), 3)
+    return table(spark, sf_dir, "events").select("event_id", *(back[k].alias(c) for k, c in enumerate("abc")))
+
+
+@query("SELECT o_orderkey, CAST(w * (w + 1) // 2 + j AS BIGINT) AS code, CAST(w - j AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM (SELECT o_orderkey, CAST(2000000003 AS HUGEINT) + o_orderkey + o_custkey AS w, CAST(1000000001 AS HUGEINT) + o_custkey AS j FROM orders)")
+def cantor_large(spark, sf_dir):
+    """Pairs whose numbers are beyond what a double holds exactly, there and back."""
+    code = codes.pair(1_000_000_002 + F.col("o_orderkey"), 1_000_000_001 + F.col("o_custkey"))
+    back = codes.unpair(F.col("code"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code")).select("o_orderkey", "code", back["i"].alias("i"), back["j"].alias("j"))
+
+
 @query(f"WITH {_TWO} SELECT character, mapdomain FROM alphabet")
 def make_alphabet(spark, sf_dir):
     return codes.make_alphabet(probability_vectors(spark, sf_dir)).select(F.col("character").cast("long").alias("character"), "mapdomain")
@@ -70,11 +87,21 @@ def quantise_top2(spark, sf_dir):
     return probability_vectors(spark, sf_dir).select("pos", t["first"].alias("first"), t["second"].alias("second"))
 
 
+def _joined(rows):
+    return rows.select("seq_id", F.array_join("letters", "-").alias("letters"), F.array_join("info", "-").alias("info"))
+
+
 @query(f"WITH {_TWO} SELECT seq_id, string_agg(CAST(letter AS VARCHAR), '-' ORDER BY pos) AS letters, string_agg(CAST(info AS VARCHAR), '-' ORDER BY pos) AS info FROM letters GROUP BY seq_id")
 def encode_sequence(spark, sf_dir):
-    rows = F.sort_array(F.collect_list(F.struct("pos", "letter", "info")))
-    by = _encoded(spark, sf_dir).groupBy("seq_id").agg(rows.alias("r"))
-    return by.select("seq_id", F.array_join("r.letter", "-").alias("letters"), F.array_join("r.info", "-").alias("info"))
+    vectors = probability_vectors(spark, sf_dir)
+    return _joined(codes.encoded(vectors, codes.make_alphabet(vectors)))
+
+
+@query(f"WITH {_TWO} SELECT seq_id, string_agg(CAST(letter AS VARCHAR), '-' ORDER BY pos) AS letters, string_agg(CAST(info AS VARCHAR), '-' ORDER BY pos) AS info FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY pos) - 1 AS place FROM letters) WHERE place >= 3 AND place < 11 GROUP BY seq_id")
+def encode_range(spark, sf_dir):
+    """Places 3 to 10 of each sequence alone."""
+    vectors = probability_vectors(spark, sf_dir)
+    return _joined(codes.encoded(vectors, codes.make_alphabet(vectors), 3, 11))
 
 
 @query(f"WITH {_TWO} SELECT letter, CAST(c AS INTEGER) AS class, round(sum(probs[c]), 6) AS total, count(*) AS members FROM (SELECT letter, probs, unnest(range(1, 65)) AS c FROM letters JOIN pv USING (pos)) GROUP BY ALL")
@@ -101,9 +128,27 @@ def scaled_matrix(spark, sf_dir):
     return a.crossJoin(F.broadcast(b)).select("i", "j", F.round(value, 6).alias("value"))
 
 
-@query("SELECT p_partkey, CAST(p AS INTEGER) AS pos FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name))) AS p FROM part) WHERE substr(p_name, CAST(p + 1 AS BIGINT), 1) = 'a'")
+@query("SELECT doc_id, CAST(p AS INTEGER) AS pos FROM (SELECT doc_id, head, unnest(range(0, length(head) - 2)) AS p FROM (SELECT doc_id, replace(left(url, 60), '/', 'ana') AS head FROM (SELECT page_id AS doc_id, url || 'anana' AS url FROM pages))) WHERE substr(head, CAST(p + 1 AS BIGINT), 3) = 'ana'")
 def text_occurrences(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(text.occurrences(F.col("p_name"), F.lit("a"))).alias("pos"))
+    """A pattern that overlaps itself, in addresses whose slashes are replaced by it."""
+    head = F.replace(F.left(F.concat("url", F.lit("anana")), F.lit(60)), F.lit("/"), F.lit("ana"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.explode(text.occurrences(head, F.lit("ana"))).alias("pos"))
+
+
+@query(f"WITH {EVENT_SQL} SELECT seq_id, CAST(p AS INTEGER) AS pos FROM (SELECT seq_id, letters, unnest(range(0, len(letters) - 1)) AS p FROM ev) WHERE letters[p + 1] = letters[p + 2] AND letters[p + 1] = 2")
+def array_occurrences(spark, sf_dir):
+    """The same of letter arrays: two letters 2 after each other, overlapping ones too."""
+    return event_sequences(spark, sf_dir).select("seq_id", F.explode(text.array_occurrences(F.col("letters"), [2, 2])).alias("pos"))
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT p_name AS p, CAST(length(p_name) AS BIGINT) AS n FROM part), jk AS (SELECT p, n, j, unnest(range(1, n + 1)) AS k FROM (SELECT p, n, unnest(range(0, n + 1)) AS j FROM p)), "
+    "ok AS (SELECT p, j, k FROM jk WHERE (n - greatest(j, k) <= 0 OR substr(p, greatest(j, k) + 1, n - greatest(j, k)) = substr(p, greatest(j, k) - k + 1, n - greatest(j, k))) AND (j = 0 OR k >= j OR substr(p, j - k, 1) <> substr(p, j, 1))) "
+    "SELECT p AS pattern, string_agg(CAST(k AS VARCHAR), ',' ORDER BY j) AS shifts FROM (SELECT p, j, min(k) AS k FROM ok GROUP BY p, j) GROUP BY p"
+)
+def good_suffix_table(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("pattern")).distinct()
+    return names.select("pattern", F.array_join(text.good_suffix(F.col("pattern")), ",").alias("shifts"))
 
 
 @query("SELECT page_id, ch, CAST(max(p) - 1 AS INTEGER) AS last FROM (SELECT page_id, p, substr(url, p, 1) AS ch FROM (SELECT page_id, url, unnest(range(1, length(url) + 1)) AS p FROM pages)) GROUP BY ALL")
@@ -172,13 +217,20 @@ def dump_series(spark, sf_dir):
     return rows.select("vec_id", "i", F.lit("\t").alias("tab"), F.format_string("%d\t%.6f", "i", F.col("x").cast("double")).alias("line"))
 
 
-@query("WITH v AS (SELECT o_custkey, list(CAST(o_totalprice AS BIGINT) ORDER BY o_orderkey) AS x FROM orders GROUP BY o_custkey), w AS (SELECT c_custkey, [CAST(floor(c_acctbal) AS BIGINT), 5000, 100000] AS y FROM customer) SELECT c_custkey, coalesce((SELECT min(abs(a - b)) FROM (SELECT unnest(x) AS a), (SELECT unnest(y) AS b)), 0) AS distance FROM w LEFT JOIN v ON c_custkey = o_custkey".replace("CAST(o_totalprice AS BIGINT)", "CAST(floor(o_totalprice) AS BIGINT)"))
+@query(
+    "WITH v AS (SELECT o_custkey, list(CAST(floor(o_totalprice) AS BIGINT) ORDER BY o_orderkey) AS x FROM orders GROUP BY o_custkey), w AS (SELECT c_custkey, [CAST(floor(c_acctbal) AS BIGINT), 5000, 100000] AS y FROM customer), "
+    "pairs AS (SELECT c_custkey, l, k, abs(x[l + 1] - y[k + 1]) AS d FROM (SELECT c_custkey, x, y, l, unnest(range(0, 3)) AS k FROM (SELECT c_custkey, x, y, unnest(range(0, len(x))) AS l FROM w JOIN v ON c_custkey = o_custkey))), "
+    "best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d, k, l) = 1) "
+    "SELECT c_custkey, coalesce(d, 0) AS distance, CAST(l AS INTEGER) AS which FROM w LEFT JOIN best USING (c_custkey)"
+)
 def min_vec_dist(spark, sf_dir):
-    x = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(F.floor("o_totalprice")).alias("x"))
+    """The least distance between a customer's prices and three amounts, and the place of the price that has it."""
+    prices = F.sort_array(F.collect_list(F.struct("o_orderkey", F.floor("o_totalprice").alias("v"))))
+    x = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(prices.getField("v").alias("x"))
     y = F.array(F.floor("c_acctbal"), F.lit(5000).cast("long"), F.lit(100_000).cast("long"))
     rows = table(spark, sf_dir, "customer").select("c_custkey", y.alias("y")).join(x, "c_custkey", "left")
-    least = F.array_min(F.transform("x", lambda a: F.array_min(F.transform("y", lambda b: F.abs(a - b)))))
-    return rows.select("c_custkey", F.coalesce(least, F.lit(0).cast("long")).alias("distance"))
+    found = rows.select("c_custkey", numbers.nearest_distance(F.col("x"), F.col("y")).alias("m"))
+    return found.select("c_custkey", "m.distance", "m.which")
 
 
 @query("SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 5) AS variance, round(stddev_pop(l_quantity), 6) AS deviation, round(stddev_samp(l_quantity), 6) AS sample_deviation FROM lineitem GROUP BY ALL")
@@ -306,47 +358,110 @@ def sort_permutation(spark, sf_dir):
 
 @query(f"WITH {EVENT_SQL} SELECT seq_id, row_number() OVER (ORDER BY letters, seq_id) - 1 AS rank FROM ev")
 def multikey_sort(spark, sf_dir):
-    from ..operators.suffixes import ranked
-
-    rows = event_sequences(spark, sf_dir).select("seq_id", F.lit(0).alias("pos"), F.col("letters").alias("suffix"))
-    return ranked(rows).select("seq_id", "rank")
+    return numbered(event_sequences(spark, sf_dir), "rank", "letters", "seq_id").select("seq_id", "rank")
 
 
 @query("SELECT event_id, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey <= event_id) AS lower FROM events")
 def nearest_lower(spark, sf_dir):
-    """As-of lookup: both sides in one order, the last key carried on, range partition by range partition."""
-    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("v"), F.col("o_orderkey").alias("key"), F.lit(None).cast("long").alias("event_id"))
-    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("v"), F.lit(None).cast("long").alias("key"), "event_id")
-    width = 1 << 16
-    both = keys.unionByName(asked).withColumn("cell", F.floor(F.col("v") / width))
-    within = F.last("key", ignorenulls=True).over(Window.partitionBy("cell").orderBy("v", F.col("key").isNull()))
-    last = both.groupBy("cell").agg(F.max("key").alias("top"))
-    before = last.withColumn("carried", F.max("top").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))).select("cell", "carried")  # a row a cell
-    return both.withColumn("own", within).join(before, "cell").filter("event_id is not null").select("event_id", F.coalesce("own", "carried").alias("lower"))
+    """As-of lookup of each event's number among the orders'."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("v"), F.col("o_orderkey").alias("lower"))
+    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("v"), "event_id")
+    return last_before(keys, asked, "lower").select("event_id", "lower")
 
 
-@query()
+_SIGNED = "CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END::BIGINT"
+_WRAP = "18446744073709551616::HUGEINT"
+_LETTERS = "list_transform(letters, lambda x: CAST(x AS HUGEINT))"
+
+
+@query(f"WITH {EVENT_SQL}, x AS (SELECT seq_id, list_reduce(list_prepend(CAST(len(letters) AS HUGEINT), {_LETTERS}), lambda h, x: xor(xor((h * 32) % {_WRAP}, h // 134217728), x)) AS h FROM ev) SELECT seq_id, {_SIGNED} AS hash FROM x")
 def hash_knuth(spark, sf_dir):
-    return event_sequences(spark, sf_dir).select("seq_id", numbers.multiplicative_hash("letters").alias("hash"))
+    return event_sequences(spark, sf_dir).select("seq_id", numbers.shift_xor_hash(F.col("letters")).alias("hash"))
 
 
-@query()
+_STEP = f"lambda h, x: xor(((h + x) * 1025) % {_WRAP}, (((h + x) * 1025) % {_WRAP}) // 64)"
+
+
+@query(f"WITH {EVENT_SQL}, x AS (SELECT seq_id, (list_reduce(list_prepend(0::HUGEINT, {_LETTERS}), {_STEP}) * 9) % {_WRAP} AS a FROM ev), y AS (SELECT seq_id, (xor(a, a // 2048) * 32769) % {_WRAP} AS h FROM x) SELECT seq_id, {_SIGNED} AS hash FROM y")
 def hash_jenkins(spark, sf_dir):
-    return event_sequences(spark, sf_dir).select("seq_id", numbers.one_at_a_time_hash("letters").alias("hash"))
+    return event_sequences(spark, sf_dir).select("seq_id", numbers.one_at_a_time_hash(F.col("letters")).alias("hash"))
 
 
-@query()
+@query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT vec_id, round(e[1] * (e[5] * e[9] - e[6] * e[8]) - e[2] * (e[4] * e[9] - e[6] * e[7]) + e[3] * (e[4] * e[8] - e[5] * e[7]), 6) AS det FROM e")
 def determinant(spark, sf_dir):
+    """Of each vector's first nine numbers as a matrix of 3 rows."""
+    cells = F.transform(F.slice("embedding", 1, 9), lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(numbers.determinant(cells), 6).alias("det"))
+
+
+@query()
+def determinant_large(spark, sf_dir):
     """Of each vector's 64 numbers as a matrix of 8 rows."""
     cells = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(numbers.determinant(cells), 6).alias("det"))
 
 
-@query()
+@query(
+    "WITH v AS (SELECT p_partkey, [p_size % 3, p_size % 5, p_size % 7] AS v FROM part), "
+    "o AS (SELECT p_partkey, v, unnest([[v[1], v[2], v[3]], [v[1], v[3], v[2]], [v[2], v[1], v[3]], [v[2], v[3], v[1]], [v[3], v[1], v[2]], [v[3], v[2], v[1]]]) AS w FROM v), "
+    "n AS (SELECT p_partkey, min(w) AS least, min(w) FILTER (WHERE w > v) AS next FROM o GROUP BY p_partkey) "
+    "SELECT p_partkey, array_to_string(coalesce(next, least), ',') AS next FROM n"
+)
 def permutation_next(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", numbers.next_permutation(F.array((F.col("p_size") % 3).cast("int"), (F.col("p_size") % 5).cast("int"), (F.col("p_size") % 7).cast("int"))).alias("next"))
+    values = F.array(*((F.col("p_size") % k).cast("int") for k in (3, 5, 7)))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(numbers.next_permutation(values), ",").alias("next"))
+
+
+_ROW = "list_transform(range(0, {n} + 1), lambda j: {x})"
+#: Alignments of two names by their tables' rows, each from the one before it; {{c}} is the pair's j-th letter score.
+_NAMES = "names AS (SELECT p_partkey, string_split(p_name, '') AS a, string_split(p_type, '') AS b, length(p_name) AS m, CAST(length(p_type) AS BIGINT) AS n FROM part)"
+
+
+@query(
+    f"WITH RECURSIVE {_NAMES}, t AS (SELECT p_partkey, 0 AS i, {_ROW.format(n='n', x='CAST(j * 2 AS BIGINT)')} AS r FROM names UNION ALL "
+    "SELECT p_partkey, i, list_transform(range(0, n + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k: f[k + 1] + (j - k) * 2))) AS r FROM ("
+    "  SELECT p_partkey, t.i + 1 AS i, n, list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN (t.i + 1) * 2 ELSE least(r[j + 1] + 2, r[j] + CASE WHEN a[t.i + 1] = b[j] THEN 0 ELSE 3 END) END) AS f FROM t JOIN names USING (p_partkey) WHERE t.i < m)) "
+    "SELECT p_partkey, CAST(r[n + 1] AS INTEGER) AS distance FROM t JOIN names USING (p_partkey) WHERE i = m"
+)
+def weighted_edit(spark, sf_dir):
+    """Edit distance of part names and types, at 2 a gap and 3 a substitution."""
+    return _names(spark, sf_dir).select("p_partkey", weighted_edits("a", "b").alias("distance"))
+
+
+def _names(spark, sf_dir):
+    letters = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), F.ascii)
+    return table(spark, sf_dir, "part").select("p_partkey", letters("p_name").alias("a"), letters("p_type").alias("b"))
+
+
+def _affine_sql(open_: float, widen: float, local: bool) -> str:
+    """Best scores of gapped alignments, row by row: h, and d, the best scores that end in a gap down."""
+    floor = "greatest(0.0::DOUBLE, {})" if local else "{}"
+    cell = "greatest(CASE WHEN a[t.i + 1] = b[j] THEN 3.0::DOUBLE ELSE -2.0::DOUBLE END + h[j], e[j + 1])"
+    gap = f"list_max(list_transform(range(0, j), lambda k: g[k + 1] - {open_} - (j - k - 1) * {widen}))"
+    best = "max(x)" if local else "max(x) FILTER (WHERE i = m OR j = n)"
+    return (
+        f"WITH RECURSIVE {_NAMES}, t AS (SELECT p_partkey, 0 AS i, list_transform(range(0, n + 1), lambda j: 0.0::DOUBLE) AS h, list_transform(range(0, n + 1), lambda j: -1e9::DOUBLE) AS d FROM names UNION ALL "
+        f"SELECT p_partkey, i, list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE {floor.format(f'greatest(g[j + 1], {gap})')} END) AS h, e AS d FROM ("
+        f"  SELECT p_partkey, t.i + 1 AS i, n, e, list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE {floor.format(cell)} END) AS g FROM ("
+        f"    SELECT p_partkey, t.i, n, m, a, b, h, list_transform(range(0, n + 1), lambda j: greatest(h[j + 1] - {open_}, d[j + 1] - {widen})) AS e FROM t JOIN names USING (p_partkey) WHERE t.i < m) t)) "
+        f"SELECT p_partkey, round({best}, 4) AS score FROM (SELECT p_partkey, i, m, n, unnest(range(0, n + 1)) AS j, unnest(h) AS x FROM t JOIN names USING (p_partkey)) GROUP BY p_partkey"
+    )
+
+
+@query(_affine_sql(8.94, 0.88, True))
+def gapped_sw_names(spark, sf_dir):
+    """Local alignment of part names and types with affine gaps."""
+    return _names(spark, sf_dir).select("p_partkey", gapped_local("a", "b").alias("score"))
+
+
+@query(_affine_sql(3.25, 0.8942, False))
+def gapped_nw_names(spark, sf_dir):
+    """Global alignment of part names and types with affine gaps, those at the ends free."""
+    return _names(spark, sf_dir).select("p_partkey", gapped_global("a", "b").alias("score"))
 
 
-@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
-def text_residue_groups(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem")
+def required_rows(spark, sf_dir):
+    """Rows on condition that holds for all of them."""
+    rows = table(spark, sf_dir, "lineitem")
+    return required(rows, F.col("l_quantity") > 0, "a quantity isn't positive").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..config import SearchConfig
 from ..functions.text import picture
 from ..operators import stats
-from ..operators.align import gapless_by_diagonals, gapless_place, gapped_global, gapped_local, traceback_cells, weighted_edits
-from ..operators.rank import with_gapless, with_letters
-from ..operators.seeds import consensus, group_hits, seed_hits
+from ..operators.align import gapless_by_diagonals, gapless_place, gapped_global, gapped_local, traceback_cells
+from ..operators.rank import select, with_gapless, with_letters
+from ..operators.seeds import consensus, described, group_hits, seed_hits
 from ..operators.structure import chain_rmsd, chain_tm, chain_within
-from ..operators.suffixes import concatenated, locate, neighbour_prefixes, pattern_ranges, ranked, starts, suffixes
-from ..sources.views import BASKET_SQL, EVENT_SQL, EVENTS, basket_sequences, benchmark_texts, coordinates, document_texts, event_sequences
+from ..operators.suffixes import concatenated, locate, neighbour_prefixes, pattern_ranges, starts, suffix_ranks
+from ..sources.views import BASKET_SQL, EVENT_SQL, EVENTS, basket_sequences, benchmark_texts, coordinates, document_texts, event_sequences, structural_sequences
 from .catalog import query
 from .search import COLUMNS, aligned, edges, report, result_lines, search, seeded
 
@@ -41,7 +41,8 @@ cells AS (SELECT query_id, target_id, i, j, CASE WHEN a[i] = b[j] THEN 3 ELSE -2
   SELECT query_id, target_id, a, b, i, unnest(range(1, len(b) + 1)) AS j FROM (
     SELECT query_id, target_id, x.letters AS a, y.letters AS b, unnest(range(1, len(x.letters) + 1)) AS i FROM pairs JOIN {view} x ON x.seq_id = target_id JOIN {view} y ON y.seq_id = query_id))),
 sums AS (SELECT *, sum(s) OVER (PARTITION BY query_id, target_id, i - j ORDER BY i) AS p FROM cells),
-gains AS (SELECT query_id, target_id, p - least(0, coalesce(min(p) OVER (PARTITION BY query_id, target_id, i - j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS gain FROM sums),
+steps AS (SELECT query_id, target_id, i, j, p - least(0, coalesce(min(p) OVER (PARTITION BY query_id, target_id, i - j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS gain FROM sums),
+gains AS (SELECT query_id, target_id, gain FROM steps),
 sw AS (SELECT query_id, target_id, CAST(greatest(0, max(gain)) AS INTEGER) AS swscore FROM gains GROUP BY ALL)"""
 
 _ODDS = """
@@ -60,11 +61,12 @@ def _top(key: str) -> str:
     return _SCORED + f" SELECT query_id, target_id, n_seeds, round({key}, 3) AS {key}, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {key} DESC, n_seeds DESC, target_id) AS INTEGER) AS rank FROM pairs QUALIFY rank <= 10001"
 
 
-def _two_phase(key: str) -> str:
-    return _SCORED.replace("pairs AS", "allpairs AS") + f", pairs AS (SELECT * FROM allpairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {key} DESC, n_seeds DESC, target_id) <= 1000), {_GAPLESS.format(view='ev')} SELECT query_id, target_id, n_seeds, swscore, CAST(row_number() OVER (PARTITION BY query_id ORDER BY swscore DESC, n_seeds DESC, target_id) AS INTEGER) AS rank FROM pairs JOIN sw USING (query_id, target_id)"
+def _two_phase(key: str, first: int = 1000) -> str:
+    """All targets stand in the report; the gapless score of those that aren't among the first is 0."""
+    return _SCORED.replace(" HAVING count(*) > 1)", ")").replace("pairs AS", "allpairs AS") + f", placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {key} DESC, n_seeds DESC, target_id) AS place FROM allpairs), pairs AS (SELECT query_id, target_id FROM placed WHERE place <= {first} AND n_seeds >= 1), {_GAPLESS.format(view='ev')}, done AS (SELECT query_id, target_id, n_seeds, coalesce(swscore, 0) AS swscore FROM placed LEFT JOIN sw USING (query_id, target_id) WHERE n_seeds > 1) SELECT query_id, target_id, n_seeds, swscore, CAST(row_number() OVER (PARTITION BY query_id ORDER BY swscore DESC, n_seeds DESC, target_id) AS INTEGER) AS rank FROM done QUALIFY rank <= 10001"
 
 
-_PAIRS = f"WITH {EVENT_SQL}, {_hits('ev', 8)}, pairs AS (SELECT query_id, target_id, CAST(count(*) AS INTEGER) AS n_seeds FROM hits GROUP BY ALL HAVING count(*) > 1), {_GAPLESS.format(view='ev')}"
+EVENT_PAIRS = f"WITH {EVENT_SQL}, {_hits('ev', 8)}, pairs AS (SELECT query_id, target_id, CAST(count(*) AS INTEGER) AS n_seeds FROM hits GROUP BY ALL HAVING count(*) > 1), {_GAPLESS.format(view='ev')}"
 
 
 @query("WITH" + _TEXT_HITS.format(cap=10_000) + " SELECT query_id, target_id, CAST(count(*) AS INTEGER) AS n_seeds FROM hits GROUP BY ALL HAVING count(*) > 2")
@@ -74,7 +76,7 @@ def seed_search(spark, sf_dir):
 
 @query("WITH" + _TEXT_HITS.format(cap=2) + " SELECT query_id, target_id, CAST(count(*) AS INTEGER) AS n_seeds FROM hits GROUP BY ALL")
 def seed_occurrence_cutoff(spark, sf_dir):
-    return group_hits(seed_hits(benchmark_texts(spark, sf_dir), document_texts(spark, sf_dir), 15, 2)).select("query_id", "target_id", "n_seeds")
+    return group_hits(seed_hits(benchmark_texts(spark, sf_dir), document_texts(spark, sf_dir), 15, 2), places=False).select("query_id", "target_id", "n_seeds")
 
 
 @query("WITH" + _TEXT_HITS.format(cap=10_000) + " SELECT query_id, target_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS pos FROM hits GROUP BY ALL")
@@ -93,24 +95,29 @@ def _event_pairs(spark, sf_dir):
     return seeded(ev, ev, EVENT).filter("n_seeds > 1"), ev
 
 
-@query(_PAIRS + " SELECT query_id, target_id, n_seeds, swscore FROM pairs JOIN sw USING (query_id, target_id)")
+@query(EVENT_PAIRS + " SELECT query_id, target_id, n_seeds, swscore FROM pairs JOIN sw USING (query_id, target_id)")
 def gapless_sw_score(spark, sf_dir):
     pairs, ev = _event_pairs(spark, sf_dir)
-    return with_gapless(pairs, ev, ev, 1).select("query_id", "target_id", "n_seeds", "swscore")
+    return with_gapless(pairs, ev, ev, F.lit(True)).select("query_id", "target_id", "n_seeds", "swscore")
 
 
-@query(_PAIRS + " SELECT query_id, target_id, swscore FROM sw")
+@query(EVENT_PAIRS + " SELECT query_id, target_id, swscore FROM sw")
 def gapless_sw_diagonal(spark, sf_dir):
     pairs, ev = _event_pairs(spark, sf_dir)
     return gapless_by_diagonals(with_letters(pairs, ev, ev))
 
 
-@query()
+@query(
+    EVENT_PAIRS + ", runs AS (SELECT *, greatest(0, gain) AS l, max(CASE WHEN gain <= 0 THEN i END) OVER (PARTITION BY query_id, target_id, i - j ORDER BY i) AS zero, min(i) OVER (PARTITION BY query_id, target_id, i - j) - 1 AS edge FROM steps), "
+    "best AS (SELECT * FROM runs WHERE l > 0 QUALIFY row_number() OVER (PARTITION BY query_id, target_id ORDER BY l DESC, i, j) = 1) "
+    "SELECT query_id, target_id, CAST(l AS INTEGER) AS swscore, array_to_string(list_transform(range(0, i - coalesce(zero, edge)), lambda k: (i - k) || ':' || (j - k)), ' ') AS cells FROM best"
+)
 def gapless_sw_traceback(spark, sf_dir):
+    """The cells of each pair's best diagonal run, from its end to its start, counted from 1."""
     pairs, ev = _event_pairs(spark, sf_dir)
     place = with_letters(pairs, ev, ev).withColumn("g", gapless_place("a", "b"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("g")[3] - 1), lambda k: F.struct((F.col("g")[1] - k).alias("i"), (F.col("g")[2] - k).alias("j")))
-    return place.select("query_id", "target_id", F.col("g")[0].alias("swscore"), cells.alias("cells"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("g")[3] - 1), lambda k: F.concat((F.col("g")[1] - k).cast("string"), F.lit(":"), (F.col("g")[2] - k).cast("string")))
+    return place.select("query_id", "target_id", F.col("g")[0].alias("swscore"), F.array_join(cells, " ").alias("cells"))
 
 
 def _selected(spark, sf_dir, how):
@@ -119,7 +126,7 @@ def _selected(spark, sf_dir, how):
     return search(ev, ev, config, LETTERS)
 
 
-@query(_PAIRS + " SELECT query_id, target_id, n_seeds, swscore, CAST(row_number() OVER (PARTITION BY query_id ORDER BY swscore DESC, n_seeds DESC, target_id) AS INTEGER) AS rank FROM pairs JOIN sw USING (query_id, target_id)")
+@query(EVENT_PAIRS + " SELECT query_id, target_id, n_seeds, swscore, CAST(row_number() OVER (PARTITION BY query_id ORDER BY swscore DESC, n_seeds DESC, target_id) AS INTEGER) AS rank FROM pairs JOIN sw USING (query_id, target_id)")
 def rank_sw_topk(spark, sf_dir):
     return _selected(spark, sf_dir, "sw").select("query_id", "target_id", "n_seeds", "swscore", "rank")
 
@@ -144,6 +151,13 @@ def two_phase_blast_sw(spark, sf_dir):
     return _selected(spark, sf_dir, "blast_sw").select("query_id", "target_id", "n_seeds", "swscore", "rank")
 
 
+@query(_two_phase("score", 5))
+def two_phase_score_cut(spark, sf_dir):
+    """The first phase passes five targets a query, so most of them have no gapless score."""
+    ev = event_sequences(spark, sf_dir)
+    return select(seeded(ev, ev, EVENT, LETTERS), ev, ev, "score_sw", 1, 10_000, first=5).select("query_id", "target_id", "n_seeds", "swscore", "rank")
+
+
 @query(f"WITH {BASKET_SQL}, {_hits('ba', 5)} SELECT query_id, target_id, CAST(count(*) AS INTEGER) AS n_seeds FROM hits GROUP BY ALL HAVING count(*) > 2")
 def basket_seed_search(spark, sf_dir):
     ba = basket_sequences(spark, sf_dir)
@@ -203,12 +217,13 @@ def direct_score(spark, sf_dir):
 f AS (SELECT *, list_sum(list_transform(range(1, len(p) + 1), lambda k: p[k] * exp(1e-4 * s[k]))) - 1 AS f0, list_sum(list_transform(range(1, len(p) + 1), lambda k: p[k] * exp(s[k]))) - 1 AS f1 FROM lists),
 steps AS (SELECT seq_id, p, s, 1e-4::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS n FROM f WHERE f0 < 0 AND f1 > 0 UNION ALL
   SELECT seq_id, p, s, CASE WHEN v < 0 THEN mid ELSE lo END, CASE WHEN v < 0 THEN hi ELSE mid END, n + 1 FROM (
-    SELECT *, list_sum(list_transform(range(1, len(p) + 1), lambda k: p[k] * exp((lo + hi) / 2 * s[k]))) - 1 AS v, (lo + hi) / 2 AS mid FROM steps WHERE n < 60))
-SELECT f.seq_id, round(coalesce((lo + hi) / 2, 0), 5) AS decay, 1.0::DOUBLE AS total FROM f LEFT JOIN (SELECT * FROM steps WHERE n = 60) USING (seq_id)"""
+    SELECT *, list_sum(list_transform(range(1, len(p) + 1), lambda k: p[k] * exp((lo + hi) / 2 * s[k]))) - 1 AS v, (lo + hi) / 2 AS mid FROM steps WHERE n < 60)),
+roots AS (SELECT f.seq_id, f.p, f.s, coalesce((lo + hi) / 2, 0) AS decay FROM f LEFT JOIN (SELECT * FROM steps WHERE n = 60) USING (seq_id))
+SELECT seq_id, round(decay, 5) AS decay, round(list_sum(list_transform(range(1, len(p) + 1), lambda k: p[k] * exp(decay * s[k]))), 4) AS total FROM roots"""
 )
 def lambda_check(spark, sf_dir):
     found = stats.extreme_values(stats.score_lists(stats.log_odds(event_sequences(spark, sf_dir), LETTERS)))
-    return found.select("seq_id", F.round("lambda", 5).alias("decay"), F.round("check", 5).alias("total"))
+    return found.select("seq_id", F.round("lambda", 5).alias("decay"), F.round("check", 4).alias("total"))
 
 
 @query()
@@ -218,27 +233,29 @@ def karlin_k(spark, sf_dir):
 
 @query(f"WITH {EVENT_SQL}, x AS (SELECT seq_id, CAST(p AS INTEGER) AS pos, letters[p + 1:] AS suffix FROM (SELECT seq_id, letters, unnest(range(0, len(letters))) AS p FROM ev)) SELECT seq_id, pos, row_number() OVER (ORDER BY suffix, seq_id, pos) - 1 AS rank FROM x")
 def suffix_rank(spark, sf_dir):
-    return ranked(suffixes(event_sequences(spark, sf_dir))).select("seq_id", "pos", "rank")
+    return suffix_ranks(event_sequences(spark, sf_dir))[0].select("seq_id", "pos", "rank")
 
 
 @query(
     f"WITH {EVENT_SQL}, x AS (SELECT seq_id, CAST(p AS INTEGER) AS pos, letters[p + 1:] AS suffix FROM (SELECT seq_id, letters, unnest(range(0, len(letters))) AS p FROM ev)), y AS (SELECT *, lag(suffix) OVER (ORDER BY suffix, seq_id, pos) AS last FROM x) "
-    "SELECT seq_id, pos, CAST(coalesce(list_min(list_filter(range(1, least(len(suffix), len(last)) + 1), lambda i: suffix[i] <> last[i])) - 1, least(len(suffix), len(last)), 0) AS INTEGER) AS lcp FROM y"
+    "SELECT seq_id, pos, CASE WHEN last IS NULL THEN 0 ELSE CAST(coalesce(list_min(list_filter(range(1, least(len(suffix), len(last)) + 1), lambda i: suffix[i] <> last[i])) - 1, least(len(suffix), len(last))) AS INTEGER) END AS lcp FROM y"
 )
 def suffix_lcp(spark, sf_dir):
-    return neighbour_prefixes(ranked(suffixes(event_sequences(spark, sf_dir)))).select("seq_id", "pos", F.col("lcp").cast("int").alias("lcp"))
+    return neighbour_prefixes(event_sequences(spark, sf_dir)).select("seq_id", "pos", "lcp")
 
 
 @query(
     f"WITH {EVENT_SQL}, x AS (SELECT seq_id, p AS pos, letters[p + 1:] AS suffix FROM (SELECT seq_id, letters, unnest(range(0, len(letters))) AS p FROM ev)), r AS (SELECT *, row_number() OVER (ORDER BY suffix, seq_id, pos) - 1 AS rank FROM x), "
-    "pat AS (SELECT a AS x, b AS y, c AS z, [a, b, c] AS pattern FROM range(1, 6) t(a), range(1, 6) u(b), range(0, 6) v(c)) SELECT pat.x * 100 + pat.y * 10 + pat.z AS code, CAST(coalesce(min(rank), 1) AS BIGINT) AS a, CAST(coalesce(max(rank), 0) AS BIGINT) AS b FROM pat LEFT JOIN r ON r.suffix[1:3] = pat.pattern GROUP BY ALL"
+    "pat AS (SELECT DISTINCT pattern FROM (SELECT letters[p + 1:p + k] AS pattern FROM (SELECT letters, k, unnest(range(0, len(letters), 7)) AS p FROM ev, range(1, 7) t(k))) UNION SELECT [1, 0, 2]) "
+    "SELECT array_to_string(pattern, '-') AS pattern, CAST(coalesce(min(rank), 1) AS BIGINT) AS a, CAST(coalesce(max(rank), 0) AS BIGINT) AS b FROM pat LEFT JOIN r ON r.suffix[1:len(pattern)] = pattern GROUP BY ALL"
 )
 def pattern_range(spark, sf_dir):
-    digits = lambda name, low: spark.range(low, 6).select(F.col("id").cast("int").alias(name))
-    patterns = digits("x", 1).crossJoin(digits("y", 1)).crossJoin(digits("z", 0)).select(F.array("x", "y", "z").alias("pattern"))
-    found = pattern_ranges(ranked(suffixes(event_sequences(spark, sf_dir))), patterns)
-    code = F.col("pattern")[0] * 100 + F.col("pattern")[1] * 10 + F.col("pattern")[2]
-    return found.select(code.cast("long").alias("code"), "a", "b")
+    """Patterns of one to six letters, from every seventh place of each sequence, and one that occurs nowhere."""
+    ev = event_sequences(spark, sf_dir)
+    places = F.sequence(F.lit(0), F.size("letters") - 1, F.lit(7))
+    cut = F.flatten(F.transform(places, lambda p: F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.slice("letters", p + 1, k))))
+    patterns = ev.select(F.explode(cut).alias("pattern")).unionAll(spark.range(1).select(F.array(F.lit(1), F.lit(0), F.lit(2)))).distinct()
+    return pattern_ranges(ev, patterns, [1, 2, 3, 4, 5, 6]).select(F.array_join("pattern", "-").alias("pattern"), "a", "b")
 
 
 _STARTS = "s AS (SELECT seq_id, sum(len(letters) + 1) OVER (ORDER BY seq_id) - len(letters) - 1 AS start, letters FROM ev)"
@@ -256,7 +273,7 @@ def seq_locate_interval(spark, sf_dir):
 
 
 @query(
-    _PAIRS.replace(f", {_GAPLESS.format(view='ev')}", "")
+    EVENT_PAIRS.replace(f", {_GAPLESS.format(view='ev')}", "")
     + ", bars AS (SELECT query_id, target_id, list(DISTINCT CAST(floor(i * least(20, len(letters) - 8) / (len(letters) - 8)) AS INTEGER)) AS marks, least(20, any_value(len(letters)) - 8) AS n FROM hits JOIN pairs USING (query_id, target_id) JOIN ev ON seq_id = query_id GROUP BY query_id, target_id) "
     "SELECT query_id, target_id, array_to_string(list_transform(range(0, n), lambda k: CASE WHEN list_contains(marks, k) THEN '*' ELSE '-' END), '') AS picture FROM bars"
 )
@@ -266,7 +283,7 @@ def match_picture(spark, sf_dir):
     return joined.select("query_id", "target_id", picture(F.col("pos"), F.col("n")).alias("picture"))
 
 
-def _report(spark, sf_dir):
+def event_report(spark, sf_dir):
     ev = event_sequences(spark, sf_dir)
     return report(search(ev, ev, EVENT, LETTERS), ev, ev, EVENT)
 
@@ -274,13 +291,13 @@ def _report(spark, sf_dir):
 @query()
 def search_report(spark, sf_dir):
     """The 21 columns, with column names that any sink takes."""
-    rows = _report(spark, sf_dir)
+    rows = event_report(spark, sf_dir)
     return rows.select(*(F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in COLUMNS))
 
 
 @query()
 def result_row(spark, sf_dir):
-    return result_lines(_report(spark, sf_dir))
+    return result_lines(event_report(spark, sf_dir))
 
 
 def _chains(spark, sf_dir):
@@ -307,16 +324,46 @@ def dme_fraction(spark, sf_dir):
     return _chains(spark, sf_dir).select("seq_id", "other", chain_within("xyz", "xyz2").alias("share"))
 
 
+@query(
+    EVENT_PAIRS.replace(f", {_GAPLESS.format(view='ev')}", "") + f", {_ODDS}, seg AS (SELECT qw.seq_id AS query_id, p AS i, sum(scr) AS seg FROM (SELECT seq_id, p, unnest(w) AS letter FROM qw) qw JOIN odds USING (seq_id, letter) GROUP BY ALL), "
+    "scores AS (SELECT query_id, target_id, sum(seg) AS score, greatest(0, max(seg)) AS blast FROM hits JOIN seg USING (query_id, i) GROUP BY ALL) "
+    "SELECT CAST(query_id AS VARCHAR) AS sequence_a, CAST(target_id AS VARCHAR) AS sequence_b, n_seeds AS matches, round(score, 3) AS matches_score, round(blast, 3) AS matches_blast, CAST(target_id AS INTEGER) AS matchtype_id, '' AS description FROM pairs JOIN scores USING (query_id, target_id)"
+)
+def report_columns(spark, sf_dir):
+    """The report's columns that no alignment has a part in."""
+    rows = event_report(spark, sf_dir)
+    return rows.select(F.col("sequence a").alias("sequence_a"), F.col("sequence b").alias("sequence_b"), "matches", F.round("matches_score", 3).alias("matches_score"), F.round("matches_blast", 3).alias("matches_blast"), "matchtype_id", "description")
+
+
+@query(f"WITH {EVENT_SQL}, {_hits('ev', 8)} SELECT query_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, target_id, 'user ' || target_id AS description FROM hits JOIN (SELECT query_id, i FROM hits GROUP BY ALL HAVING count(*) > 4) USING (query_id, i)")
+def reported_suffixes(spark, sf_dir):
+    """The sequences that hold each window of a query that stands over four times in the database."""
+    ev = event_sequences(spark, sf_dir).withColumn("description", F.concat(F.lit("user "), F.col("seq_id").cast("string")))
+    return described(seed_hits(ev, ev, 8, 10_000), ev, 4)
+
+
+#: Letters of structural sequences hardly repeat, so a single one is a seed.
+STRUCTURE = SearchConfig(kind="structure", minimal_length=1, minimal_seed=1, maximal_match=10_000)
+
+
+def _structural(spark, sf_dir):
+    st = structural_sequences(spark, sf_dir)
+    return search(st, st, STRUCTURE), st
+
+
+@query()
+def structure_report(spark, sf_dir):
+    """A structural search: profiles aligned globally and locally, chains scored on the aligned positions."""
+    hits, st = _structural(spark, sf_dir)
+    rows = report(hits, st, st, STRUCTURE)
+    return rows.select(*(F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in COLUMNS))
+
+
 @query()
 def edge_list(spark, sf_dir):
-    """The search's report as a graph weighted by the chains' TM-score of users as vectors."""
-    ev = event_sequences(spark, sf_dir)
-    hits = search(ev, ev, EVENT, LETTERS)
-    chains = coordinates(spark, sf_dir)
-    two = chains.select(F.col("seq_id").alias("target_id"), F.col("xyz").alias("ta"))
-    scored = hits.join(chains.select(F.col("seq_id").alias("query_id"), "xyz"), "query_id").join(two, "target_id")
-    structure = scored.select("query_id", "target_id", chain_tm("ta", "xyz").alias("tm"), chain_rmsd("ta", "xyz").alias("rmsd"), chain_within("ta", "xyz").alias("dme"))
-    return edges(report(hits, ev, ev, EVENT, structure))
+    """The structural report as a graph weighted by TM-score."""
+    hits, st = _structural(spark, sf_dir)
+    return edges(report(hits, st, st, STRUCTURE))
 
 
 def _lettered(spark, sf_dir):
@@ -339,11 +386,6 @@ def sw_traceback(spark, sf_dir):
     return _lettered(spark, sf_dir).select("query_id", "target_id", traceback_cells("a", "b").alias("cells"))
 
 
-@query()
-def weighted_edit(spark, sf_dir):
-    return _lettered(spark, sf_dir).select("query_id", "target_id", weighted_edits("a", "b").alias("distance"))
-
-
 @query()
 def alt_score_z(spark, sf_dir):
     pairs, ev = _event_pairs(spark, sf_dir)

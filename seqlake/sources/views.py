@@ -51,6 +51,21 @@ def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq_id"), F.transform(F.sequence(F.lit(0), F.lit(20)), point).alias("xyz"))
 
 
+def structural_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, letters, info, probs, xyz): each label's vectors as a sequence of quantised letters, profiles and points.
+
+    A position's profile is its vector's class probabilities, its point the vector's first three numbers.
+    """
+    from ..functions.codes import encoded, make_alphabet
+
+    vectors = probability_vectors(spark, sf_dir)
+    point = F.struct(*(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")))
+    rows = vectors.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), point.alias("point")), "pos")
+    listed = F.sort_array(F.collect_list(F.struct("pos", "probs", "point")))
+    whole = rows.groupBy("seq_id").agg(listed.alias("r")).select("seq_id", F.col("r.probs").alias("probs"), F.col("r.point").alias("xyz"))
+    return encoded(vectors, make_alphabet(vectors)).join(whole, "seq_id")
+
+
 #: The same views in SQL.
 EVENT_SQL = "ev AS (SELECT user_id AS seq_id, list(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 WHEN 'view' THEN 5 END ORDER BY ts, event_id) AS letters FROM events GROUP BY user_id)"
 BASKET_SQL = "ba AS (SELECT l_suppkey AS seq_id, list(CAST(1 + l_partkey % 20 AS INTEGER) ORDER BY l_orderkey, l_linenumber, l_partkey) AS letters FROM lineitem GROUP BY l_suppkey)"

@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqlake import progress
 from seqlake.config import SearchConfig, from_arguments
 from seqlake.functions import codes, numbers, text
-from seqlake.operators import align, stats, structure
+from seqlake.operators import align, stats, structure, suffixes
+from seqlake.operators.rank import select
 from seqlake.operators.seeds import array_windows, seed_hits
-from seqlake.plans.search import COLUMNS, report, search
+from seqlake.plans.search import COLUMNS, HEADER_LINE, aligned, report, search, write_results
 from seqlake.sources import files
 
 
@@ -85,7 +87,7 @@ def test_hit_limit(sequences):
 
 def test_report_has_21_columns(sequences):
     df, _ = sequences
-    config = SearchConfig(minimal_length=4, minimal_seed=3, maximal_match=10_000)
+    config = SearchConfig(kind="sequence", minimal_length=4, minimal_seed=3, maximal_match=10_000)
     rows = report(search(df, df, config), df, df, config)
     assert tuple(rows.columns) == COLUMNS and len(COLUMNS) == 21
     own = rows.filter("`sequence a` = `sequence b`").collect()
@@ -132,23 +134,141 @@ def test_numbers(spark):
     row = one(spark, numbers.gcd(F.lit(84), F.lit(-36)), numbers.power(F.lit(0.0), F.lit(-1)), numbers.next_permutation(F.array(F.lit(1), F.lit(3), F.lit(2))), numbers.determinant(F.array(*(F.lit(float(x)) for x in (1, 2, 3, 4)))))
     assert row[0] == 12 and row[1] == 1e200 and row[2] == [2, 1, 3] and row[3] == pytest.approx(-2)
 
-    def plain(letters, kind):
+
+
+def test_hashes_by_hand(spark):
+    """The two hashes of bytes with 64 bits that wrap, worked out one operation after another."""
+    wrap = 2**64
+
+    def turned(key):
+        h = len(key)
+        for x in key:
+            h = (h * 2**5 % wrap) ^ (h // 2**27) ^ x
+        return h
+
+    def one_at_a_time(key):
         h = 0
-        for x in letters:
-            if kind == "m":
-                h = (h + x) * 2654435761 % 2**64
-            else:
-                h = (h + x) * 1025 % 2**64
-                h ^= h >> 6
-        if kind == "o":
-            h = h * 9 % 2**64
-            h ^= h >> 11
-            h = h * 32769 % 2**64
-        return h - 2**64 if h >= 2**63 else h
-
-    letters = [3, 1, 4, 1, 5]
-    row = one(spark, numbers.multiplicative_hash(F.array(*map(F.lit, letters))), numbers.one_at_a_time_hash(F.array(*map(F.lit, letters))))
-    assert row[0] == plain(letters, "m") and row[1] == plain(letters, "o")
+        for x in key:
+            h = (h + x) % wrap
+            h = (h + h * 2**10) % wrap
+            h ^= h // 2**6
+        h = (h + h * 2**3) % wrap
+        h ^= h // 2**11
+        return (h + h * 2**15) % wrap
+
+    assert turned([3]) == (1 << 5) ^ 3 and turned([]) == 0
+    r = random.Random(2)
+    for n in (0, 1, 2, 9, 60):
+        key = [r.randint(0, 255) for _ in range(n)]
+        column = F.lit(key) if key else F.array().cast("array<int>")
+        found = one(spark, numbers.shift_xor_hash(column), numbers.one_at_a_time_hash(column))
+        assert [x % wrap for x in found] == [turned(key), one_at_a_time(key)]
+
+
+def test_large_pairs(spark):
+    for i, j in ((200000001, 200000003), (2 * 10**9, 10**9), (0, 3 * 10**9), (3 * 10**9, 0)):
+        code = (i + j) * (i + j + 1) // 2 + j
+        assert one(spark, codes.pair(F.lit(i), F.lit(j)))[0] == code
+        assert tuple(one(spark, codes.unpair(F.lit(code)))[0]) == (i, j)
+    values = [5, 0, 9, 2]
+    assert one(spark, codes.unfold(codes.fold(F.lit(values)), 4))[0] == values and one(spark, codes.unfold(F.lit(8), 1))[0] == [8]
+
+
+def test_two_phases_keep_all_targets(spark):
+    """1,500 targets: the first phase gives 1,000 of them a gapless score, all are ranked and reported."""
+    letters = [1, 2, 3, 1, 2]
+    database = spark.createDataFrame([(t, letters) for t in range(1500)], "seq_id long, letters array<int>")
+    queries = spark.createDataFrame([(0, letters)], "seq_id long, letters array<int>")
+    hits = spark.createDataFrame([(0, t, 1 + t % 3, float(t), float(-t)) for t in range(1500)], "query_id long, target_id long, n_seeds int, score double, blast double")
+    for how, first in (("score_sw", range(500, 1500)), ("blast_sw", range(1000))):
+        found = select(hits, queries, database, how, 1, 10_000).collect()
+        assert {r["target_id"] for r in found} == {t for t in range(1500) if t % 3}
+        assert {r["target_id"] for r in found if r["swscore"] == 15} == {t for t in first if t % 3}
+        assert {r["swscore"] for r in found} == {0, 15}
+        by_rank = [(-r["swscore"], -r["n_seeds"], r["target_id"]) for r in sorted(found, key=lambda r: r["rank"])]
+        assert by_rank == sorted(by_rank)
+
+
+def test_suffix_order_equals_sorting(spark):
+    r = random.Random(1)
+    rows = [(i, [r.randint(1, 2) for _ in range(r.randint(0, 70))]) for i in range(12)] + [(20, [1] * 60), (21, [1] * 60)]
+    df = spark.createDataFrame(rows, "seq_id long, letters array<int>")
+    order = sorted((s[p:], i, p) for i, s in rows for p in range(len(s)))
+    ranks, _ = suffixes.suffix_ranks(df)
+    assert {(x["seq_id"], x["pos"]): x["rank"] for x in ranks.collect()} == {(i, p): k for k, (_, i, p) in enumerate(order)}
+    shared = {}
+    for k, (s, i, p) in enumerate(order):
+        before = order[k - 1][0] if k else []
+        shared[i, p] = next((n for n, (x, y) in enumerate(zip(s, before)) if x != y), min(len(s), len(before)))
+    assert {(x["seq_id"], x["pos"]): x["lcp"] for x in suffixes.neighbour_prefixes(df).collect()} == shared
+
+
+def test_good_suffix_shifts_lose_no_occurrence(spark):
+    """Searching with the shifts alone finds every occurrence, for all short patterns of two letters."""
+    from itertools import product
+
+    patterns = ["".join(p) for n in range(1, 6) for p in product("ab", repeat=n)]
+    rows = spark.createDataFrame([(p,) for p in patterns], "p string").select("p", text.good_suffix(F.col("p")).alias("s")).collect()
+    where = "".join(random.Random(4).choice("ab") for _ in range(200))
+    for p, shifts in rows:
+        at, found = 0, []
+        while at <= len(where) - len(p):
+            j = len(p)
+            while j and where[at + j - 1] == p[j - 1]:
+                j -= 1
+            if not j:
+                found.append(at)
+            at += shifts[j]
+        assert found == [k for k in range(len(where)) if where.startswith(p, k)]
+    assert dict(rows)["abab"] == [2, 2, 2, 4, 1]
+
+
+def test_printing():
+    assert text.printed_alignment([1, 22, 3], [3, 22], [3, 1], 9) == "    0\t  1 22\n    1\t  -  -\n\n    2\t  3\n    1\t  3\n"
+    assert progress.bar("x", 10, 5, 4) == "[=== ]   50%   x   /" and progress.bar("x", 0, 0, 2) == "[= ]   0%   x   /"
+
+
+def test_required(spark):
+    rows = spark.range(5)
+    assert progress.required(rows, F.col("id") < 5, "no").count() == 5
+    with pytest.raises(Exception, match="too large"):
+        progress.required(rows, F.col("id") < 4, "too large").collect()
+
+
+def test_alignment_report_by_hand(spark):
+    """One pair of each kind of search, whose blocks are small enough to work out."""
+    matrix = np.full((128, 128), -4.0)
+    np.fill_diagonal(matrix, 5.0)
+    a, b = [1, 2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 4, 9, 9, 5, 6, 7, 8]
+    schema = "seq_id long, letters array<int>, probs array<array<double>>, xyz array<struct<x:double,y:double,z:double>>"
+    r = np.random.default_rng(1)
+    point = {k: r.normal(size=3) * 9 for k in range(1, 10)}
+    rows = lambda s: [(0, s, [[float(k == x) for k in range(10)] for x in s], [tuple(point[x] for x in s)[n].tolist() for n in range(len(s))])]
+    target, query = spark.createDataFrame(rows(a), schema), spark.createDataFrame(rows(b), schema)
+    hits = spark.createDataFrame([(0, 0)], "query_id long, target_id long")
+    al = aligned(hits, query, target, "sequence", matrix).first()["al"]
+    assert (al["identity"], al["sw_length"], al["sw_raw"], al["cvr"]) == (1.0, 8, 8, 1.0)
+    assert al["sw_score"] == al["nw_score"] == pytest.approx(40 - 8.94 - 0.88) and al["sw_smpl"] == 40
+    assert al["sw_tot"] == pytest.approx(40 - 3.25 - 0.8942) and al["z"] > 3
+    al = aligned(hits, query, target, "structure").first()["al"]
+    # a gap costs more than four products of one: globally the later half is aligned without any, locally not at all
+    assert (al["identity"], al["nw_length"], al["nw_score"], al["sw_length"], al["sw_score"], al["cvr"]) == (0.5, 8, 4.0, 4, 4.0, 0.5)
+    assert al["rmsd"] == pytest.approx(0, abs=1e-6) and al["dme"] == 0.0 and 0 < al["tm"] <= 0.4 + 1e-9
+
+
+def test_matrix_file(spark, tmp_path):
+    (tmp_path / "m.mat").write_text("# scores\n   A  R  *\nA  4 -1 -4\nR -1  5 -4\n* -4 -4  1\n")
+    m = files.read_matrix(spark, str(tmp_path / "m.mat"))
+    assert m[ord("A"), ord("R")] == -1 and m[ord("r"), ord("R")] == 5 and m[ord("Z"), ord("A")] == -4 and m[ord("Z"), ord("?")] == 1
+
+
+def test_result_lines(sequences, tmp_path):
+    df, _ = sequences
+    config = SearchConfig(minimal_length=4, minimal_seed=3, maximal_match=10_000)
+    write_results(report(search(df, df, config), df, df, config), str(tmp_path / "out"))
+    lines = [x for part in sorted((tmp_path / "out").glob("part-*")) for x in part.read_text().splitlines()]
+    assert lines[0] == HEADER_LINE and lines[0].startswith("CSV;picture;sequence a;") and len(lines) > 1
+    assert all(x.startswith("CSV;[") and x.split(";")[1].endswith("]") and len(x.split(";")) == 22 for x in lines[1:])
 
 
 def test_records_round_trip(spark, tmp_path):
@@ -156,7 +276,7 @@ def test_records_round_trip(spark, tmp_path):
     df = spark.createDataFrame([row], "seq_id long, url string, description string, alphabet string, letters array<int>, info array<int>")
     data = bytes(files.records(df).first()["record"])
     (tmp_path / "a.seq").write_bytes(data)
-    back = files.read_records(spark, str(tmp_path)).first().asDict()
+    back = files.read_records(spark, str(tmp_path)).drop("path").first().asDict()
     assert back == row | {"length": 3}
 
 
@@ -171,6 +291,14 @@ def test_files(spark, tmp_path):
     assert files.chains_of_coordinates(atoms, "p").first()["fasta"] == ">p | chain A | 3 aa\nGAW"
 
 
+def test_options(tmp_path):
+    assert SearchConfig().kind == "structure"
+    (tmp_path / "c.cnf").write_text("[limits]\nminimal_length = 15\n[result]\noutput = /o.csv\n[sources]\nalphabet = x.csv\n")
+    config = from_arguments(["-c", str(tmp_path / "c.cnf"), "-S", "-M", "4", "--maxresults", "7", "-q", "q.seq", "--percent", "2.5"])
+    assert (config.kind, config.minimal_length, config.select, config.match, config.mismatch, config.maximal_hits, config.percent) == ("structure", 15, "score", 4, -2, 7, 2.5)
+    assert config.report == "/o.csv" and config.sources == {"alphabet": "x.csv", "query": "q.seq"} and from_arguments([]).select == "sw"
+
+
 def test_config(tmp_path):
     (tmp_path / "c.cnf").write_text("[common]\ntype = salami\n[limits]\nminimal_length = 15\n[sources]\nalphabet = x.csv\n")
     config = from_arguments(["-c", str(tmp_path / "c.cnf")])
