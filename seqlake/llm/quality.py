@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blobs, stage, table
+from .common import blobs, drop_rows, stage, table, text_hash, unstage
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Transformed statistics of a text, and the least standard deviation that each is taken to have.
@@ -21,6 +21,9 @@ GROUP = 100
 #: by how much the best start's log determinant has to fall for another step, and the distance that rejects.
 SHARE, STEPS, FALL, CUTOFF = 0.5, 2, 1e-3, 7.0
 
+#: Estimates (about 1 KB each) that are broadcast to the rows; more of them are joined, a hot group's rows dealt to SALTS keys.
+MODELS, SALTS = 10_000, 64
+
 _SYMBOLS = b"#*$%&|<>"
 _NO_SYMBOL = bytes(range(256))
 
@@ -54,8 +57,8 @@ def counts(text: bytes) -> tuple[int, ...]:
     readable = joined.decode()
     lines = [x for x in text.split(b"\n") if x.strip()]
     symbols = len(text) - len(text.translate(_NO_SYMBOL, _SYMBOLS))
-    lower = readable.lower()
-    upper = sum(map(str.__ne__, readable, lower)) if len(lower) == len(readable) and readable != lower else 0
+    lower = readable.replace("\u0130", "i").lower()  # the one letter whose lower case is longer
+    upper = sum(map(str.__ne__, readable, lower)) if readable != lower else 0
     marks = len(joined) - len(joined.translate(_NO_SYMBOL, b"!?;:^~_=+/\\()[]{}\"'`@"))
     digits = len(joined) - len(joined.translate(_NO_SYMBOL, b"0123456789"))
     return len(words), len(readable), symbols, len(lines) - len(set(lines)), _repeated(words, WINDOW), upper, marks, digits, sum(map(bytes.__eq__, words, words[1:]))
@@ -74,7 +77,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("source"), batch.column("h"), *arrays], names=["doc_id", "lang", "source", "h", *_COUNTS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.xxhash64("text").alias("h"))
+    found = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), text_hash().alias("h"))
     return found.mapInArrow(run, f"doc_id {kind}, lang string, source string, h long, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
@@ -117,28 +120,39 @@ def _start(df: DataFrame) -> DataFrame:
     return by.select("g", F.posexplode(starts).alias("s", "m"), diagonal.alias("p"))
 
 
-def _distance(df: DataFrame, model: DataFrame) -> DataFrame:
-    """df with d2, the squared Mahalanobis distance from its group's estimate."""
+def _beside(df: DataFrame, other: DataFrame, key: str, n: int) -> DataFrame:
+    """df beside the rows of other (n of them, staged) of the same key: broadcast if they are few, else joined by salted keys."""
+    other = other.withColumnRenamed(key, "_key")
+    if n <= MODELS:
+        return df.join(F.broadcast(other), F.col(key) == F.col("_key")).drop("_key")
+    salted = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)).cast("int")
+    return df.withColumn("_own", own).join(salted, (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_salt"))).drop("_key", "_own", "_salt")
+
+
+def _distance(df: DataFrame, models: DataFrame, size: int) -> DataFrame:
+    """df with d2, the squared Mahalanobis distance from its group's estimate, of which there are `size`."""
     n = len(FEATURES)
-    joined = df.join(model.withColumnRenamed("g", "_g"), F.col("g") == F.col("_g"))
-    off = [F.col(x) - F.col("m")[i] for i, x in enumerate(FEATURES)]
-    with_off = joined.withColumn("o", F.array(*off))
-    terms = (F.col("o")[i] * F.col("o")[j] * F.col("p")[i * n + j] * (1 if i == j else 2) for i in range(n) for j in range(i, n))
-    return with_off.withColumn("d2", F.greatest(sum(terms, F.lit(0.0)), F.lit(0.0))).drop("o", "m", "p", "_g")
+    off = ", ".join(f"{x} - m[{i}]" for i, x in enumerate(FEATURES))
+    terms = " + ".join(f"{1 if i == j else 2} * o[{i}] * o[{j}] * p[{i * n + j}]" for i in range(n) for j in range(i, n))
+    return _beside(df, models, "g", size).withColumn("o", F.expr(f"array({off})")).withColumn("d2", F.expr(f"greatest(0.0D, {terms})")).drop("o", "m", "p")
 
 
-def _concentrate(df: DataFrame, model: DataFrame) -> DataFrame:
+def _concentrate(df: DataFrame, models: DataFrame, size: int) -> DataFrame:
     """A concentration step of each start: (g, s, det, m, p) of the SHARE of each group that is nearest by the last estimate.
 
-    The covariance is scaled so that the nearest half has the median distance of a normal sample; the floors of
-    FEATURES are added to its diagonal, so that statistics which don't vary (no symbols at all) can be inverted. det is the logarithm of its determinant.
+    One pass adds up counts, sums and products by group, start and distance (in bins of a thirty-second of its
+    logarithm, whose ties share a fate); the nearest bins' make the estimate. The covariance is scaled by what makes
+    the nearest half of a normal sample consistent; the floors of FEATURES are added to its diagonal, so that
+    statistics which don't vary (no symbols at all) can be inverted. det is the logarithm of its determinant.
     """
     names = list(FEATURES)
-    near = _distance(df, model).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 32))
-    limit = _quantiles(near, ["g", "s"], "bin", {"most": SHARE}).withColumnsRenamed({"g": "_g", "s": "_s"})
-    kept = near.join(limit, (F.col("g") == F.col("_g")) & (F.col("s") == F.col("_s")) & (F.col("bin") <= F.col("most")))
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = kept.groupBy("g", "s").agg(F.count("*").alias("n"), F.array(*(F.sum(x) for x in names)).alias("t"), F.array(*(F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs)).alias("ss"))
+    sums = ["count(*) AS n", *(f"sum({x}) AS t{i}" for i, x in enumerate(names)), *(f"sum({names[i]} * {names[j]}) AS q{k}" for k, (i, j) in enumerate(pairs))]
+    binned = _distance(df, models, size).withColumn("bin", F.expr("floor(ln(d2 + 1e-6) * 32)")).groupBy("g", "s", "bin").agg(*map(F.expr, sums))
+    near = binned.withColumns({"upto": F.expr("sum(n) OVER (PARTITION BY g, s ORDER BY bin)"), "all": F.expr("sum(n) OVER (PARTITION BY g, s)")}).filter(f"upto - n < {SHARE} * all")
+    moments = [f"t{i}" for i in range(len(names))], [f"q{k}" for k in range(len(pairs))]
+    kept = near.groupBy("g", "s").agg(F.expr("sum(n) AS n"), *(F.expr(f"array({', '.join(f'sum({c})' for c in columns)}) AS {name}") for name, columns in zip(("t", "ss"), moments)))
     floors = np.array(list(FEATURES.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +170,7 @@ def _concentrate(df: DataFrame, model: DataFrame) -> DataFrame:
                 inverses.append(np.linalg.inv(cov).ravel().tolist())
             yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("s"), pa.array(dets, pa.float64()), pa.array(means, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], names=["g", "s", "det", "m", "p"])
 
-    return sums.mapInArrow(run, "g string, s int, det double, m array<double>, p array<double>")
+    return kept.mapInArrow(run, "g string, s int, det double, m array<double>, p array<double>")
 
 
 def _estimate(grouped: DataFrame) -> DataFrame:
@@ -171,15 +185,17 @@ def _estimate(grouped: DataFrame) -> DataFrame:
 
     once = stage(grouped.select("g", *FEATURES).distinct())
     model = stage(_start(once))
+    size = model.count()
     for _ in range(STEPS):
-        model = stage(_concentrate(once, model))
-    model, least = stage(best(model)), {}
+        model = stage(_concentrate(once, model, size))
+    model = stage(best(model))
     while True:
-        dets = dict(model.select("g", "det").collect())  # one number a language and source
-        if all(dets[g] > least.get(g, np.inf) - FALL for g in dets):
-            return model
-        least = dets
-        model = stage(best(model.unionByName(_concentrate(once, model))))
+        nearer = stage(best(model.unionByName(_concentrate(once, model, size))))
+        falls = nearer.alias("a").join(model.alias("b"), "g").filter(F.col("a.det") <= F.col("b.det") - FALL)
+        if falls.isEmpty():
+            unstage(once)
+            return nearer
+        model = nearer
 
 
 #: What the covariance of the nearest half of a 9-dimensional normal sample is to be multiplied by.
@@ -203,18 +219,23 @@ def judge(docs: DataFrame) -> DataFrame:
     named = usable.withColumns({"gl": lang, "gs": F.concat_ws("\1", lang, source)})
     sizes = named.groupBy("gl", "gs").agg(F.count("*").alias("n"))
     small = F.sum(F.when(F.col("n") < GROUP, F.col("n")).otherwise(0)).over(Window.partitionBy("gl"))
-    groups = sizes.select(F.col("gs").alias("_gs"), F.when(F.col("n") >= GROUP, F.col("gs")).when(small >= GROUP, F.col("gl")).otherwise("\2").alias("g"))
-    grouped = stage(named.join(groups, F.col("gs") == F.col("_gs")).select("doc_id", "h", "g", *FEATURES))
-    far = _distance(grouped, _estimate(grouped)).filter(F.col("d2") > CUTOFF**2).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct().withColumn("out", F.lit(True))
+    groups = stage(sizes.select("gs", F.when(F.col("n") >= GROUP, F.col("gs")).when(small >= GROUP, F.col("gl")).otherwise("\2").alias("g")))
+    grouped = stage(_beside(named, groups, "gs", groups.count()).select("doc_id", "h", "g", *FEATURES))
+    models = _estimate(grouped)
+    far = _distance(grouped, models, models.count()).filter(F.col("d2") > CUTOFF**2).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct().withColumn("out", F.lit(True))
     joined = counted.join(far, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     return joined.select("doc_id", "h", *_COUNTS[:5], "base_failed", (~F.col("base_failed") & F.col("out").isNull()).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
-    bad = judge(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h")), "left_anti")
+    """The rows of docs that judge() keeps, with all their columns, whatever their names.
+
+    Null texts go, as they fail the base rules; rows of equal (or null) doc_id and text share a fate; ties and empty
+    tables are as in judge().
+    """
+    return drop_rows(docs, judge(docs).filter("not kept"))
 
 
 def op3_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() of all documents; nulls, ties, repeats and empty tables as there."""
     return judge(table(spark, sf_dir, "documents")).drop("h")
