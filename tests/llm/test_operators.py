@@ -53,6 +53,37 @@ def test_near_duplicates(docs, rows, empty):
     assert Counter(map(tuple, found)) == want
 
 
+def test_fingerprint_by_its_definition():
+    """Words, shingles, XXH64 and majority, spelled out."""
+    import re
+
+    import xxhash
+
+    r = random.Random(4)
+    for n in (0, 1, 3, 4, 5, 40):
+        text = "".join(r.choice(["Ab", "É", "x\u00a0y", "\u2003"]) + r.choice([" ", "\n", "\t\x0b", "\r\x0c "]) for _ in range(n))
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text))
+        grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert int(simhash.fingerprint(text.encode())[0]) == want
+
+
+def test_first_shingles_meet():
+    """Two sets of the similarity have one of their first shingles in common, whichever are late."""
+    r = np.random.default_rng(8)
+    met = 0
+    for _ in range(400):
+        base = np.unique(r.integers(0, 2**63, r.integers(1, 60), np.uint64))
+        late = np.unique(r.choice(base, r.integers(0, len(base) + 1), replace=False))
+        two = [np.unique(np.concatenate([base[r.random(len(base)) >= 0.1], r.integers(0, 2**63, r.integers(0, 4), np.uint64)])) for _ in range(2)]
+        common, either = len(np.intersect1d(*two)), len(np.union1d(*two))
+        if either and common >= 0.8 * either:
+            met += 1
+            assert len(np.intersect1d(*(simhash.first_shingles(x, 0.8, late) for x in two)))
+    assert met > 50
+
+
 def test_link_shard_equals_all_pairs():
     r = np.random.default_rng(0)
     base = r.integers(0, 2**63, 40, np.uint64)
@@ -68,6 +99,8 @@ def test_crowded_shards_lose_no_link(spark, monkeypatch):
     r = np.random.default_rng(1)
     fps = np.unique(np.concatenate([r.integers(0, 2**20, 400), r.integers(0, 2**62, 50)]))
     nodes = spark.createDataFrame([(int(f), int(f)) for f in fps], "node long, f0 long")
+    cells = simhash._routed(nodes, simhash.EXACT).groupBy("shard").agg(F.sum((~F.col("asking")).cast("int")).alias("n"))
+    assert cells.agg(F.max("n")).first()[0] <= 50
     roots = dict(map(tuple, components.connected_components(simhash.near_links(nodes)).collect()))
     want = simhash.link_shard(fps.view(np.uint64)[:, None], 4)
     assert all(roots.get(int(f), int(f)) == int(fps[w]) for f, w in zip(fps, want))
@@ -132,8 +165,12 @@ def test_parity_maps_deny_no_similar_pair():
     assert able[alike].all() and alike.any() and not able.all()
 
 
-def test_similar_texts_equal_brute_force(spark):
-    """Texts with a few words changed, some 0.8 alike and some not, and a crowd that needs several rounds."""
+@pytest.mark.parametrize("crowd", [None, 3])
+def test_similar_texts_equal_brute_force(spark, monkeypatch, crowd):
+    """Texts with a few words changed, some 0.8 alike and some not, and a crowd that needs several rounds.
+
+    Held against all pairs, of which the prints' blocks alone would miss some; also with shingles that are late choices.
+    """
     r = random.Random(5)
     texts = []
     for k in range(12):
@@ -144,21 +181,20 @@ def test_similar_texts_equal_brute_force(spark):
                 changed[r.randrange(len(words))] = f"new{r.random()}"
             texts.append(" ".join(changed))
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
-    prints = [simhash.fingerprint(t.encode(), 5, 4) for t in texts]
-    scheme, group, alike = simhash.SIMILAR, list(range(len(texts))), []
+    group, missed = list(range(len(texts))), 0
     for i in range(len(texts)):
         for j in range(i):
             if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-                alike.append((i, j))
-                differ = [int(x) ^ int(y) for x, y in zip(prints[i], prints[j])]
-                meet = any(not differ[n] >> at & (1 << bits) - 1 for n, at, bits in scheme.blocks)
-                if meet and sum(x.bit_count() for x in differ) <= scheme.radius:
-                    group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+                one, two = (simhash.fingerprint(t.encode(), 5, 4) for t in (texts[i], texts[j]))
+                differ = [int(x) ^ int(y) for x, y in zip(one, two)]
+                missed += all(differ[n] >> at & (1 << bits) - 1 for n, at, bits in simhash.SIMILAR.blocks)
+    if crowd:
+        monkeypatch.setattr(simhash, "CROWD", crowd)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = dict(simhash.near_duplicates(docs, scheme).select("doc_id", "component_id").collect())
-    assert 12 < len(set(group)) < len(texts) - 12
+    found = dict(simhash.near_duplicates(docs, simhash.SIMILAR).select("doc_id", "component_id").collect())
+    assert 12 < len(set(group)) < len(texts) - 12 and missed
     assert [found[i] for i in range(len(texts))] == group
-    assert sum(group[i] == group[j] for i, j in alike) >= 0.95 * len(alike)
 
 
 def test_repeated_phrases_leave_candidates(spark):
@@ -245,6 +281,41 @@ def test_quality_rejects_a_third_of_junk(spark, copies):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, *_ in good}
 
 
+def test_quality_equals_plain_estimate(spark):
+    """The verdict against minimum-covariance-determinant by sorting whole distances from many random starts."""
+    r = np.random.default_rng(3)
+    texts = []
+    for i in range(260):
+        words = prose(i, int(r.integers(30, 200))).split()
+        texts.append(" ".join(w + "," * (r.random() < 0.1) for w in words) + ".")
+    for i in range(0, 260, 26):
+        texts[i] = [texts[i].upper(), texts[i].replace(" ", " # $ "), " ".join(c for w in texts[i].split() for c in (w, w, w)), texts[i].replace("a", "7").replace("e", "4")][i // 26 % 4]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    judged = {x["doc_id"]: x for x in quality.judge(docs).collect()}
+    usable = [i for i in judged if not judged[i]["base_failed"]]
+    names = list(quality.FEATURES)
+    x = quality.statistics(docs).select("doc_id", *(c.alias(n) for n, c in quality._features().items())).toPandas().set_index("doc_id").loc[usable, names].to_numpy()
+    floors, h, best = np.diag(np.array(list(quality.FEATURES.values())) ** 2), -(-len(x) // 2), None
+    for _ in range(40):
+        rows = r.choice(len(x), 12, replace=False)
+        for _ in range(30):
+            cov = np.cov(x[rows].T, bias=True) * quality._CONSISTENT + floors
+            off = x - x[rows].mean(axis=0)
+            d2 = np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off)
+            rows = np.argsort(d2, kind="stable")[:h]
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, d2
+    far = {i for i, d in zip(usable, best[1]) if d > quality.CUTOFF**2}
+    close = {i for i, d in zip(usable, best[1]) if 0.8 < d / quality.CUTOFF**2 < 1.25}
+    out = {i for i in usable if not judged[i]["kept"]}
+    assert len(far) >= 5 and out ^ far <= close
+
+
+def test_quality_counts_capitals_beside_any_letter():
+    assert quality.counts(("A" * 30 + " \u0130x").encode())[5] == 31
+
+
 def test_token_counts():
     pieces = {"▁": -1.0, "▁a": -2.0, "a": -3.0, "b": -3.0, "ab": -4.0, "▁ab": -7.5, "aba": -4.5, "c": -9.0}
     trie = tokens.Trie(pieces)
@@ -281,10 +352,40 @@ def test_packing():
         assert sum(sizes) <= sum(lengths) * 1.3 + 128
 
 
+def test_packing_costs():
+    """Against every way to pack a few pieces, and against packing the largest size and downsizing."""
+    sizes, cost = (32, 64, 128), lambda n: packing.bin_cost(next(s for s in (32, 64, 128) if s >= n), 4, 384)
+
+    def least(pieces, held=()):
+        if not pieces:
+            return sum(map(cost, held))
+        n, rest = pieces[0], pieces[1:]
+        options = [least(rest, (*held[:k], h + n, *held[k + 1 :])) for k, h in enumerate(held) if h + n <= 128]
+        return min([*options, least(rest, (*held, n))])
+
+    total = best = 0
+    for seed in range(60):
+        r = random.Random(seed)
+        lengths = [r.choice([r.randint(1, 128), r.randint(1, 40)]) for _ in range(r.randint(1, 7))]
+        found = sum(cost(s) for s in packing.pack(lengths, sizes, 4, 384)[2])
+        assert found <= 1.5 * least(lengths)
+        total, best = total + found, best + least(lengths)
+    assert total <= 1.06 * best
+    for draw in (lambda r: min(8192, int(r.expovariate(1 / 500)) + 1), lambda r: r.choice([r.randint(600, 1100), r.randint(2100, 3000)])):
+        r = random.Random(1)
+        lengths = [draw(r) for _ in range(3000)]
+        joint = packing.pack(lengths)[2]
+        used = Counter()
+        for b, n in zip(packing.pack(lengths, (8192,))[0], lengths):
+            used[b] += n
+        downsized = [next(s for s in packing.SIZES if s >= n) for n in used.values()]
+        assert sum(map(packing.bin_cost, joint)) < 0.98 * sum(map(packing.bin_cost, downsized)) and len(set(joint)) > 1
+
+
 def test_packing_rows(docs, rows, empty):
     assert packing.pack_documents(empty).count() == 0
     found = packing.pack_documents(docs).collect()
-    assert sum(r["length"] for r in found) == sum(len((r[1] or "").encode()) for r in rows)
+    assert sum(r["length"] for r in found) == sum(r["n_tokens"] for r in tokens.count_tokens(docs).collect()) > 0
     assert Counter(r["doc_id"] for r in found if r["piece"] == 0) == Counter(r[0] for r in rows)
 
 
@@ -298,6 +399,36 @@ def test_sharding(docs, rows, empty):
     assert all(total[r["shard"]] == r["shard_bytes"] and (r["shard_bytes"] <= 2000 or r["shard_bytes"] == r["n_bytes"]) for r in found)
 
 
+def test_sharding_equals_splitting_by_hand(spark):
+    """Buckets of rows split bit by bit until they fit; copies of one row and rows over the limit in pages."""
+    rows = [(i, "t" * (i * 37 % 90)) for i in range(150)] + [(7, "copy" * 20)] * 30 + [(500, "L" * 700), (501, "L" * 900), (None, "n" * 20), (None, None)]
+    limit, bits = 500, lambda x: f"{int(hashlib.md5(str('' if x is None else x).encode()).hexdigest()[:15], 16):060b}"
+    want = Counter()
+
+    def place(rows, path, hashes, which, depth, at):
+        if sum(len(t or "") for _, t in rows) <= limit:
+            for k, t in rows:
+                want[k, "s" + path, depth, len(t or ""), sum(len(t or "") for _, t in rows)] += 1
+        elif at < 60:
+            for bit in "01":
+                if some := [r for r in rows if hashes(r)[at] == bit]:
+                    place(some, path + bit, hashes, which, depth + 1, at + 1)
+        elif which == "key":
+            place(rows, path + ".", lambda r: bits(r[1]), "text", depth, 0)
+        else:
+            each = max(1, limit // max(1, len(rows[0][1])))
+            for n in range(0, len(rows), each):
+                for k, t in rows[n : n + each]:
+                    want[k, f"s{path}/{n // each}", 120, len(t), len(t) * len(rows[n : n + each])] += 1
+
+    place([r for r in rows if len(r[1] or "") <= limit], "", lambda r: bits(r[0]), "key", 0, 0)
+    for k, t in rows:
+        if len(t or "") > limit:
+            want[k, f"s{bits(k)}.{bits(t)}/0", 120, len(t), len(t)] += 1
+    found = Counter(map(tuple, sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), limit=limit).collect()))
+    assert found == want and max(d for _, _, d, *_ in want if d < 60) >= 3
+
+
 def test_sharding_hot_key(spark):
     docs = spark.createDataFrame([(7, "x" * 90 + str(i % 3)) for i in range(60)] + [(i, "y" * 50) for i in range(60)], "doc_id long, text string")
     found = sharding.assign_shards(docs, limit=500).collect()
@@ -390,6 +521,53 @@ def test_leaks(spark, empty):
     assert decontaminate.find_leaks(empty, benchmark).count() == 0 and decontaminate.find_leaks(table, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_leaks_equal_brute_force(spark, monkeypatch, small):
+    """All windows of all documents against all items; passages in 1, 10, 50 and 90 % of them, whole and reworded."""
+    if small:
+        for name, n in (("WORDS", 64), ("CHUNK", 200), ("BLOCK", 120)):
+            monkeypatch.setattr(decontaminate, name, n)
+    r = random.Random(2)
+    vocabulary = prose(1, 900, 900).split()
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(k, text(18 + 7 * k)) for k in range(8)] + [(50, items_ := text(25)), (50, items_), (60, "one"), (61, None)]
+    docs = []
+    for i in range(120):
+        parts = [text(r.randint(0, 60))]
+        for k, share in enumerate((0.01, 0.1, 0.5, 0.9)):
+            if i % 100 < share * 100:
+                parts += [items[k][1], text(r.randint(0, 40))]
+        reworded = [w if n % 4 or n > 12 else r.choice(vocabulary) for n, w in enumerate(items[4 + i % 4][1].split())]
+        docs.append((i, " ".join([*parts, *([*reworded, text(20)] if i % 3 == 0 else [])])))
+    docs += [(None, items[0][1]), (7, items[1][1]), (7, items[1][1]), (200, None), (201, "")]
+    words = {k: decontaminate.split(t.encode()) for k, t in items if t}
+    want = Counter()
+    for d, t in docs:
+        ws = decontaminate.split((t or "").encode())
+        for k, t in items:
+            if t:
+                half = decontaminate._width(words[k]) // 2
+                want[d, k] += any(decontaminate.verdict(words[k], ws[max(0, b - half) : b + 3 * half])[1] for b in range(0, len(ws), half) if ws[b : b + 2 * half])
+    found = Counter((x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert found == +want and len(found) > 150
+
+
+def test_latent_basis_equals_plain_svd(spark):
+    r = np.random.default_rng(5)
+    passages = [" ".join(f"w{int(x)}" for x in r.choice(40, 32, p=np.arange(1, 41) / 820)) for _ in range(300)]
+    known = sorted(f"w{k}".encode() for k in range(40))
+    coded = decontaminate.encode(spark.createDataFrame([(k, k, p) for k, p in enumerate(passages)], "doc_id long, h long, text string"), known)
+    weight, items = np.ones(40), [[0, 1, 2], [5]]
+    vectors, values = decontaminate.latent_basis(coded, items, np.arange(40, dtype=np.int32), weight, 6)
+    rows = np.array([[p.split().count(w.decode()) for w in known] for p in passages], float)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    own = np.array([[float(k in item) for k in range(40)] for item in items])
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    assert vectors.shape == (40, 6) and np.allclose(vectors.T @ vectors, np.eye(6), atol=1e-4)
+    whole = rows.T @ rows / np.trace(rows.T @ rows)
+    assert np.linalg.norm(whole @ vectors[:, :1]) > 0.9 * np.linalg.eigvalsh(whole)[-1] and (np.diff(values) <= 1e-9).all()
+
+
 def test_leaks_of_common_words(spark):
     """A passage in a third of the documents, whose words all get common by that, and one of words that stand everywhere."""
     leaked, frequent = prose(40, 38), "we go on and so do they as it was to be that it is as we do go so on they be"
@@ -426,4 +604,66 @@ def test_language(spark, empty):
     assert found[2]["lang_pred"] == found[3]["lang_pred"] == "und" and found[3]["score"] == 0.0
     assert found[4]["lang_pred"] == "bb" and abs(found[4]["score"] - 2 / 3) < 0.05
     assert language.identify(empty, names, logs).count() == 0
+    clash = asked.withColumns({"languages": F.lit(1), "score": F.lit("x"), "lang": F.lit("zz")}).unionAll(asked.withColumns({"languages": F.lit(1), "score": F.lit("x"), "lang": F.lit(None)}))
+    assert Counter(map(tuple, language.identify(clash, names, logs).collect())) == Counter([*map(tuple, found.values())] * 2)
     assert language.learn(empty)[0] == [] and {x["lang_pred"] for x in language.identify(asked, *language.learn(empty)).collect()} == {"und"}
+
+
+def test_mixture_of_many_languages():
+    """A text of six languages; and every set of three languages, by brute force, for texts of up to three."""
+    from itertools import combinations
+
+    r = np.random.default_rng(2)
+    logs = np.full((language.BUCKETS, 6), np.log(1e-6), np.float32)
+    alphabets = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    word = lambda k: "".join(r.choice(list(alphabets[k]), 5))
+    for k in range(6):
+        bucket, *_ = language.trigrams([" ".join(word(k) for _ in range(4000))])
+        counts = np.bincount(bucket, minlength=language.BUCKETS) + 0.1
+        logs[:, k] = np.log(counts / counts.sum())
+    six = " ".join(word(k) for k in range(6) for _ in range(30))
+    assert (language.mixtures([six], logs)[0] > 0.1).all()
+    for langs in combinations(range(6), 3):
+        text = " ".join(word(k) for k in langs[: 1 + sum(langs) % 3] for _ in range(20))
+        found = language.mixtures([text], logs)[0]
+        assert set(np.flatnonzero(found > 0)) == set(langs[: 1 + sum(langs) % 3])
+
+
+def test_many_license_hits_count_in_linear_time(spark):
+    docs = spark.createDataFrame([(1, "cc by " * 200_000)], "doc_id long, text string")
+    found = licenses.scan(docs).first()
+    assert (found["n_base"], found["first_word"], found["last_word"], found["n_words"]) == (200_000, 0, 399_998, 400_000)
+
+
+def test_own_license_templates(spark):
+    templates = {"mine": "you may copy this thing as long as you say who made it", "none": "..."}
+    docs = spark.createDataFrame([(1, "so: you may copy this thing, as long as you say who made it!"), (2, "you may not"), (2, "you may not"), (None, "")], "doc_id long, text string").withColumn("labels", F.lit(1))
+    assert Counter((r["doc_id"], r["labels"]) for r in licenses.scan(docs, templates).collect()) == {(1, "mine"): 1, (2, ""): 2, (None, ""): 1}
+
+
+def test_long_texts_are_cut_alike(spark, monkeypatch):
+    """Repeats in texts that are taken in pieces."""
+    monkeypatch.setattr(suffix, "CHUNK", 256)
+    monkeypatch.setattr(suffix, "PIECE", 700)
+    shared = prose(31, 90)
+    texts = [prose(32, 900) + " " + shared + " " + prose(33, 700) + " " + shared, prose(34, 10) + shared, "ab" * 3000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = [(t or "").encode() for t in texts]
+    want = [bytes(b for b, c in zip(t, cover) if not c) for t, cover in zip(raw, brute_spans(raw, 200))]
+    assert [r["kept_sha256"] for r in suffix.remove_repeats(docs).orderBy("doc_id").collect()] == [hashlib.sha256(w).hexdigest() for w in want]
+
+
+def test_stage_forms_take_any_columns(spark):
+    """Columns that clash with helpers' names, or aren't plain names; null and repeated ids; empty tables."""
+    names = ["doc_id", "text", "lang", "source", "_id", "_h", "_", "a.b", "bad_id", "bad_hash", "text_hash", "h", "k", "k2", "rest", "c0", "kept", "out", "BAD_ID_"]
+    rows = [(i, prose(400 + i, 40), "en", "s", *range(len(names) - 4)) for i in range(6)]
+    rows += [rows[0], (None, prose(400, 40), "en", "s", *[None] * (len(names) - 4)), (None, None, None, None, *[None] * (len(names) - 4)), (9, prose(411, 200) + " " + prose(412, 40), "en", "s", *range(len(names) - 4))]
+    kinds = ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string' if n in ('text', 'lang', 'source') else 'int'}" for n in names)
+    docs, benchmark = spark.createDataFrame(rows, kinds), spark.createDataFrame([(1, prose(412, 40)), (None, None)], "item_id long, text string")
+    stages = {"good": lambda d: quality.keep_good(d), "one": lambda d: simhash.keep_one(d), "repeats": lambda d: suffix.remove_repeats(d, texts=True), "leaks": lambda d: decontaminate.drop_leaks(d, benchmark)}
+    for name, step in stages.items():
+        done = step(docs)
+        assert done.columns == names, name
+        assert {"good": 9, "one": 8, "repeats": 10, "leaks": 9}[name] == done.count(), name
+        assert step(docs.limit(0)).count() == 0, name
+    assert decontaminate.drop_leaks(docs, benchmark.limit(0)).count() == len(rows)
