@@ -40,6 +40,8 @@ EXACT = Scheme()
 SIMILAR = Scheme(5, 4, 56, tuple((n, 12 * k, 12) for n in range(4) for k in range(5)), 0.8)
 #: Candidates of each print, in each of its shards, that are compared as texts in the first round, and by how much that grows each round.
 MOST, GROWTH = 1, 8
+#: Pairs that are compared in one task's memory, with the sets of their texts.
+PAIRS = 20_000
 #: Up to so many texts to compare, their hashes (8 bytes each) are broadcast to the scan of all texts.
 FEW = 1_000_000
 #: A shard of more fingerprints is split again by distance from a vantage point; a tree's leaf has LEAF at most.
@@ -390,6 +392,35 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, pick: Callable[
     return picked.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"])
 
 
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the staged pairs(shard, a, b) whose sets(node, s) share `similarity`.
+
+    The pairs of a shard meet with its sets, each of which is moved once, not once a pair; a shard of many pairs is cut
+    by hashes of a into lots of about PAIRS.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches, "lot"):
+            given = rows.filter(rows.column("s").is_valid())
+            held = dict(zip(given.column("a").to_pylist(), (x.values.to_numpy() for x in given.column("s"))))
+            asked = rows.filter(rows.column("b").is_valid())
+            ends = []
+            for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()):
+                common = len(np.intersect1d(held[a], held[b], assume_unique=True))
+                if common >= similarity * (len(held[a]) + len(held[b]) - common) - 1e-9:
+                    ends.append((a, b))
+            if ends:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*ends)], names=["a", "b"])
+
+    many = pairs.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > PAIRS).withColumnRenamed("shard", "_shard")
+    part = F.coalesce(F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / PAIRS)), F.lit(0))
+    asked = pairs.join(many, F.col("shard") == F.col("_shard"), "left").select(F.concat_ws("/", "shard", part.cast("string")).alias("lot"), "a", "b")
+    asked = stage(asked)
+    given = asked.select("lot", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    rows = asked.withColumn("s", F.lit(None).cast("array<bigint>")).unionByName(given.select("lot", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "s"))
+    return rows.repartition(partitions(pairs.sparkSession), "lot").sortWithinPartitions("lot").mapInArrow(run, "a long, b long")
+
+
 def shingle_shards(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """(shard, node): a shard for each shingle that several of nodes(node, h, first) have among their first_shingles().
 
@@ -444,15 +475,13 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFram
             routed = routed.join(maps, "node")
         shingled = shingled.join(rooted.join(maps, "node"), "node")
         found = stage(_candidates(routed.select(fields).unionByName(shingled.select(fields)), scheme, most))
-        pairs = found.filter("a is not null").select("a", "b").distinct()
+        pairs = found.filter("a is not null").groupBy("a", "b").agg(F.min("shard").alias("shard"))
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = stage(ends.join(nodes.select("node", "h"), "node"))
         sets = stage(_shingle_sets(docs, wanted, scheme.size))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        passed = both.filter(common >= F.lit(scheme.similarity) * (F.size("sa") + F.size("sb") - common) - F.lit(1e-9)).select("a", "b")
+        passed = compared(pairs, sets, scheme.similarity)
         links = stage(passed if links is None else links.unionByName(passed))
         unstage(wanted, sets)
         marked = stage(found.filter("a is null").select("shard").distinct())
