@@ -335,11 +335,11 @@ def report_columns(spark, sf_dir):
     return rows.select(F.col("sequence a").alias("sequence_a"), F.col("sequence b").alias("sequence_b"), "matches", F.round("matches_score", 3).alias("matches_score"), F.round("matches_blast", 3).alias("matches_blast"), "matchtype_id", "description")
 
 
-@query(f"WITH {EVENT_SQL}, {_hits('ev', 8)} SELECT query_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, target_id, 'user ' || target_id AS description FROM hits JOIN (SELECT query_id, i FROM hits GROUP BY ALL HAVING count(*) > 4) USING (query_id, i)")
+@query(f"WITH {EVENT_SQL}, {_hits('ev', 8)} SELECT query_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, target_id, 'user ' || target_id AS description FROM hits JOIN (SELECT query_id, i FROM hits GROUP BY ALL HAVING count(*) > 1) USING (query_id, i)")
 def reported_suffixes(spark, sf_dir):
-    """The sequences that hold each window of a query that stands over four times in the database."""
+    """The sequences that hold each window of a query that stands more than once in the database."""
     ev = event_sequences(spark, sf_dir).withColumn("description", F.concat(F.lit("user "), F.col("seq_id").cast("string")))
-    return described(seed_hits(ev, ev, 8, 10_000), ev, 4)
+    return described(seed_hits(ev, ev, 8, 10_000), ev, 1)
 
 
 #: Letters of structural sequences hardly repeat, so a single one is a seed.
