@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import tempfile
 import uuid
@@ -25,10 +26,12 @@ RECORD = "seq_id long, url string, description string, alphabet string, letters
 def scratch(spark: SparkSession) -> str:
     """A new folder's path for files of this session alone: in spark.checkpoint.dir, where that is set, or else on this machine.
 
-    It is deleted when the session ends. Without the setting only a session of one JVM can read what it writes there.
+    It is deleted when the session ends. A cluster without the setting is an error, for its machines share no such folder.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = f"{where or tempfile.mkdtemp(prefix='files-')}/files-{uuid.uuid4().hex}"
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
