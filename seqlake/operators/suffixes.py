@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 DELIMITER, SENTINEL = 4000, 4001
 
 
-#: Letters of the first comparison; each later one is of twice as many.
-FIRST = 8
+#: Letters up to which whole suffixes are compared at once; and, where a sequence is longer, those of the first
+#: comparison, each later one being of twice as many.
+WHOLE, FIRST = 256, 32
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -41,10 +42,14 @@ def openings(sequences: DataFrame, depth: int) -> DataFrame:
 def suffix_ranks(sequences: DataFrame) -> tuple[DataFrame, int]:
     """(seq_id, pos, rest, place, rank) of every position, and the letters after which no order changes.
 
-    rank, from 0, is by suffix, seq_id and pos; place is alike for equal suffixes. Prefix doubling: positions placed by
-    their first h letters are placed by 2h with the place h further on, until that parts none any more, so a row
-    holds two numbers, however long its suffix is.
+    rank, from 0, is by suffix, seq_id and pos; place is alike for equal suffixes of over WHOLE letters. Prefix doubling:
+    positions placed by their first h letters are placed by 2h with the place h further on, until that parts none any
+    more, so a row holds two numbers, however long its suffix is.
     """
+    longest = sequences.agg(F.max(F.size("letters"))).first()[0] or 1
+    if longest <= WHOLE:
+        ranks = numbered(openings(sequences, longest), "rank", "head", "seq_id", "pos")
+        return ranks.select("seq_id", "pos", "rest", F.col("rank").alias("place"), "rank"), longest
     rows, h = openings(sequences, FIRST), FIRST
     places = numbered(rows.select("head").distinct(), "place", "head")
     rows = kept(rows.join(places, "head").select("seq_id", "pos", "rest", "place"))

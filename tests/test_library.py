@@ -189,7 +189,10 @@ def test_two_phases_keep_all_targets(spark):
         assert by_rank == sorted(by_rank)
 
 
-def test_suffix_order_equals_sorting(spark):
+@pytest.mark.parametrize("whole", [256, 0])
+def test_suffix_order_equals_sorting(spark, monkeypatch, whole):
+    """All suffixes sorted at once, and by prefix doubling."""
+    monkeypatch.setattr(suffixes, "WHOLE", whole)
     r = random.Random(1)
     rows = [(i, [r.randint(1, 2) for _ in range(r.randint(0, 70))]) for i in range(12)] + [(20, [1] * 60), (21, [1] * 60)]
     df = spark.createDataFrame(rows, "seq_id long, letters array<int>")
