@@ -39,12 +39,12 @@ def openings(sequences: DataFrame, depth: int) -> DataFrame:
     return rows.select("seq_id", "pos", (F.col("n") - F.col("pos")).alias("rest"), "head")
 
 
-def suffix_ranks(sequences: DataFrame) -> tuple[DataFrame, int]:
+def suffix_ranks(sequences: DataFrame, levels: list[tuple[int, DataFrame]] | None = None) -> tuple[DataFrame, int]:
     """(seq_id, pos, rest, place, rank) of every position, and the letters after which no order changes.
 
     rank, from 0, is by suffix, seq_id and pos; place is alike for equal suffixes of over WHOLE letters. Prefix doubling:
     positions placed by their first h letters are placed by 2h with the place h further on, until that parts none any
-    more, so a row holds two numbers, however long its suffix is.
+    more, so a row holds two numbers, however long its suffix is. `levels`, if given, takes (h, places) of each h.
     """
     longest = sequences.agg(F.max(F.size("letters"))).first()[0] or 1
     if longest <= WHOLE:
@@ -55,11 +55,12 @@ def suffix_ranks(sequences: DataFrame) -> tuple[DataFrame, int]:
     rows = kept(rows.join(places, "head").select("seq_id", "pos", "rest", "place"))
     different = rows.select("place").distinct().count()
     while True:
+        if levels is not None:
+            levels.append((h, rows))
         then = F.coalesce(F.lead("place", h).over(Window.partitionBy("seq_id").orderBy("pos")), F.lit(-1))
         both = rows.withColumn("then", then)
         places = numbered(both.select("place", "then").distinct(), "finer", "place", "then")
         finer = kept(both.join(places, ["place", "then"]).select("seq_id", "pos", "rest", F.col("finer").alias("place")))
-        rows.unpersist()
         rows, now = finer, finer.select("place").distinct().count()
         h *= 2
         if now == different:
@@ -75,21 +76,40 @@ def shared_prefix(a: Column, b: Column) -> Column:
 
 
 def neighbour_prefixes(sequences: DataFrame) -> DataFrame:
-    """(seq_id, pos, rank, lcp): what each suffix shares with the one before it in rank; equal ones share all they have, the first nothing."""
-    ranks, depth = suffix_ranks(sequences)
-    rows = kept(ranks.join(openings(sequences, depth).select("seq_id", "pos", "head"), ["seq_id", "pos"]))
-    before = rows.select((F.col("rank") + 1).alias("rank"), F.col("head").alias("last"), F.col("place").alias("last_place"))
-    lcp = F.when(F.col("last").isNull(), 0).when(F.col("place") == F.col("last_place"), F.col("rest")).otherwise(shared_prefix(F.col("head"), F.col("last")))
-    return rows.join(before, "rank", "left").select("seq_id", "pos", "rank", lcp.cast("int").alias("lcp"))
-
-
-def pattern_ranges(sequences: DataFrame, patterns: DataFrame, lengths: list[int]) -> DataFrame:
-    """(pattern, a, b): the ranks of suffixes that begin with each pattern(pattern), of one of the lengths; (1, 0) if none does."""
-    ranks, _ = suffix_ranks(sequences)
-    heads = openings(sequences, max(lengths)).select("seq_id", "pos", "rest", F.explode(F.array(*(F.slice("head", 1, F.lit(k)) for k in lengths))).alias("pattern"))
-    asked = heads.filter(F.size("pattern") <= F.col("rest")).distinct().join(patterns.select("pattern").distinct(), "pattern", "left_semi")
-    found = asked.join(ranks.select("seq_id", "pos", "rank"), ["seq_id", "pos"]).groupBy("pattern").agg(F.min("rank").alias("a"), F.max("rank").alias("b"))
-    return patterns.join(found, "pattern", "left").select("pattern", F.coalesce("a", F.lit(1)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    """(seq_id, pos, rank, lcp): what each suffix shares with the one before it in rank; equal ones share all they have, the first nothing.
+
+    The levels of the prefix doubling are descended: two suffixes that are placed alike by their first h letters share
+    those, and go on h letters further at the next lower level. So rows hold numbers, but for the FIRST letters that the
+    lowest level leaves, however long a repeat is.
+    """
+    levels: list[tuple[int, DataFrame]] = []
+    ranks, depth = suffix_ranks(sequences, levels)
+    if not levels:  # whole suffixes, of WHOLE letters at most
+        rows = kept(ranks.join(openings(sequences, depth).select("seq_id", "pos", "head"), ["seq_id", "pos"]))
+        before = rows.select((F.col("rank") + 1).alias("rank"), F.col("head").alias("last"))
+        lcp = F.when(F.col("last").isNull(), 0).otherwise(shared_prefix(F.col("head"), F.col("last")))
+        return rows.join(before, "rank", "left").select("seq_id", "pos", "rank", lcp.cast("int").alias("lcp"))
+    before = ranks.select((F.col("rank") + 1).alias("rank"), F.col("seq_id").alias("last_id"), F.col("pos").alias("last_pos"), F.col("place").alias("last_place"))
+    pairs = ranks.join(before, "rank", "left")
+    equal = F.col("place") == F.col("last_place")  # wholly
+    pairs = pairs.withColumn("lcp", F.when(F.col("last_id").isNull(), 0).when(equal, F.col("rest"))).select("seq_id", "pos", "rank", "last_id", "last_pos", "lcp")
+    done = pairs.filter("lcp is not null").select("seq_id", "pos", "rank", F.col("lcp").cast("int").alias("lcp"))
+    open_ = kept(pairs.filter("lcp is null").select("seq_id", "pos", "rank", "last_id", "last_pos", F.lit(0).alias("lcp")))
+
+    def beside(rows: DataFrame, there: DataFrame, value: str) -> DataFrame:
+        """rows with `mine` and `theirs`, what `there`(seq_id, pos, value) has as far on in the two suffixes as they agree."""
+        for key, place, name in (("seq_id", "pos", "mine"), ("last_id", "last_pos", "theirs")):
+            found = there.select(F.col("seq_id").alias("key"), F.col("pos").alias("at"), F.col(value).alias(name))
+            rows = rows.join(found, (F.col(key) == F.col("key")) & (F.col(place) + F.col("lcp") == F.col("at")), "left").drop("key", "at")
+        return rows
+
+    for h, places in reversed(levels):
+        agreed = F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False))  # past an end there is nothing
+        open_ = kept(beside(open_, places, "place").withColumn("lcp", F.col("lcp") + F.when(agreed, h).otherwise(0)).drop("mine", "theirs"))
+    none = F.array().cast("array<int>")
+    rest = shared_prefix(F.coalesce("mine", none), F.coalesce("theirs", none))
+    last = beside(open_, openings(sequences, FIRST), "head").select("seq_id", "pos", "rank", (F.col("lcp") + rest).cast("int").alias("lcp"))
+    return done.unionByName(last)
 
 
 def starts(sequences: DataFrame) -> DataFrame:

@@ -8,10 +8,13 @@ from ..config import SearchConfig
 from ..functions.text import picture
 from ..operators import stats
 from ..operators.align import gapless_by_diagonals, gapless_place, gapped_global, gapped_local, traceback_cells
+from ..operators.index import build_index
 from ..operators.rank import select, with_gapless, with_letters
 from ..operators.seeds import consensus, described, group_hits, seed_hits
 from ..operators.structure import chain_rmsd, chain_tm, chain_within
-from ..operators.suffixes import concatenated, locate, neighbour_prefixes, pattern_ranges, starts, suffix_ranks
+from ..operators.fences import compared, pattern_ranges
+from ..operators.suffixes import concatenated, locate, neighbour_prefixes, starts, suffix_ranks
+from ..sources.files import scratch
 from ..sources.views import BASKET_SQL, EVENT_SQL, EVENTS, basket_sequences, benchmark_texts, coordinates, document_texts, event_sequences, structural_sequences
 from .catalog import query
 from .search import COLUMNS, aligned, edges, report, result_lines, search, seeded
@@ -74,6 +77,17 @@ def seed_search(spark, sf_dir):
     return seeded(benchmark_texts(spark, sf_dir), document_texts(spark, sf_dir), TEXT).filter("n_seeds > 2").select("query_id", "target_id", "n_seeds")
 
 
+@query("WITH" + _TEXT_HITS.format(cap=10_000) + " SELECT query_id, target_id, CAST(count(*) AS INTEGER) AS n_seeds, round(avg(i), 6) AS place FROM hits GROUP BY ALL")
+def stored_seed_search(spark, sf_dir):
+    """The seeds of seed_search from an index in a folder, to which the documents were appended in two batches."""
+    texts = document_texts(spark, sf_dir)
+    index = build_index(spark, scratch(spark), TEXT.minimal_length)
+    for batch in (0, 1):
+        index.append(texts.filter(F.pmod("seq_id", F.lit(2)) == batch), str(batch))
+    hits = index.hits(benchmark_texts(spark, sf_dir), TEXT.maximal_match)
+    return hits.groupBy("query_id", "target_id").agg(F.count("*").cast("int").alias("n_seeds"), F.round(F.avg("i"), 6).alias("place"))
+
+
 @query("WITH" + _TEXT_HITS.format(cap=2) + " SELECT query_id, target_id, CAST(count(*) AS INTEGER) AS n_seeds FROM hits GROUP BY ALL")
 def seed_occurrence_cutoff(spark, sf_dir):
     return group_hits(seed_hits(benchmark_texts(spark, sf_dir), document_texts(spark, sf_dir), 15, 2), places=False).select("query_id", "target_id", "n_seeds")
@@ -246,16 +260,30 @@ def suffix_lcp(spark, sf_dir):
 
 @query(
     f"WITH {EVENT_SQL}, x AS (SELECT seq_id, p AS pos, letters[p + 1:] AS suffix FROM (SELECT seq_id, letters, unnest(range(0, len(letters))) AS p FROM ev)), r AS (SELECT *, row_number() OVER (ORDER BY suffix, seq_id, pos) - 1 AS rank FROM x), "
-    "pat AS (SELECT DISTINCT pattern FROM (SELECT letters[p + 1:p + k] AS pattern FROM (SELECT letters, k, unnest(range(0, len(letters), 7)) AS p FROM ev, range(1, 7) t(k))) UNION SELECT [1, 0, 2]) "
+    "pat AS (SELECT DISTINCT pattern FROM (SELECT letters[p + 1:p + k] AS pattern FROM (SELECT letters, k, unnest(range(0, len(letters), 7)) AS p FROM ev, range(1, 7) t(k))) UNION SELECT [1, 0, 2] UNION SELECT letters FROM ev UNION SELECT list_append(letters[5:], 9) FROM ev) "
     "SELECT array_to_string(pattern, '-') AS pattern, CAST(coalesce(min(rank), 1) AS BIGINT) AS a, CAST(coalesce(max(rank), 0) AS BIGINT) AS b FROM pat LEFT JOIN r ON r.suffix[1:len(pattern)] = pattern GROUP BY ALL"
 )
 def pattern_range(spark, sf_dir):
-    """Patterns of one to six letters, from every seventh place of each sequence, and one that occurs nowhere."""
+    """Patterns of one to six letters, from every seventh place of each sequence, whole sequences, and some that occur nowhere."""
     ev = event_sequences(spark, sf_dir)
     places = F.sequence(F.lit(0), F.size("letters") - 1, F.lit(7))
     cut = F.flatten(F.transform(places, lambda p: F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.slice("letters", p + 1, k))))
-    patterns = ev.select(F.explode(cut).alias("pattern")).unionAll(spark.range(1).select(F.array(F.lit(1), F.lit(0), F.lit(2)))).distinct()
-    return pattern_ranges(ev, patterns, [1, 2, 3, 4, 5, 6]).select(F.array_join("pattern", "-").alias("pattern"), "a", "b")
+    long = F.array(F.col("letters"), F.array_append(F.slice("letters", 5, F.size("letters")), F.lit(9)))
+    patterns = ev.select(F.explode(F.concat(cut, long)).alias("pattern")).unionAll(spark.range(1).select(F.array(F.lit(1), F.lit(0), F.lit(2)))).distinct()
+    return pattern_ranges(ev, patterns).select(F.array_join("pattern", "-").alias("pattern"), "a", "b")
+
+
+@query(
+    f"WITH {EVENT_SQL}, x AS (SELECT seq_id, CAST(p AS INTEGER) AS pos, letters[1:12] AS pattern, letters[p + 1:] AS suffix FROM (SELECT seq_id, letters, unnest(range(0, len(letters))) AS p FROM ev)), "
+    "y AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(pattern), len(suffix)) + 1), lambda i: pattern[i] <> suffix[i])) - 1, least(len(pattern), len(suffix))) AS lcp FROM x) "
+    "SELECT seq_id, pos, CAST(lcp AS INTEGER) AS lcp, CASE WHEN lcp = len(pattern) THEN 0 WHEN pattern < suffix THEN -1 ELSE 1 END AS sign FROM y"
+)
+def pattern_compare(spark, sf_dir):
+    """Each sequence's first twelve letters against all its suffixes: letters in common, and which comes first."""
+    ev = event_sequences(spark, sf_dir)
+    suffixes = F.transform(F.sequence(F.lit(0), F.size("letters") - 1), lambda p: F.slice("letters", p + 1, F.size("letters")))
+    rows = ev.select("seq_id", F.slice("letters", 1, 12).alias("pattern"), F.posexplode(suffixes).alias("pos", "suffix"))
+    return rows.select("seq_id", "pos", compared(F.col("pattern"), F.col("suffix")).alias("c")).select("seq_id", "pos", "c.*")
 
 
 _STARTS = "s AS (SELECT seq_id, sum(len(letters) + 1) OVER (ORDER BY seq_id) - len(letters) - 1 AS start, letters FROM ev)"
