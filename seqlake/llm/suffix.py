@@ -224,8 +224,19 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 KEY = ("k", "k2")
 
 
+def _different(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(KEY, text, rows) of docs(KEY, text), each KEY once with the number of its rows, and what it rests on, staged.
+
+    Texts of keys that occur once, usually all, stay where they are; the others' are combined before they are moved.
+    """
+    many = stage(docs.groupBy(*KEY).agg(F.count("*").alias("rows")).filter("rows > 1"))
+    once = docs.join(many, list(KEY), "left_anti").select(*KEY, "text", F.lit(1).cast("long").alias("rows"))
+    again = docs.join(many, list(KEY)).groupBy(*KEY).agg(F.first("text").alias("text"), F.first("rows").alias("rows"))
+    return once.unionByName(again), many
+
+
 def _anchor_rows(docs: DataFrame, length: int, late: np.ndarray) -> DataFrame:
-    """A row for each anchor: the document's key, its windows' places, the hashes of its gram and of its context.
+    """A row for each anchor: the document's key and rows, its windows' places, the hashes of its gram and of its context.
 
     A text of over four CHUNKs is cut into pieces that overlap by a window less one byte, so that each window is in
     one of them; its anchor depends on its bytes alone.
@@ -242,16 +253,16 @@ def _anchor_rows(docs: DataFrame, length: int, late: np.ndarray) -> DataFrame:
                 text, first, last, gram = anchors(part, offsets if whole else np.array([0, len(part)]), length, GRAM, shared.value)
                 raw = part.tobytes()
                 context = np.array([digest(raw[i : j + length]) for i, j in zip(first.tolist(), last.tolist())], np.uint64)
-                keys = [batch.column(c).take(pa.array(text)) for c in KEY]
+                keys = [batch.column(c).take(pa.array(text)) for c in (*KEY, "rows")]
                 at = (first + start - (offsets[text] if whole else 0)).astype(np.int32)  # a column's text is under 2 GB
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(at), pa.array((last - first).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], names=[*KEY, "at", "more", "gram", "context"])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(at), pa.array((last - first).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], names=[*KEY, "rows", "at", "more", "gram", "context"])
 
-    return docs.select(*KEY, "text").mapInArrow(run, "k long, k2 int, at int, more int, gram long, context long")
+    return docs.select(*KEY, "text", "rows").mapInArrow(run, "k long, k2 int, rows long, at int, more int, gram long, context long")
 
 
 def _contexts(anchored: DataFrame) -> DataFrame:
     """(gram, context, n, at): the different contexts of each gram, how many places each has, and the least of them."""
-    return anchored.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at", "more")).alias("at"))
+    return anchored.groupBy("gram", "context").agg(F.sum("rows").alias("n"), F.min(F.struct(*KEY, "at", "more")).alias("at"))
 
 
 def _judged(texts: DataFrame, length: int) -> DataFrame:
@@ -316,12 +327,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     an anchor by content alone, so equal windows meet under the hash of their anchor's gram; a gram with one place
     only has no repeats and its text goes no further. The different contexts of the other grams are sorted by gram,
     cut into shards of SHARD bytes, each of which gets a suffix array and common prefixes; a gram that runs over
-    several shards is merged by binary search. Copies meet as one context with a count. A gram in a great many
+    several shards is merged by binary search. Copies meet as one context with a count, and rows of one key are one text
+    with a count from the start, so equal rows cost what one costs. A gram in a great many
     different contexts (a common line) is ranked last as an anchor and the choice made again, whereupon its windows
     spread over their other grams; those wholly inside common text have few different contexts. What is left of a
     crowd meets in one task, a shard of SHARD bytes at a time: at most the limit's contexts, of under two windows each.
     """
     late = np.zeros(0, np.uint64)
+    docs, many = _different(docs)
     while True:
         anchored = stage(_anchor_rows(docs, length, late))
         contexts = stage(_contexts(anchored))
@@ -341,7 +354,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hit = anchored.join(found, ["gram", "context"])
     span = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.struct((F.col("at") + s["starts"]).alias("s"), (F.col("at") + s["ends"] - 1 + length).alias("e")))
     spans = stage(hit.groupBy(*KEY).agg(F.flatten(F.collect_list(span)).alias("spans")))
-    unstage(anchored, found)
+    unstage(anchored, found, many)
     return spans
 
 

@@ -239,6 +239,22 @@ def test_repeats_texts(docs, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 2, 2000])
+def test_equal_rows_cost_what_one_costs(spark, copies):
+    text, other = prose(8, 160), prose(9, 90)
+    rows = [(1, text, copies)] * copies + [(None, text[:500], 0), (2, other, 1), (3, None, 1), (3, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rows long").repartition(3)
+    texts = [t.encode() for t in (text, text[:500], other)]
+    cover = brute_spans(texts + texts[:1] * (copies > 1), 200)
+    want = Counter()
+    for doc, t, c, n in zip((1, None, 2), texts, cover, (copies, 1, 1)):
+        kept = bytes(b for b, gone in zip(t, c) if not gone)
+        spans = sum(gone and not (i and c[i - 1]) for i, gone in enumerate(c))
+        want[doc, len(t), sum(c), spans, hashlib.sha256(kept).hexdigest()] += n
+    want[3, 0, 0, 0, hashlib.sha256().hexdigest()] += 2
+    assert Counter(map(tuple, suffix.remove_repeats(docs).collect())) == want
+
+
 def test_suffix_array_and_common_prefixes():
     r = np.random.default_rng(3)
     data = np.concatenate([r.integers(97, 99, 500), np.tile(r.integers(97, 120, 60), 8)]).astype(np.uint8)
