@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import codes, numbers, text
 from ..operators.align import gapped_global, gapped_local, unit_edits, weighted_edits
+from ..operators.skip import find_all
 from ..operators.suffixes import last_before, numbered
 from ..progress import required
 from ..sources.views import EVENT_SQL, PROB_SQL, event_sequences, probability_vectors, table
@@ -128,17 +129,19 @@ def scaled_matrix(spark, sf_dir):
     return a.crossJoin(F.broadcast(b)).select("i", "j", F.round(value, 6).alias("value"))
 
 
-@query("SELECT doc_id, CAST(p AS INTEGER) AS pos FROM (SELECT doc_id, head, unnest(range(0, length(head) - 2)) AS p FROM (SELECT doc_id, replace(left(url, 60), '/', 'ana') AS head FROM (SELECT page_id AS doc_id, url || 'anana' AS url FROM pages))) WHERE substr(head, CAST(p + 1 AS BIGINT), 3) = 'ana'")
+@query(
+    "SELECT doc_id, CAST(c * 500 + p - 1 AS INTEGER) AS pos FROM (SELECT doc_id, c, piece, unnest(range(1, CAST(least(500, length(piece) - 2) AS BIGINT) + 1)) AS p FROM ("
+    "SELECT doc_id, c, substr(text, c * 500 + 1, 502) AS piece FROM (SELECT doc_id, text, unnest(range(0, CAST(length(text) // 500 + 1 AS BIGINT))) AS c FROM documents))) WHERE substr(piece, p, 3) = 'ene'"
+)
 def text_occurrences(spark, sf_dir):
-    """A pattern that overlaps itself, in addresses whose slashes are replaced by it."""
-    head = F.replace(F.left(F.concat("url", F.lit("anana")), F.lit(60)), F.lit("/"), F.lit("ana"))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.explode(text.occurrences(head, F.lit("ana"))).alias("pos"))
+    """A pattern that overlaps itself, in whole documents."""
+    return find_all(table(spark, sf_dir, "documents"), "text", "ene", "doc_id")
 
 
 @query(f"WITH {EVENT_SQL} SELECT seq_id, CAST(p AS INTEGER) AS pos FROM (SELECT seq_id, letters, unnest(range(0, len(letters) - 1)) AS p FROM ev) WHERE letters[p + 1] = letters[p + 2] AND letters[p + 1] = 2")
 def array_occurrences(spark, sf_dir):
     """The same of letter arrays: two letters 2 after each other, overlapping ones too."""
-    return event_sequences(spark, sf_dir).select("seq_id", F.explode(text.array_occurrences(F.col("letters"), [2, 2])).alias("pos"))
+    return find_all(event_sequences(spark, sf_dir), "letters", [2, 2], "seq_id")
 
 
 @query(
