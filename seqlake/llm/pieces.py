@@ -12,6 +12,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +22,10 @@ from .common import blobs, slices, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text taken in at a time, characters encoded at a time, and what a task remembers: so many segments, of so many
 #: characters at most.
-CHUNK, STRETCH, SEGMENTS, LONGEST = 4 << 20, 1 << 20, 500_000, 64
+CHUNK, STRETCH, SEGMENTS, LONGEST = 2 << 20, 1 << 18, 250_000, 64
 #: Fixed values of the model file: what stands for a space, kinds of pieces, and the character of an invalid byte.
 MARK, NORMAL, UNKNOWN, CONTROL, BYTE, INVALID = "▁", 1, 2, 3, 6, "�"
-_NEVER = float("-inf")  # the score of what is no piece
+BREAK, _NEVER = "\0", float("-inf")  # what parts segments, and the score of what is no piece
 
 
 def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -177,16 +178,112 @@ class Normalizer:
         return text, np.append(np.repeat(at[:-1], 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF).astype(np.int64)), at[-1])
 
 
-class Encoder(dict):
-    """The ids of segments, worked out when first asked for: a segment is as much text as merges can join."""
+class Merges:
+    """The merges of many words at once: of each word the best pair a round, in arrays over all words."""
+
+    def __init__(self, ids: dict[str, int], score: dict[str, float]):
+        single = sorted((ord(p), k) for p, k in ids.items() if len(p) == 1)
+        self.codes, self.single = np.array([c for c, _ in single], np.int64), np.array([k for _, k in single], np.int64)
+        self.width = max(ids.values(), default=0) + 1
+        rank = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}  # the best score first
+        self.never = len(rank)
+        pairs = {ids[p[:k]] * self.width + ids[p[k:]]: (rank[score[p]], n) for p, n in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+        #: A hash table of pairs: the key, the rank and the piece of each slot; a pair is in one of the `reach` slots from its own.
+        self.bits = len(pairs).bit_length() + 2
+        keys = np.array(list(pairs), np.int64)
+        slot, free, left, self.reach = np.full(1 << self.bits, -1, np.int64), np.ones(1 << self.bits, bool), np.arange(len(keys)), 0
+        while len(left):
+            at = (self._slot(keys[left]) + self.reach) & ((1 << self.bits) - 1)
+            _, first = np.unique(at, return_index=True)
+            first = first[free[at[first]]]
+            slot[at[first]], free[at[first]] = left[first], False
+            left, self.reach = np.delete(left, first), self.reach + 1
+        values = np.array([*pairs.values(), (self.never, -1)], np.int64)
+        self.key = np.append(keys, -1)[slot]
+        self.rank, self.piece = values[slot, 0], values[slot, 1]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, piece) of pairs of pieces, `never` where they make none."""
+        keys = left * self.width + right
+        at = self._slot(keys)
+        rank, piece, open_ = np.full(len(keys), self.never), np.full(len(keys), -1), np.arange(len(keys))
+        for _ in range(self.reach):
+            there = self.key[at]
+            hit = there == keys[open_]
+            rank[open_[hit]], piece[open_[hit]] = self.rank[at[hit]], self.piece[at[hit]]
+            go = ~hit & (there >= 0)  # a slot that nothing took ends the search
+            open_, at = open_[go], (at[go] + 1) & ((1 << self.bits) - 1)
+        return rank, piece
+
+    def all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids one after another, how many each word has, able): words with a character in no piece are left out."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        known = self.codes[at] == codes
+        able = np.logical_and.reduceat(known, np.cumsum(size) - size)
+        symbol = self.single[at][np.repeat(able, size)]
+        word, size = np.flatnonzero(able), size[able]
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rank, piece = np.full(len(symbol), self.never), np.full(len(symbol), -1)
+        last = np.zeros(len(symbol), bool)
+        last[np.cumsum(size) - 1] = True
+        inner = np.flatnonzero(~last)
+        rank[inner], piece[inner] = self.found(symbol[inner], symbol[inner + 1])
+        while len(word):
+            begin = np.cumsum(size) - size
+            best = np.minimum.reduceat(rank, begin)
+            over = best == self.never
+            if over.any():
+                gone = np.repeat(over, size)
+                done.append((word[over], size[over], symbol[gone]))
+                symbol, rank, piece, last = symbol[~gone], rank[~gone], piece[~gone], last[~gone]
+                word, size, best = word[~over], size[~over], best[~over]
+                if not len(word):
+                    break
+                begin = np.cumsum(size) - size
+            equal = np.flatnonzero(rank == np.repeat(best, size))
+            owner = np.searchsorted(begin, equal, side="right") - 1
+            left = equal[np.append(True, owner[1:] != owner[:-1])]  # the leftmost of each word
+            symbol[left], last[left] = piece[left], last[left + 1]
+            keep = np.ones(len(symbol), bool)
+            keep[left + 1] = False
+            left = left - np.arange(len(left))  # one symbol has gone from each word before
+            symbol, rank, piece, last = symbol[keep], rank[keep], piece[keep], last[keep]
+            size = size - 1
+            before = left[left > 0] - 1
+            changed = np.concatenate([left, before[~last[before]]])
+            rank[changed], piece[changed] = self.never, -1
+            changed = changed[~last[changed]]
+            rank[changed], piece[changed] = self.found(symbol[changed], symbol[changed + 1])
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64), able
+        words_, sizes, symbols = map(np.concatenate, zip(*done))
+        order = np.argsort(words_)
+        begin = (np.cumsum(sizes) - sizes)[order]
+        count = sizes[order]
+        ids = symbols[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        whole = np.zeros(len(words), np.int64)
+        whole[words_[order]] = count
+        return ids, whole, able
+
+
+class Encoder:
+    """Ids of texts. Segments, between which nothing can merge, are merged once and remembered, SEGMENTS of them at most."""
 
     def __init__(self, model: Model):
         self.model, self.normalize = model, Normalizer(model)
         self.id = {p: k for k, (p, _, kind) in enumerate(model.pieces) if kind == NORMAL}
         self.score = {p: score for p, score, kind in model.pieces if kind == NORMAL}
         self.byte = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
-        #: Bytes of each id's piece in the normalised text.
+        #: Bytes of each id's piece in the normalised text, and in one where each mark was a space; the byte of a byte's id.
         self.size = np.array([1 if kind == BYTE else 0 if kind == CONTROL else len(p.encode()) for p, _, kind in model.pieces], np.int64)
+        self.source = self.size - [2 * p.count(MARK) if kind == NORMAL else 0 for p, _, kind in model.pieces]
+        self.byte_of = np.full(len(model.pieces), -1, np.int64)
+        self.byte_of[list(self.byte.values())] = list(self.byte)
         self.end = next((k for k, (p, _, kind) in enumerate(model.pieces) if kind == CONTROL and p == "</s>"), None)
         joined = [p for p in self.id if len(p) > 1]
         alone = "".join(c for c in map(chr, range(32)) if not any(c in p for p in joined))  # in no merge
@@ -194,14 +291,50 @@ class Encoder(dict):
         self.cut = not any(MARK in p.lstrip(MARK) for p in joined)
         self.segment = re.compile(f"[{re.escape(alone)}]|{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.border = re.compile(f"(?<=[^{MARK}]){MARK}")
-
-    def __missing__(self, segment: str) -> list[int]:
-        if len(segment) > LONGEST:
-            return self.ids_of(self.merged(segment))
-        ids = self.ids_of(self.merged_short(segment))
-        if len(self) < SEGMENTS:  # the first that come are the frequent ones
-            self[segment] = ids
-        return ids
+        self.plain = self.cut and "\n" in alone and model.prefix and not model.squeeze and not model.replaced
+        self.merges = Merges(self.id, self.score)
+        self.number: dict[str, int] = {}
+        self.flat, self.begin = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)  # ids of all segments, and where each's begin
+
+    def numbered(self, segments: list[str]) -> np.ndarray:
+        """The numbers of segments; new ones are merged. forget() drops those that are too many or too long to keep."""
+        known = self.number
+        new = [x for x in dict.fromkeys(segments) if x not in known]
+        short = [x for x in new if 0 < len(x) <= LONGEST]
+        if short:
+            ids, count, able = self.merges.all(short)
+            if not able.all():  # characters in no piece
+                short, count, rest = *([x for x, a in zip(short, able.tolist()) if a], count[able]), [x for x, a in zip(short, able.tolist()) if not a]
+            else:
+                rest = []
+            self._keep(short, ids, count)
+            for x in rest:
+                self._keep([x], self.ids_of(self.merged_short(x)))
+        for x in new:
+            if not 0 < len(x) <= LONGEST:
+                self._keep([x], self.ids_of(self.merged(x)))
+        return np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
+
+    def _keep(self, segments: list[str], ids: np.ndarray | list[int], count: np.ndarray | None = None) -> None:
+        n, at = len(self.number), int(self.begin[len(self.number)])
+        while n + len(segments) + 1 > len(self.begin):
+            self.begin = np.append(self.begin, np.zeros_like(self.begin))
+        while at + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[at : at + len(ids)] = ids
+        self.begin[n + 1 : n + len(segments) + 1] = at + (len(ids) if count is None else np.cumsum(count))
+        self.number.update(zip(segments, range(n, n + len(segments))))
+
+    def forget(self) -> None:
+        """Keep the segments that came first, which are the frequent ones, and no long ones."""
+        known = self.number
+        while known and (len(known) > SEGMENTS or len(next(reversed(known))) > LONGEST):
+            known.popitem()
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered segments one after another, and how many each has."""
+        begin, count = self.begin[numbers], self.begin[numbers + 1] - self.begin[numbers]
+        return self.flat[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())], count
 
     def ids_of(self, symbols: list[str]) -> list[int]:
         """A piece's id, or those of the bytes of a character in no piece."""
@@ -259,12 +392,58 @@ class Encoder(dict):
         text, origin = self.normalize(raw)
         parts = []
         for stretch in self.stretches(text):
-            segments = self.segment.findall(stretch) if self.cut else [stretch]
-            parts.append(np.fromiter(chain.from_iterable(map(self.__getitem__, segments)), np.int32))
+            parts.append(self.ids(self.numbered(self.segment.findall(stretch) if self.cut else [stretch]))[0])
+            self.forget()
         ids = np.concatenate(parts)
         edges = np.concatenate([[0], np.cumsum(self.size[ids])])
         return ids, origin[edges[:-1]], origin[edges[1:]]
 
+    def encode_all(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """encode() of each text of a column without nulls.
+
+        Where the model's character map is empty, texts in which no space is followed by another, and that have neither
+        marks of their own nor BREAK, are cut into segments all at once, and the spans are what each piece stands for: a
+        space for a mark, but for the first.
+        """
+        try:
+            column.validate(full=True)
+            valid = self.plain
+        except pa.ArrowInvalid:  # not UTF-8
+            valid = False
+        if not valid:
+            return [self.encode(raw) for raw in blobs(column)]
+        special = pc.or_(pc.equal(pc.binary_length(column), 0), pc.starts_with(column, " "))
+        for odd in ("  ", MARK, BREAK):
+            special = pc.or_(special, pc.match_substring(column, odd))
+        odd = special.to_numpy(zero_copy_only=False)
+        texts = column.filter(pc.invert(special))
+        done = iter(self._plainly(texts) if len(texts) else [])
+        return [self.encode(raw) if o else next(done) for o, raw in zip(odd.tolist(), blobs(column) if odd.any() else [b""] * len(column))]
+
+    def _plainly(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", BREAK + MARK), "\n", f"{BREAK}\n{BREAK}")
+        parts = pc.split_pattern(pc.binary_join_element_wise(MARK, marked, ""), BREAK)
+        different = parts.flatten().dictionary_encode()
+        numbers = self.numbered(different.dictionary.to_pylist())[different.indices.to_numpy(zero_copy_only=False)]
+        ids, count = self.ids(numbers)
+        self.forget()
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        edges = np.concatenate([[0], np.cumsum(count)])[offsets - offsets[0]]  # each text's ids
+        size = self.source[ids]
+        size[edges[:-1]] -= 1  # the first mark is no space of the text
+        ends = np.cumsum(size)
+        starts = ends - size
+        byte = self.byte_of[ids]
+        going_on = (byte & 0xC0) == 0x80
+        going_on[byte < 0] = False
+        if going_on.any():  # all bytes of a character begin with it, and all but the last end there
+            begun = np.maximum.accumulate(np.where(going_on, 0, np.arange(len(ids))))
+            starts = starts[begun]
+            ends = np.where(np.append(going_on[1:], False), starts, ends)
+        base = starts[edges[:-1]].repeat(np.diff(edges))
+        starts, ends = starts - base, ends - base
+        return [(ids[a:b], starts[a:b], ends[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
 
 class Decoder:
     """Texts of ids, as the model writes them."""
@@ -304,9 +483,10 @@ def coder(path: str) -> tuple[Encoder, Decoder]:
     return _held[path]
 
 
-def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else [], kind))
+def lists(values: list[np.ndarray], each: int, kind: pa.DataType) -> pa.Array:
+    """Lists, each of `each` arrays one after another."""
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])])[::each].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).astype(np.int32) if values else [], kind))
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -325,12 +505,12 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
         encoder = coder(model)[0]
         last = np.array([encoder.end], np.int32)
         for batch in slices(batches, "text", CHUNK):
-            raws = blobs(batch.column("text"))
-            found = [encoder.encode(raw) for raw in raws]
-            size = [np.array([len(raw)]) for raw in raws]
-            columns = [lists([np.append(ids, last) for ids, _, _ in found], pa.int32())]
-            columns += [lists([np.append(f[k], n) for f, n in zip(found, size)], pa.int32()) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, raws), pa.int64()), *columns], names=["doc_id", "n_bytes", "ids", "starts", "ends"])
+            texts = pc.fill_null(batch.column("text"), "")
+            found = encoder.encode_all(texts)
+            size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            columns = [lists([x for ids, _, _ in found for x in (ids, last)], 2, pa.int32())]
+            columns += [lists([x for f, n in zip(found, size) for x in (f[k], np.array([n]))], 2, pa.int32()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), *columns], names=["doc_id", "n_bytes", "ids", "starts", "ends"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_bytes long, ids array<int>, starts array<int>, ends array<int>")
