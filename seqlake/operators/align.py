@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType
 from pyspark.sql.window import Window
 
+from .long_align import Score, long_alignment
+
 MATCH, MISMATCH = 3, -2
+#: Cells up to which a pair's tables are held, and those of several pairs at a time.
+TABLE = 1 << 22
 
 
 def gapless(a: np.ndarray, b: np.ndarray, match: int = MATCH, mismatch: int = MISMATCH) -> tuple[int, int, int, int]:
@@ -179,9 +183,34 @@ def alignments(scores: list[np.ndarray], open_: float, widen: float, local: bool
     return out
 
 
+def letter_scores(matrix: np.ndarray | None = None) -> Score:
+    """Scores of letters one by one, as letter_table() has them."""
+    return lambda a, b: np.where(a == b, float(MATCH), float(MISMATCH)) if matrix is None else matrix[a, b]
+
+
+def paired(pairs: list[tuple[np.ndarray, np.ndarray]], matrix: np.ndarray | None, open_: float, widen: float, local: bool) -> list[tuple[float, list[tuple[int, int]]]]:
+    """alignments() of letter sequences by a matrix, or MATCH and MISMATCH; pairs of over TABLE cells without their tables."""
+    out: list[tuple[float, list[tuple[int, int]]]] = [(0.0, [])] * len(pairs)
+    short = []
+    for k, (a, b) in enumerate(pairs):
+        if len(a) * len(b) > TABLE:
+            out[k] = long_alignment(a, b, letter_scores(matrix), open_, widen, local)
+        else:
+            short.append(k)
+    some, cells = [], 0
+    for n, k in enumerate(short):
+        some.append(k)
+        cells += len(pairs[k][0]) * len(pairs[k][1])
+        if cells > TABLE or n + 1 == len(short):  # tables of so many cells at a time
+            for q, done in zip(some, alignments([letter_table(*pairs[q], matrix) for q in some], open_, widen, local)):
+                out[q] = done
+            some, cells = [], 0
+    return out
+
+
 def affine(a: np.ndarray, b: np.ndarray, open_: float, widen: float, local: bool, table: np.ndarray | None = None) -> tuple[float, list[tuple[int, int]]]:
-    """alignments() of one pair of letter sequences; `table` scores pairs of letters, else they score MATCH or MISMATCH."""
-    return alignments([letter_table(a, b, table)], open_, widen, local)[0]
+    """paired() of one pair of letter sequences; `table` scores pairs of letters, else they score MATCH or MISMATCH."""
+    return paired([(a, b)], table, open_, widen, local)[0]
 
 
 def linear_cells(a: np.ndarray, b: np.ndarray, indel: int = -5) -> tuple[int, list[int]]:
@@ -219,7 +248,7 @@ def weighted_distance(a: np.ndarray, b: np.ndarray, indel: int = 1, substitution
 def _all_pairs(local: bool, open_: float, widen: float):
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            done = alignments([letter_table(np.asarray(x), np.asarray(y)) for x, y in zip(a, b)], open_, widen, local)
+            done = paired([(np.asarray(x), np.asarray(y)) for x, y in zip(a, b)], None, open_, widen, local)
             yield pd.Series([round(score, 4) for score, _ in done], dtype=float)
 
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
