@@ -528,15 +528,18 @@ def decode_documents(encoded: DataFrame, model: str = MODEL, digests: bool = Fal
         decimal = [str(k) for k in range(len(decoder.raw))]
         hexed = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch in batches:
-            ids = [x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else [] for x in batch.column("ids")]
-            texts = [decoder.decode(x) for x in ids]
-            if not digests:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.decode() for t in texts], pa.string())], names=["doc_id", "text"])
-                continue
-            spans = [int(e.values.to_numpy(zero_copy_only=False).sum(dtype=np.int64) - s.values.to_numpy(zero_copy_only=False).sum(dtype=np.int64)) for s, e in zip(batch.column("starts"), batch.column("ends"))]
-            told = [[len(x) for x in ids], [hexed(" ".join(map(decimal.__getitem__, x)).encode()) for x in ids], [hexed(t) for t in texts], spans]
-            arrays = [pa.array(x, k) for x, k in zip(told, (pa.int64(), pa.string(), pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_spanned"])
+            rows = []
+            for n, ids in enumerate(batch.column("ids")):  # a row's ids at a time: as Python's numbers they are many times as large
+                ids = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
+                text = decoder.decode(ids)
+                if digests:
+                    starts, ends = (batch.column(c)[n].values.to_numpy(zero_copy_only=False).sum(dtype=np.int64) for c in ("starts", "ends"))
+                    rows.append((len(ids), hexed(" ".join(map(decimal.__getitem__, ids)).encode()), hexed(text), int(ends - starts)))
+                else:
+                    rows.append((text.decode(),))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64()) if digests else (pa.string(),)
+            arrays = [pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *(["n_tokens", "ids_sha256", "decoded_sha256", "n_spanned"] if digests else ["text"])])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.mapInArrow(run, f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string, n_spanned long" if digests else "text string"))

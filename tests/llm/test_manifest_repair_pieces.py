@@ -155,7 +155,7 @@ def test_repair_equals_hand_made(spark, tmp_path, n):
 def test_repaired_rows(spark):
     rows = [(1, 0, "assistant", "Hi."), (1, 1, "user", "cut"), (2, 0, "user", "a."), (2, 1, "user", "a.")]
     repaired, plans = repair.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    assert {r.key: (r.cost, r.audit) for r in plans.collect()} == {"1": (5, "IKKI"), "2": (5, "KDI")}
+    assert {r.key: (r.cost, r.audit) for r in plans.collect()} == {"1": (5, "IKD"), "2": (5, "KDI")}
     for key in ("1", "2"):
         roles = "".join(r.role[0] for r in repaired.filter(F.col("key") == key).collect())
         assert re.fullmatch("(s?(ua)+)?", roles)
