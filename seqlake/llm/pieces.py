@@ -445,12 +445,22 @@ class Encoder:
         return [(ids[a:b], starts[a:b], ends[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
+def valid(raw: bytes) -> bytes:
+    """UTF-8, with INVALID for each byte that is in no character."""
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return characters(raw)[0].encode()
+    return raw
+
+
 class Decoder:
     """Texts of ids, as the model writes them."""
 
     def __init__(self, model: Model):
         self.model = model
         self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
+        self.control = [k for k, (_, _, kind) in enumerate(model.pieces) if kind == CONTROL]
         self.spaced = [kind == NORMAL and p.startswith(MARK) for p, _, kind in model.pieces]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -464,15 +474,13 @@ class Decoder:
                         break
                 if part:
                     break
-        raw = b"".join(parts)
-        try:
-            raw.decode()
-        except UnicodeDecodeError:
-            return characters(raw)[0].encode()
-        return raw
+        if any(c in ids[:-1] for c in self.control):  # bytes on both sides of one make no character together
+            at = [-1, *(k for k, i in enumerate(ids) if i in self.control), len(ids)]
+            return b"".join(valid(b"".join(parts[i + 1 : j])) for i, j in zip(at, at[1:]))
+        return valid(b"".join(parts))
 
 
-_held: dict[Model, tuple[Encoder, Decoder]] = {}
+_held: dict[str, tuple[Encoder, Decoder]] = {}
 
 
 def coder(path: str) -> tuple[Encoder, Decoder]:
