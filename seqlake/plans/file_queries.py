@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import printed_sequence
-from ..sources import files
+from ..sources import files, records
 from ..sources.views import EVENT_SQL, event_sequences, table
 from .catalog import query
 from .search import write_results
@@ -139,14 +140,29 @@ def series_file(spark, sf_dir):
     return rows.groupBy("i").agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("n"))
 
 
-@query(EVENT_PAIRS + " SELECT 'CSV' AS tag, 22 AS fields, count(*) AS n, count(*) AS bracketed FROM pairs UNION ALL SELECT 'CSV', 22, 1, 0")
+@query(
+    EVENT_PAIRS + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY swscore DESC, n_seeds DESC, target_id) AS rank FROM pairs JOIN sw USING (query_id, target_id)) "
+    "SELECT row_number() OVER (ORDER BY query_id, rank) AS place, 22 AS fields, CAST(query_id AS VARCHAR) AS sequence_a, CAST(target_id AS VARCHAR) AS sequence_b, CAST(n_seeds AS VARCHAR) AS matches, printf('%.6f', CAST(swscore AS DOUBLE)) AS swscore FROM ranked "
+    "UNION ALL SELECT 0, 22, 'sequence a', 'sequence b', 'matches', 'matches_swscore'"
+)
 def result_file(spark, sf_dir):
-    """Lines of a written report by their number of fields, the header line apart."""
+    """A written report's lines in the order in which they stand in its files: the header, then by query and rank."""
     path = files.scratch(spark)
-    write_results(event_report(spark, sf_dir), path)
+    write_results(event_report(spark, sf_dir, ranked=True), path)
+    lines = files.read_places(spark, path)
+    before = lines.groupBy("path").agg(F.count("*").alias("lines")).withColumn("before", F.sum("lines").over(Window.orderBy("path")) - F.col("lines"))  # a row a file
     parts = F.split("value", ";", -1)
-    rows = spark.read.text(path).select(parts[0].alias("tag"), F.size(parts).alias("fields"), parts[1].startswith("[").alias("picture"))
-    return rows.groupBy("tag", "fields", "picture").agg(F.count("*").alias("n"), F.sum(F.col("picture").cast("long")).alias("bracketed")).drop("picture")
+    return lines.join(before, "path").select((F.col("before") + F.col("n")).alias("place"), F.size(parts).alias("fields"), parts[2].alias("sequence_a"), parts[3].alias("sequence_b"), parts[6].alias("matches"), parts[8].alias("swscore"))
+
+
+@query(f"WITH {EVENT_SQL} SELECT row_number() OVER (ORDER BY printf('u%04dA.seq', seq_id)) - 1 AS seq_id, printf('/db/u%04dA.seq', seq_id) AS url, array_to_string(letters, '-') AS letters, CAST(len(letters) AS INTEGER) AS length FROM ev")
+def record_source(spark, sf_dir):
+    """The events' sequences written and read as the format "seq", without the columns that nobody asks for."""
+    records.register(spark)
+    path = files.scratch(spark)
+    _recorded(spark, sf_dir).write.format("seq").mode("append").save(path)
+    read = spark.read.format("seq").schema("seq_id long, url string, letters array<int>, length int").load(path)
+    return read.select("seq_id", "url", F.array_join("letters", "-").alias("letters"), "length")
 
 
 @query("SELECT url AS value FROM pages")

@@ -9,6 +9,7 @@ from ..functions import codes, numbers, text
 from ..operators.align import gapped_global, gapped_local, unit_edits, weighted_edits
 from ..operators.skip import find_all
 from ..operators.suffixes import last_before, numbered
+from ..operators.ties import close_ranks
 from ..progress import required
 from ..sources.views import EVENT_SQL, PROB_SQL, event_sequences, probability_vectors, table
 from .catalog import query
@@ -468,3 +469,14 @@ def required_rows(spark, sf_dir):
     """Rows on condition that holds for all of them."""
     rows = table(spark, sf_dir, "lineitem")
     return required(rows, F.col("l_quantity") > 0, "a quantity isn't positive").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query(
+    "WITH g AS (SELECT c_custkey, c_nationkey, c_acctbal, coalesce(c_acctbal - lag(c_acctbal) OVER w > 2.5, true) AS opens, row_number() OVER w AS n FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal)), "
+    "c AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY c_nationkey ORDER BY n) AS k FROM g) "
+    "SELECT c_custkey, CAST(k - 1 AS BIGINT) AS chain, CAST(min(n) OVER (PARTITION BY c_nationkey, k) AS BIGINT) AS rank FROM c"
+)
+def close_balances(spark, sf_dir):
+    """Customers of a nation by balance, those within 2.5 of the one before tied with it."""
+    ranked = close_ranks(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_acctbal", 2.5, "c_nationkey")
+    return ranked.select("c_custkey", "chain", "rank")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import SearchConfig
 from ..functions.text import picture
 from ..operators import stats
-from ..operators.align import gapless_by_diagonals, gapless_place, gapped_global, gapped_local, traceback_cells
+from ..operators.align import gapless, gapless_by_diagonals, gapless_place, gapped_global, gapped_local, traceback_cells
 from ..operators.index import build_index
 from ..operators.rank import select, with_gapless, with_letters
 from ..operators.seeds import consensus, described, group_hits, seed_hits
@@ -18,6 +20,7 @@ from ..sources.files import scratch
 from ..sources.views import BASKET_SQL, EVENT_SQL, EVENTS, basket_sequences, benchmark_texts, coordinates, document_texts, event_sequences, structural_sequences
 from .catalog import query
 from .search import COLUMNS, aligned, edges, report, result_lines, search, seeded
+from .slots import EMIT, SKIP, STOP, accumulated, handled
 
 TEXT = SearchConfig(minimal_length=15, minimal_seed=2, maximal_match=10_000)
 EVENT = SearchConfig(minimal_length=8, minimal_seed=1, maximal_match=10_000)
@@ -207,8 +210,6 @@ def input_score(spark, sf_dir):
 
 @query(f"WITH {EVENT_SQL}, {_ODDS}, joint AS (SELECT seq_id, letter, freq * db AS x FROM odds), t AS (SELECT *, sum(x) OVER (PARTITION BY seq_id) AS total FROM joint) SELECT seq_id, letter, round(CASE WHEN total > 1e-4 THEN x / total ELSE x END, 6) AS p FROM t")
 def score_freq(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     joint = stats.log_odds(event_sequences(spark, sf_dir), LETTERS).withColumn("x", F.col("freq") * F.col("db"))
     total = F.sum("x").over(Window.partitionBy("seq_id"))
     return joint.select("seq_id", "letter", F.round(F.when(total > 1e-4, F.col("x") / total).otherwise(F.col("x")), 6).alias("p"))
@@ -311,9 +312,9 @@ def match_picture(spark, sf_dir):
     return joined.select("query_id", "target_id", picture(F.col("pos"), F.col("n")).alias("picture"))
 
 
-def event_report(spark, sf_dir):
+def event_report(spark, sf_dir, ranked=False):
     ev = event_sequences(spark, sf_dir)
-    return report(search(ev, ev, EVENT, LETTERS), ev, ev, EVENT)
+    return report(search(ev, ev, EVENT, LETTERS), ev, ev, EVENT, ranked=ranked)
 
 
 @query()
@@ -330,8 +331,6 @@ def result_row(spark, sf_dir):
 
 def _chains(spark, sf_dir):
     """Each embedding's chain with that of the next label member."""
-    from pyspark.sql.window import Window
-
     rows = coordinates(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("seq_id"), "label"), "seq_id")
     near = Window.partitionBy("label").orderBy("seq_id")
     return rows.select("seq_id", "xyz", F.lead("seq_id").over(near).alias("other"), F.lead("xyz").over(near).alias("xyz2")).filter("other is not null")
@@ -418,3 +417,42 @@ def sw_traceback(spark, sf_dir):
 def alt_score_z(spark, sf_dir):
     pairs, ev = _event_pairs(spark, sf_dir)
     return aligned(pairs, ev, ev).select("query_id", "target_id", F.round("al.z", 6).alias("z"))
+
+
+class Places:
+    """A filter: how many seeds a pair has, and where they stand in the query."""
+
+    def __init__(self):
+        self.places = []
+
+    def add(self, row):
+        self.places.append(row["i"])
+
+    def results(self):
+        yield len(self.places), ",".join(map(str, self.places))
+
+
+class GaplessScore:
+    """A filter: the gapless score of a pair, whose row has both sequences' letters."""
+
+    def add(self, row):
+        self.n, self.score = row["n_seeds"], gapless(np.array(row["a"]), np.array(row["b"]))[0]
+
+    def results(self):
+        yield self.n, int(self.score)
+
+
+@query("WITH" + _TEXT_HITS.format(cap=10_000) + " SELECT query_id, target_id, CAST(count(*) AS INTEGER) AS n_seeds, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS pos FROM hits GROUP BY ALL")
+def filter_slot(spark, sf_dir):
+    """A caller's filter in place of the library's grouping of hits."""
+    hits = seed_hits(benchmark_texts(spark, sf_dir), document_texts(spark, sf_dir), 15, 10_000)
+    return accumulated(hits, Places, "n_seeds int, pos string", "i")
+
+
+@query(EVENT_PAIRS + ", ranked AS (SELECT query_id, target_id, n_seeds, swscore, CAST(row_number() OVER (PARTITION BY query_id ORDER BY swscore DESC, n_seeds DESC, target_id) AS INTEGER) AS rank FROM pairs JOIN sw USING (query_id, target_id)) SELECT * FROM ranked WHERE rank <= 20 AND target_id <> query_id")
+def handler_slot(spark, sf_dir):
+    """A caller's filter scores the pairs, and a caller's handler skips the query itself and stops after twenty ranks."""
+    pairs, ev = _event_pairs(spark, sf_dir)
+    scored = accumulated(with_letters(pairs, ev, ev), GaplessScore, "n_seeds int, swscore int")
+    best = Window.partitionBy("query_id").orderBy(F.desc("swscore"), F.desc("n_seeds"), "target_id")
+    return handled(scored.withColumn("rank", F.row_number().over(best)), lambda row: STOP if row["rank"] > 20 else SKIP if row["target_id"] == row["query_id"] else EMIT)

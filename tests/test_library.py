@@ -1,6 +1,7 @@
 """Properties and hand-worked cases of the search library."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -268,10 +269,36 @@ def test_matrix_file(spark, tmp_path):
 def test_result_lines(sequences, tmp_path):
     df, _ = sequences
     config = SearchConfig(minimal_length=4, minimal_seed=3, maximal_match=10_000)
-    write_results(report(search(df, df, config), df, df, config), str(tmp_path / "out"))
+    rows = report(search(df, df, config), df, df, config, ranked=True)
+    write_results(rows, str(tmp_path / "out"))
     lines = [x for part in sorted((tmp_path / "out").glob("part-*")) for x in part.read_text().splitlines()]
     assert lines[0] == HEADER_LINE and lines[0].startswith("CSV;picture;sequence a;") and len(lines) > 1
     assert all(x.startswith("CSV;[") and x.split(";")[1].endswith("]") and len(x.split(";")) == 22 for x in lines[1:])
+    assert [x.split(";")[2:4] for x in lines[1:]] == [list(x) for x in rows.orderBy("query_id", "rank").select("sequence a", "sequence b").collect()]
+
+
+def test_random_paths_are_alike_likely():
+    from itertools import combinations
+
+    import numpy as np
+
+    from seqlake.operators.structure import alternative_z, random_paths
+
+    rng = np.random.default_rng(1)
+    i, j = random_paths(4, 5, 2, 60_000, rng)
+    assert (np.diff(i, axis=1) > 0).all() and (np.diff(j, axis=1) > 0).all()
+    met = Counter(map(tuple, np.hstack([i, j]).tolist()))
+    assert set(met) == {(*a, *b) for a in combinations(range(4), 2) for b in combinations(range(5), 2)}
+    assert sum((n - 1000) ** 2 / 1000 for n in met.values()) < 100  # 59 degrees of freedom
+    whole = random_paths(3, 3, 3, 5, rng)
+    assert (whole[0] == [0, 1, 2]).all() and (whole[1] == [0, 1, 2]).all()
+    table = rng.normal(size=(30, 40))
+    pairs = [(k, k + 3) for k in range(20)]
+    every = [table[list(a), list(b)].sum() for a in combinations(range(4), 3) for b in combinations(range(4), 3)]
+    z = alternative_z(2.0, table[:4, :4], pairs[:3], rounds=40_000)
+    assert abs(z - (2.0 - np.mean(every)) / np.std(every)) < 0.05
+    assert alternative_z(1.0, table, []) == 0.0 and alternative_z(1.0, table[:2, :2], pairs[:2]) == 0.0
+    assert alternative_z(1.0, table, pairs, seed=3) == alternative_z(1.0, table, pairs, seed=3)
 
 
 def test_records_round_trip(spark, tmp_path):
