@@ -30,11 +30,21 @@ letters AS (SELECT coded.seq_id, coded.pos, first, second, CAST(coalesce(a.chara
   FROM coded LEFT JOIN alphabet a ON a.mapdomain = code LEFT JOIN alphabet b ON b.mapdomain = own)"""
 
 
+#: Classes of the test tables' vectors.
+CLASSES = 64
+
+
 def _encoded(spark, sf_dir):
     vectors = probability_vectors(spark, sf_dir)
     return codes.quantise(vectors, codes.make_alphabet(vectors))
 
 
+def _sums_of_letters(spark, sf_dir):
+    """(letter, members, sums): the vectors of each letter added up class by class, one row a letter, CLASSES ** 2 of them at most."""
+    sums = F.array(*(F.sum(F.get("probs", F.lit(c))) for c in range(CLASSES)))
+    return _encoded(spark, sf_dir).groupBy(F.col("letter").cast("int").alias("letter")).agg(F.count("*").alias("members"), sums.alias("sums"))
+
+
 @query(f"SELECT p_partkey, {_pair('p_partkey', 'p_size')} AS code FROM part")
 def cantor_pair(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", codes.pair(F.col("p_partkey"), F.col("p_size")).alias("code"))
@@ -108,15 +118,16 @@ def encode_range(spark, sf_dir):
 
 @query(f"WITH {_TWO} SELECT letter, CAST(c AS INTEGER) AS class, round(sum(probs[c]), 6) AS total, count(*) AS members FROM (SELECT letter, probs, unnest(range(1, 65)) AS c FROM letters JOIN pv USING (pos)) GROUP BY ALL")
 def avg_prob_vector(spark, sf_dir):
-    rows = _encoded(spark, sf_dir).select("letter", F.posexplode("probs").alias("c", "p"))
-    return rows.groupBy(F.col("letter").cast("int").alias("letter"), (F.col("c") + 1).alias("class")).agg(F.round(F.sum("p"), 6).alias("total"), F.count("*").alias("members"))
+    sums = _sums_of_letters(spark, sf_dir).select("letter", "members", F.posexplode("sums").alias("c", "total"))
+    return sums.select("letter", (F.col("c") + 1).alias("class"), F.round("total", 6).alias("total"), "members")
 
 
 @query(f"WITH {_TWO}, v AS (SELECT letter, c, sum(probs[c]) AS x FROM (SELECT letter, probs, unnest(range(1, 65)) AS c FROM letters JOIN pv USING (pos)) GROUP BY ALL), d AS (SELECT a.letter AS i, b.letter AS j, sum(a.x * b.x) AS dot FROM v a JOIN v b USING (c) GROUP BY ALL) SELECT i, j, round(dot, 5) AS dot, round(sum(dot) OVER (PARTITION BY i), 5) AS row_sum FROM d")
 def letter_dot_matrix(spark, sf_dir):
-    rows = _encoded(spark, sf_dir).select(F.col("letter").cast("int").alias("letter"), F.posexplode("probs").alias("c", "p")).groupBy("letter", "c").agg(F.sum("p").alias("x"))
-    other = rows.select(F.col("letter").alias("j"), "c", F.col("x").alias("y"))
-    dots = rows.withColumnRenamed("letter", "i").join(other, "c").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    sums = _sums_of_letters(spark, sf_dir)
+    other = sums.select(F.col("letter").alias("j"), F.col("sums").alias("other"))
+    dot = sum((F.get("sums", F.lit(c)) * F.get("other", F.lit(c)) for c in range(1, CLASSES)), F.get("sums", F.lit(0)) * F.get("other", F.lit(0)))
+    dots = sums.select(F.col("letter").alias("i"), "sums").crossJoin(F.broadcast(other)).select("i", "j", dot.alias("dot"))  # all pairs of an alphabet's letters are the result
     return dots.select("i", "j", F.round("dot", 5).alias("dot"), F.round(F.sum("dot").over(Window.partitionBy("i")), 5).alias("row_sum"))
 
 
