@@ -44,7 +44,7 @@ def read_config(path: str) -> SearchConfig:
     return SearchConfig(kind=KINDS.get(kind, kind), report=report, sources=sources, **limits)
 
 
-#: Options by the setting they give, besides those that name a source.
+#: Fixed names and letters of the command line's options by the setting they give, besides those that name a source.
 _OPTIONS = {"matchlen": ("-l", int, "minimal_length"), "minmatches": ("-m", int, "minimal_seed"), "maxresults": ("-n", int, "maximal_hits"), "match": ("-M", int, "match"), "mismatch": ("-D", int, "mismatch"), "percent": ("-p", float, "percent"), "reportfile": ("-r", str, "report")}
 _SOURCES = {"query": "-q", "sequences": "-s", "alphabet": "-a", "subfile": "-x", "batchfile": "-b"}
 _RANKINGS = {"allalign": ("-A", "sw"), "allscores": ("-S", "score"), "segmentscore": ("-B", "blast"), "scorefilter": ("-F", "score_sw"), "segfilter": ("-G", "blast_sw")}

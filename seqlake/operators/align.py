@@ -92,8 +92,10 @@ def gapless_by_diagonals(pairs: DataFrame, match: int = MATCH, mismatch: int = M
 
 
 def letter_table(a: np.ndarray, b: np.ndarray, matrix: np.ndarray | None = None) -> np.ndarray:
-    """Scores of all pairs of two sequences' letters: the matrix's, or MATCH and MISMATCH."""
-    return np.where(a[:, None] == b[None, :], float(MATCH), float(MISMATCH)) if matrix is None else matrix[np.ix_(a, b)]
+    """Scores of all pairs of two sequences' letters: the matrix's, whose last letter stands for all beyond it, or MATCH and MISMATCH."""
+    if matrix is None:
+        return np.where(a[:, None] == b[None, :], float(MATCH), float(MISMATCH))
+    return matrix[np.ix_(*(np.minimum(x, len(matrix) - 1) for x in (a, b)))]
 
 
 def profile_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -185,7 +187,7 @@ def alignments(scores: list[np.ndarray], open_: float, widen: float, local: bool
 
 def letter_scores(matrix: np.ndarray | None = None) -> Score:
     """Scores of letters one by one, as letter_table() has them."""
-    return lambda a, b: np.where(a == b, float(MATCH), float(MISMATCH)) if matrix is None else matrix[a, b]
+    return lambda a, b: np.where(a == b, float(MATCH), float(MISMATCH)) if matrix is None else matrix[np.minimum(a, len(matrix) - 1), np.minimum(b, len(matrix) - 1)]
 
 
 def paired(pairs: list[tuple[np.ndarray, np.ndarray]], matrix: np.ndarray | None, open_: float, widen: float, local: bool) -> list[tuple[float, list[tuple[int, int]]]]:

@@ -409,7 +409,11 @@ def determinant(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(numbers.determinant(cells), 6).alias("det"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT vec_id, list_transform(range(0, 8), lambda i: list_transform(embedding[8 * i + 1:8 * i + 8], lambda x: x::DOUBLE)) AS m, 1.0::DOUBLE AS det, 0 AS k FROM embeddings UNION ALL "
+    "SELECT vec_id, list_transform(m[2:], lambda r: list_transform(range(2, len(r) + 1), lambda j: r[j] - r[1] / m[1][1] * m[1][j])), det * m[1][1], k + 1 FROM e WHERE k < 8) "
+    "SELECT vec_id, round(det, 6) AS det FROM e WHERE k = 8"
+)
 def determinant_large(spark, sf_dir):
     """Of each vector's 64 numbers as a matrix of 8 rows."""
     cells = F.transform("embedding", lambda x: x.cast("double"))
@@ -448,28 +452,28 @@ def _names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", letters("p_name").alias("a"), letters("p_type").alias("b"))
 
 
-def _affine_sql(open_: float, widen: float, local: bool) -> str:
-    """Best scores of gapped alignments, row by row: h, and d, the best scores that end in a gap down."""
+def affine_sql(open_: float, widen: float, local: bool, source: str, pairs: str, key: str, result: str | None = None) -> str:
+    """Best scores of gapped alignments of pairs(key, a, b, m, n), row by row: h, and d, the best scores that end in a gap down."""
     floor = "greatest(0.0::DOUBLE, {})" if local else "{}"
     cell = "greatest(CASE WHEN a[t.i + 1] = b[j] THEN 3.0::DOUBLE ELSE -2.0::DOUBLE END + h[j], e[j + 1])"
     gap = f"list_max(list_transform(range(0, j), lambda k: g[k + 1] - {open_} - (j - k - 1) * {widen}))"
     best = "max(x)" if local else "max(x) FILTER (WHERE i = m OR j = n)"
     return (
-        f"WITH RECURSIVE {_NAMES}, t AS (SELECT p_partkey, 0 AS i, list_transform(range(0, n + 1), lambda j: 0.0::DOUBLE) AS h, list_transform(range(0, n + 1), lambda j: -1e9::DOUBLE) AS d FROM names UNION ALL "
-        f"SELECT p_partkey, i, list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE {floor.format(f'greatest(g[j + 1], {gap})')} END) AS h, e AS d FROM ("
-        f"  SELECT p_partkey, t.i + 1 AS i, n, e, list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE {floor.format(cell)} END) AS g FROM ("
-        f"    SELECT p_partkey, t.i, n, m, a, b, h, list_transform(range(0, n + 1), lambda j: greatest(h[j + 1] - {open_}, d[j + 1] - {widen})) AS e FROM t JOIN names USING (p_partkey) WHERE t.i < m) t)) "
-        f"SELECT p_partkey, round({best}, 4) AS score FROM (SELECT p_partkey, i, m, n, unnest(range(0, n + 1)) AS j, unnest(h) AS x FROM t JOIN names USING (p_partkey)) GROUP BY p_partkey"
-    )
+        f"WITH RECURSIVE {source}, t AS (SELECT {key}, 0 AS i, list_transform(range(0, n + 1), lambda j: 0.0::DOUBLE) AS h, list_transform(range(0, n + 1), lambda j: -1e9::DOUBLE) AS d FROM {pairs} UNION ALL "
+        f"SELECT {key}, i, list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE {floor.format(f'greatest(g[j + 1], {gap})')} END) AS h, e AS d FROM ("
+        f"  SELECT {key}, t.i + 1 AS i, n, e, list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE {floor.format(cell)} END) AS g FROM ("
+        f"    SELECT {key}, t.i, n, m, a, b, h, list_transform(range(0, n + 1), lambda j: greatest(h[j + 1] - {open_}, d[j + 1] - {widen})) AS e FROM t JOIN {pairs} USING ({key}) WHERE t.i < m) t)), "
+        f"cells AS (SELECT {key}, i, m, n, unnest(range(0, n + 1)) AS j, unnest(h) AS x FROM t JOIN {pairs} USING ({key})) "
+    ) + (result or f"SELECT {key}, round({best}, 4) AS score FROM cells GROUP BY {key}")
 
 
-@query(_affine_sql(8.94, 0.88, True))
+@query(affine_sql(8.94, 0.88, True, _NAMES, "names", "p_partkey"))
 def gapped_sw_names(spark, sf_dir):
     """Local alignment of part names and types with affine gaps."""
     return _names(spark, sf_dir).select("p_partkey", gapped_local("a", "b").alias("score"))
 
 
-@query(_affine_sql(3.25, 0.8942, False))
+@query(affine_sql(3.25, 0.8942, False, _NAMES, "names", "p_partkey"))
 def gapped_nw_names(spark, sf_dir):
     """Global alignment of part names and types with affine gaps, those at the ends free."""
     return _names(spark, sf_dir).select("p_partkey", gapped_global("a", "b").alias("score"))

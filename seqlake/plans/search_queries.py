@@ -19,6 +19,7 @@ from ..operators.suffixes import concatenated, locate, neighbour_prefixes, start
 from ..sources.files import scratch
 from ..sources.views import BASKET_SQL, EVENT_SQL, EVENTS, basket_sequences, benchmark_texts, coordinates, document_texts, event_sequences, structural_sequences
 from .catalog import query
+from .function_queries import affine_sql
 from .search import COLUMNS, aligned, edges, report, result_lines, search, seeded
 from .slots import EMIT, SKIP, STOP, accumulated, handled
 
@@ -336,17 +337,35 @@ def _chains(spark, sf_dir):
     return rows.select("seq_id", "xyz", F.lead("seq_id").over(near).alias("other"), F.lead("xyz").over(near).alias("xyz2")).filter("other is not null")
 
 
-@query()
-def kabsch_rmsd(spark, sf_dir):
-    return _chains(spark, sf_dir).select("seq_id", "other", chain_rmsd("xyz", "xyz2").alias("rmsd"))
-
-
 @query()
 def tm_score(spark, sf_dir):
     return _chains(spark, sf_dir).select("seq_id", "other", chain_tm("xyz", "xyz2").alias("tm"))
 
 
-@query()
+_CHAINS = """
+pts AS (SELECT vec_id AS seq_id, label, k, embedding[3 * k + 1]::DOUBLE AS x, embedding[3 * k + 2]::DOUBLE AS y, embedding[3 * k + 3]::DOUBLE AS z FROM (SELECT *, unnest(range(0, 21)) AS k FROM embeddings)),
+nxt AS (SELECT vec_id AS seq_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS other FROM embeddings),
+two AS (SELECT n.seq_id, n.other, a.k, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz FROM nxt n JOIN pts a ON a.seq_id = n.seq_id JOIN pts b ON b.seq_id = n.other AND b.k = a.k)"""
+
+
+@query(f"""WITH RECURSIVE {_CHAINS},
+c AS (SELECT seq_id, other, ax - avg(ax) OVER w AS ax, ay - avg(ay) OVER w AS ay, az - avg(az) OVER w AS az, bx - avg(bx) OVER w AS bx, by_ - avg(by_) OVER w AS by_, bz - avg(bz) OVER w AS bz FROM two WINDOW w AS (PARTITION BY seq_id, other)),
+s AS (SELECT seq_id, other, count(*) AS n, sum(ax * ax + ay * ay + az * az + bx * bx + by_ * by_ + bz * bz) AS g,
+  sum(ax * bx) AS xx, sum(ax * by_) AS xy, sum(ax * bz) AS xz, sum(ay * bx) AS yx, sum(ay * by_) AS yy, sum(ay * bz) AS yz, sum(az * bx) AS zx, sum(az * by_) AS zy, sum(az * bz) AS zz FROM c GROUP BY ALL),
+k AS (SELECT seq_id, other, n, g, [[xx + yy + zz, yz - zy, zx - xz, xy - yx], [yz - zy, xx - yy - zz, xy + yx, zx + xz], [zx - xz, xy + yx, yy - xx - zz, yz + zy], [xy - yx, zx + xz, yz + zy, zz - xx - yy]] AS m FROM s),
+p AS (SELECT seq_id, other, n, g, list_transform(m, lambda r, i: list_transform(r, lambda x, j: x + CASE WHEN i = j THEN g / 2 ELSE 0 END)) AS m, 0 AS t FROM k UNION ALL
+  SELECT seq_id, other, n, g, list_transform(sq, lambda r: list_transform(r, lambda x: x / top)), t + 1 FROM (
+    SELECT *, list_max(list_transform(sq, lambda r: list_max(list_transform(r, lambda x: abs(x))))) AS top FROM (
+      SELECT *, list_transform(m, lambda r: list_transform(range(1, 5), lambda j: r[1] * m[1][j] + r[2] * m[2][j] + r[3] * m[3][j] + r[4] * m[4][j])) AS sq FROM p WHERE t < 40)))
+SELECT seq_id, other, round(sqrt(greatest(0, g - 2 * list_sum(list_transform(range(1, 5), lambda i: q[i] * list_dot_product(k.m[i], q))) / list_dot_product(q, q)) / n), 6) AS rmsd
+FROM (SELECT seq_id, other, m[list_position(d, list_max(d))] AS q FROM (SELECT *, [m[1][1], m[2][2], m[3][3], m[4][4]] AS d FROM p WHERE t = 40)) JOIN k USING (seq_id, other)""")
+def kabsch_rmsd(spark, sf_dir):
+    return _chains(spark, sf_dir).select("seq_id", "other", chain_rmsd("xyz", "xyz2").alias("rmsd"))
+
+
+@query(f"""WITH {_CHAINS},
+d AS (SELECT p.seq_id, p.other, p.k, sqrt(avg((sqrt((p.ax - q.ax) ** 2 + (p.ay - q.ay) ** 2 + (p.az - q.az) ** 2) - sqrt((p.bx - q.bx) ** 2 + (p.by_ - q.by_) ** 2 + (p.bz - q.bz) ** 2)) ** 2)) AS d FROM two p JOIN two q USING (seq_id, other) GROUP BY ALL)
+SELECT seq_id, other, round(avg(CASE WHEN d <= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share FROM d GROUP BY ALL""")
 def dme_fraction(spark, sf_dir):
     return _chains(spark, sf_dir).select("seq_id", "other", chain_within("xyz", "xyz2").alias("share"))
 
@@ -398,19 +417,33 @@ def _lettered(spark, sf_dir):
     return with_letters(pairs, ev, ev)
 
 
-@query()
+_PAIR_LETTERS = EVENT_PAIRS.removeprefix("WITH ").replace(f", {_GAPLESS.format(view='ev')}", "") + ", both_letters AS (SELECT query_id, target_id, x.letters AS a, y.letters AS b, CAST(len(x.letters) AS BIGINT) AS m, CAST(len(y.letters) AS BIGINT) AS n FROM pairs JOIN ev x ON x.seq_id = target_id JOIN ev y ON y.seq_id = query_id)"
+_BOTH = (_PAIR_LETTERS, "both_letters", "query_id, target_id")
+
+
+@query(affine_sql(8.94, 0.88, True, *_BOTH))
 def gapped_sw(spark, sf_dir):
     return _lettered(spark, sf_dir).select("query_id", "target_id", gapped_local("a", "b").alias("score"))
 
 
-@query()
+@query(affine_sql(3.25, 0.8942, False, *_BOTH))
 def gapped_nw(spark, sf_dir):
     return _lettered(spark, sf_dir).select("query_id", "target_id", gapped_global("a", "b").alias("score"))
 
 
-@query()
+@query(
+    affine_sql(
+        5, 5, True, *_BOTH,
+        ", hs AS (SELECT query_id, target_id, list(h ORDER BY i) AS hs FROM t GROUP BY ALL), "
+        "way AS (SELECT query_id, target_id, i, j, CASE WHEN x > 0 THEN [i, j] ELSE [] END AS cells, x AS v FROM (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY query_id, target_id ORDER BY x DESC, i, j) = 1) UNION ALL "
+        "SELECT query_id, target_id, i, j, CASE WHEN hs[i + 1][j + 1] > 0 THEN cells || [i, j] ELSE cells END, hs[i + 1][j + 1] FROM ("
+        "SELECT query_id, target_id, hs, cells, CASE WHEN v = hs[i + 1][j] - 5 AND v <> hs[i][j + 1] - 5 THEN i ELSE i - 1 END AS i, CASE WHEN v = hs[i][j + 1] - 5 THEN j ELSE j - 1 END AS j FROM way JOIN hs USING (query_id, target_id) WHERE v > 0)) "
+        "SELECT query_id, target_id, array_to_string(cells, ' ') AS cells FROM way WHERE v = 0",
+    ).replace(" , hs AS", ", hs AS")
+)
 def sw_traceback(spark, sf_dir):
-    return _lettered(spark, sf_dir).select("query_id", "target_id", traceback_cells("a", "b").alias("cells"))
+    """The cells of each pair's best local alignment with a linear gap cost, from its end to its start, counted from 1."""
+    return _lettered(spark, sf_dir).select("query_id", "target_id", F.array_join(traceback_cells("a", "b"), " ").alias("cells"))
 
 
 @query()

@@ -20,11 +20,10 @@ def logger(path: str | None = None, name: str = "seqlake", level: int = logging.
 
 
 def bar(message: str, complete: int, processed: int, size: int) -> str:
-    """A line with a bar of `size` marks, the percentage done and a message; nothing to do counts as one thing."""
-    done = size * processed // max(1, complete)
-    marks = "".join("=" if i <= done else " " for i in range(size))
-    turn = "/" if processed % 30 <= 10 else "\\" if processed % 30 <= 20 else "-"
-    return f"[{marks}]   {100 * processed // max(1, complete)}%   {message}   {turn}"
+    """What is done of a message's work: a share in per cent and as `size` marks, and the numbers; nothing to do is done."""
+    share = min(1.0, processed / complete) if complete > 0 else 1.0
+    full = round(share * size)
+    return f"{message} {'#' * full}{'.' * (size - full)} {share:.0%} ({processed} of {complete})"
 
 
 def required(rows: DataFrame, condition: Column, message: str) -> DataFrame:

@@ -180,7 +180,7 @@ def chains_of_coordinates(lines: DataFrame, name: str) -> DataFrame:
 
 
 #: Fixed forms of the lines of a plain-text report: a query's path, a numbered target's path, a deviation, a score, the end of a target.
-PLAIN_REPORT = {"query": r"^/\S*/([0-9a-z]{4}[A-Z0-9])", "target": r"[0-9]+\s+/\S*/([0-9a-z]{4}[A-Z0-9a-z])\s+", "rmsd": r"rmsd: ([0-9]+.[0-9]+), ", "tm": r"tm_scr ([0-9]+.[0-9]+)", "end": r"^1-exp\(-HSS"}
+PLAIN_REPORT = {"query": r"^/\S*/([0-9a-z]{4}[A-Z0-9])", "target": r"[0-9]+\s+/\S*/([0-9a-z]{4}[A-Z0-9a-z])\s+", "rmsd": r"rmsd: (\d+\.\d+), ", "tm": r"tm_scr (\d+\.\d+)", "end": r"^1-exp\(-HSS"}
 
 
 def edges_of_report(lines: DataFrame) -> DataFrame:

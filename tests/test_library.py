@@ -229,7 +229,7 @@ def test_good_suffix_shifts_lose_no_occurrence(spark):
 
 def test_printing():
     assert text.printed_alignment([1, 22, 3], [3, 22], [3, 1], 9) == "    0\t  1 22\n    1\t  -  -\n\n    2\t  3\n    1\t  3\n"
-    assert progress.bar("x", 10, 5, 4) == "[=== ]   50%   x   /" and progress.bar("x", 0, 0, 2) == "[= ]   0%   x   /"
+    assert progress.bar("x", 10, 5, 4) == "x ##.. 50% (5 of 10)" and progress.bar("x", 0, 0, 2) == "x ## 100% (0 of 0)" and progress.bar("x", 4, 9, 2) == "x ## 100% (9 of 4)"
 
 
 def test_required(spark):
@@ -264,6 +264,8 @@ def test_matrix_file(spark, tmp_path):
     (tmp_path / "m.mat").write_text("# scores\n   A  R  *\nA  4 -1 -4\nR -1  5 -4\n* -4 -4  1\n")
     m = files.read_matrix(spark, str(tmp_path / "m.mat"))
     assert m[ord("A"), ord("R")] == -1 and m[ord("r"), ord("R")] == 5 and m[ord("Z"), ord("A")] == -4 and m[ord("Z"), ord("?")] == 1
+    assert align.letter_table(np.array([65, 8364]), np.array([65, 70_000]), m).tolist() == [[4, -4], [-4, 1]]
+    assert align.letter_scores(m)(np.array([8364, 65]), np.array([70_000, 65])).tolist() == [1, 4]
 
 
 def test_result_lines(sequences, tmp_path):
