@@ -253,7 +253,10 @@ def test_alignment_report_by_hand(spark):
     al = aligned(hits, query, target, "sequence", matrix).first()["al"]
     assert (al["identity"], al["sw_length"], al["sw_raw"], al["cvr"]) == (1.0, 8, 8, 1.0)
     assert al["sw_score"] == al["nw_score"] == pytest.approx(40 - 8.94 - 0.88) and al["sw_smpl"] == 40
-    assert al["sw_tot"] == pytest.approx(40 - 3.25 - 0.8942) and al["z"] > 3
+    from itertools import combinations
+
+    others = [sum(matrix[x, b[j]] for x, j in zip(a, columns)) for columns in combinations(range(10), 8)]  # all paths of eight cells
+    assert al["sw_tot"] == pytest.approx(40 - 3.25 - 0.8942) and al["z"] == pytest.approx((al["sw_tot"] - np.mean(others)) / np.std(others), rel=0.1)
     al = aligned(hits, query, target, "structure").first()["al"]
     # a gap costs more than four products of one: globally the later half is aligned without any, locally not at all
     assert (al["identity"], al["nw_length"], al["nw_score"], al["sw_length"], al["sw_score"], al["cvr"]) == (0.5, 8, 4.0, 4, 4.0, 0.5)
