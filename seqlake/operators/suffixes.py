@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +19,16 @@ WHOLE, FIRST = 256, 32
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df worked out once: written to the session's checkpoint folder, or cached where there is none."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+    """df worked out once and written to the session's checkpoint folder, so that lost executors cost no more than a read.
+
+    A session of one machine that has none gets one of its own; a cluster without one is an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
 
 
 def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import base_name, tokens, trim_quotes
+from ..operators.suffixes import numbered
 
 #: Fixed layout of a sequence record's header: three lengths, padding, five pointers, the number of letters, padding.
 HEADER = struct.Struct("<3I4x5QI4x")
@@ -113,8 +114,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("path", pa.string()), ("url", pa.string()), ("description", pa.string()), ("alphabet", pa.string()), ("letters", pa.list_(pa.int32())), ("info", pa.list_(pa.int32())), ("length", pa.int32())])
-    read = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, url string, description string, alphabet string, letters array<int>, info array<int>, length int")
-    order = read.select("path").withColumn("seq_id", F.row_number().over(Window.orderBy("path")).cast("long") - 1)  # paths only
+    listed = spark.read.format("binaryFile").load(path)
+    read = listed.select("path", "content").mapInArrow(run, "path string, url string, description string, alphabet string, letters array<int>, info array<int>, length int")
+    order = numbered(listed.select("path"), "seq_id", "path")  # paths alone, without their files' contents
     return read.join(order, "path").select("seq_id", "path", "url", "description", "alphabet", "letters", "info", "length")
 
 
