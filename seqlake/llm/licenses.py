@@ -189,13 +189,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sql() -> str:
-    """The same by plain counting: every block against every template."""
-    templates = ", ".join(f"('{label}', '{text.replace(chr(39), chr(39) * 2)}')" for label, text in TEMPLATES.items())
+    """The same by plain counting: every line, and every window over several lines, against every template."""
+    spans = window_words(TEMPLATES)
+    templates = ", ".join(f"('{label}', '{text.replace(chr(39), chr(39) * 2)}', {spans[label]})" for label, text in TEMPLATES.items())
     phrases = ", ".join(f"({list(p.split())}, '{label}')" for p, label in PHRASES.items())
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     pick = lambda x: f"list_filter(regexp_split_to_array({lower(x)}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
     return f"""
-WITH templates AS (SELECT label, list_distinct({pick('text')}) AS ws FROM (VALUES {templates}) t(label, text)),
+WITH templates AS (SELECT label, span, list_distinct({pick('text')}) AS ws FROM (VALUES {templates}) t(label, text, span)),
 phrases AS (SELECT * FROM (VALUES {phrases}) t(ws, label)),
 docs AS (SELECT doc_id, text, {pick("coalesce(text, '')")} AS ws FROM documents),
 places AS (
@@ -203,9 +204,14 @@ places AS (
   FROM docs, phrases WHERE list_contains(docs.ws, phrases.ws[1])),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
 blocks AS (SELECT doc_id, {pick('block')} AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS block FROM docs)),
-hits AS (
-  SELECT doc_id, label, max(len(list_intersect(templates.ws, blocks.ws)) / len(templates.ws)) AS share
-  FROM blocks, templates WHERE len(list_intersect(templates.ws, blocks.ws)) >= ceil({CONTAINMENT} * len(templates.ws) - 1e-9) GROUP BY ALL),
+windows AS (
+  SELECT doc_id, label, tws, len(list_intersect(tws, dws[i + 1:i + span])) AS common FROM (
+    SELECT doc_id, label, span, templates.ws AS tws, docs.ws AS dws, unnest(range(0, len(docs.ws))) AS i FROM docs, templates
+    WHERE contains(text, chr(10)) AND len(list_intersect(templates.ws, docs.ws)) >= ceil({CONTAINMENT} * len(templates.ws) - 1e-9))),
+compared AS (
+  SELECT doc_id, label, templates.ws AS tws, len(list_intersect(templates.ws, blocks.ws)) AS common FROM blocks, templates
+  UNION ALL SELECT * FROM windows),
+hits AS (SELECT doc_id, label, max(common / len(tws)) AS share FROM compared WHERE common >= ceil({CONTAINMENT} * len(tws) - 1e-9) GROUP BY ALL),
 labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM hits) GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS share FROM hits GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word,

@@ -499,6 +499,23 @@ def test_wrapped_licenses(spark):
     assert all(label in found[i]["labels"].split(",") and (found[i]["score"] == 1.0) == bool(label) for i, (label, _) in enumerate(rows))
 
 
+def test_license_sql_looks_across_lines(spark, tmp_path):
+    """Notices wrapped over lines, and words of one scattered too far, by the query and by its SQL."""
+    import duckdb
+
+    texts = [None, "", "one\ntwo"]
+    for notice in licenses.TEMPLATES.values():
+        words = notice.split()
+        texts += ["\n".join(" ".join(words[k : k + 4]) for k in range(0, len(words), 4)), "x y\n" + " z z z z ".join(words), "\n".join(words[: len(words) // 2]), "a\nb " + notice]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    found = licenses.op8_license_scan(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({licenses.op8_sql()})").fetchall()
+    assert Counter(map(tuple, found.collect())) == Counter(want) and sum(bool(x[6]) for x in want) >= 2 * len(licenses.TEMPLATES)
+
+
 def test_license_join_equals_all_pairs():
     r = random.Random(5)
     known = sorted(frozenset().union(*licenses.vocabulary().values()))
