@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, stage, table
 
 #: Hash buckets of letter trigrams, what is added to each one's count, and bytes of text times languages in a chunk.
 BUCKETS, SMOOTH, CHUNK = 1 << 16, 0.1, 1 << 22
 #: Rounds of expectation-maximisation, and the penalty's weight.
 ROUNDS, PENALTY = 12, 1.5
-#: Languages that are learned at most, those of most texts: BUCKETS numbers each are what comes to the driver and goes to tasks.
+#: Languages of one part of a model: BUCKETS numbers each are what comes to the driver and goes to tasks at a time.
 LANGUAGES = 256
 
+#: The languages of a model's part, sorted, and their log probabilities of each bucket.
+Part = tuple[list[str], np.ndarray]
+
 
 @cache
 def _letters() -> np.ndarray:
@@ -43,13 +46,20 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket, word, text
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages of docs(text, lang), sorted, and their log probabilities of each bucket.
+def learn(docs: DataFrame) -> list[Part]:
+    """A model of the languages of docs(text, lang), in parts of LANGUAGES languages, those of most texts first.
 
-    Counts cover all rows; at most BUCKETS numbers a language come to the driver, for the LANGUAGES langs of most texts
-    (the first by name of equals), so that junk labels stay out. Null langs and texts teach nothing; repeated rows
-    teach as often; an empty table teaches no language; other columns are ignored.
+    Counts cover all rows and every lang, however many there are: of each a name, and a part at a time BUCKETS numbers,
+    come to the driver. Null langs and texts teach nothing; repeated rows teach as often; an empty table teaches no
+    language (one part without any); other columns are ignored.
     """
+    taught = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).filter("text is not null and lang is not null")
+    names = [r["lang"] for r in taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").toLocalIterator()]
+    parts = [names[k : k + LANGUAGES] for k in range(0, len(names), LANGUAGES)] or [[]]
+    return [_learn(taught if len(parts) == 1 else taught.filter(F.col("lang").isin(part))) for part in parts]
+
+
+def _learn(taught: DataFrame) -> Part:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -65,10 +75,6 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"])
 
-    taught = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).filter("text is not null and lang is not null")
-    common = [r["lang"] for r in taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()]
-    if len(common) > LANGUAGES:
-        taught = taught.filter(F.col("lang").isin(common[:LANGUAGES]))
     summed = taught.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = summed.toArrow()
     names = sorted(set(found.column("lang").to_pylist()))
@@ -89,8 +95,8 @@ def _maximise(likelihood: np.ndarray, first: np.ndarray, size: np.ndarray, allow
     return share, np.add.reduceat(total, first)
 
 
-def mixtures(texts: list[str], logs: np.ndarray) -> list[np.ndarray | None]:
-    """The proportions of the languages that each text is found to have; None without letters.
+def mixtures(texts: list[str], logs: np.ndarray) -> tuple[list[np.ndarray | None], np.ndarray]:
+    """The proportions of the languages that each text is found to have, None without letters, and their penalised likelihoods.
 
     Words are the mixture's observations: a word's likelihood in a language is that of its trigrams. Texts start with
     all languages; then the likelihood of their most likely k languages, less PENALTY * (k - 1) * log(words), chooses
@@ -98,8 +104,9 @@ def mixtures(texts: list[str], logs: np.ndarray) -> list[np.ndarray | None]:
     """
     bucket, word, text = trigrams(texts)
     out: list[np.ndarray | None] = [None] * len(texts)
+    values = np.full(len(texts), -np.inf)
     if not len(bucket) or not logs.shape[1]:
-        return out
+        return out, values
     begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
     scores = np.add.reduceat(logs[bucket], begins).astype(np.float64)
     peak = scores.max(axis=1)
@@ -129,29 +136,43 @@ def mixtures(texts: list[str], logs: np.ndarray) -> list[np.ndarray | None]:
         best[tried_at[better]] = tried[better]
     for k, d in enumerate(present):
         out[d] = best[k]
-    return out
+    values[present] = value + np.add.reduceat(peak, first)
+    return out, values
 
 
-def identify(docs: DataFrame, names: list[str], logs: np.ndarray) -> DataFrame:
+def identify(docs: DataFrame, model: list[Part]) -> DataFrame:
     """(doc_id, lang_pred, score, languages) of every row's whole text under a model of learn().
 
     lang_pred is the language of the largest proportion, the first by name of several; `und` if a text is null or has
-    no letter, or nothing was learnt. score is its proportion, 0 for `und`; languages lists all of the chosen set.
-    Repeated rows repeat; an empty table gives no rows; lang and source, like other columns, are not looked at.
+    no letter, or nothing was learnt. score is its proportion, 0 for `und`; languages lists all of the chosen set. A
+    model of several parts is a pass over the texts for each, whose languages are sought alone; the part whose choice
+    has the greatest penalised likelihood counts, the first of equals. Repeated rows repeat; an empty table gives no
+    rows; lang and source, like other columns, are not looked at.
     """
-    model = docs.sparkSession.sparkContext.broadcast((names, logs))  # BUCKETS numbers a language
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, logs = model.value
-        for batch in slices(batches, "text", max(1 << 16, CHUNK // max(4, len(names)))):
-            found = mixtures([t or "" for t in batch.column("text").to_pylist()], logs)
-            pred = ["und" if x is None else names[int(x.argmax())] for x in found]
-            score = [0.0 if x is None else min(1.0, float(x.max())) for x in found]
-            several = ["" if x is None else ",".join(names[k] for k in np.flatnonzero(x > 0)) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred), pa.array(score), pa.array(several)], names=["doc_id", "lang_pred", "score", "languages"])
+    def judged(rows: DataFrame, part: Part) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(part)  # BUCKETS numbers a language, LANGUAGES at most
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, languages string")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, logs = shared.value
+            for batch in slices(batches, "text", max(1 << 16, CHUNK // max(4, len(names)))):
+                found, values = mixtures([t or "" for t in batch.column("text").to_pylist()], logs)
+                pred = ["und" if x is None else names[int(x.argmax())] for x in found]
+                score = [0.0 if x is None else min(1.0, float(x.max())) for x in found]
+                several = ["" if x is None else ",".join(names[k] for k in np.flatnonzero(x > 0)) for x in found]
+                arrays = [pa.array(pred), pa.array(score), pa.array(several), pa.array(values)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, batch.column("row")], names=["doc_id", "lang_pred", "score", "languages", "value", "row"])
+
+        return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, languages string, value double, row long")
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    if len(model) == 1:
+        return judged(rows.withColumn("row", F.lit(0).cast("long")), model[0]).drop("value", "row")
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()))
+    every = [judged(rows, part).withColumn("part", F.lit(-k)) for k, part in enumerate(model)]
+    best = F.max(F.struct("value", "part", "doc_id", "lang_pred", "score", "languages")).alias("best")
+    return reduce(DataFrame.unionByName, every).groupBy("row").agg(best).select("best.doc_id", "best.lang_pred", "best.score", "best.languages")
 
 
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,5 +182,4 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
-    names, logs = learn(docs.filter(~held_out))
-    return identify(docs, names, logs).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
+    return identify(docs, learn(docs.filter(~held_out))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")

@@ -628,18 +628,50 @@ def test_language(spark, empty):
     r = random.Random(1)
     text = lambda *langs: " ".join(r.choice(words[x]) for x in langs for _ in range(40))
     docs = spark.createDataFrame([(i, text(x), x) for i, x in enumerate(["aa", "bb", "cc"] * 10)] + [(90, None, "aa"), (91, "12 34", "bb"), (92, "x", None)], "doc_id long, text string, lang string")
-    names, logs = language.learn(docs)
-    assert names == ["aa", "bb", "cc"]
+    model = language.learn(docs)
+    assert [names for names, _ in model] == [["aa", "bb", "cc"]]
     asked = spark.createDataFrame([(0, text("aa")), (1, text("aa", "cc")), (2, None), (3, "1 2 !"), (4, text("bb", "bb", "aa"))], "doc_id long, text string")
-    found = {x["doc_id"]: x for x in language.identify(asked, names, logs).collect()}
+    found = {x["doc_id"]: x for x in language.identify(asked, model).collect()}
     assert (found[0]["lang_pred"], found[0]["score"]) == ("aa", 1.0)
     assert found[1]["languages"] == "aa,cc" and abs(found[1]["score"] - 0.5) < 0.05
     assert found[2]["lang_pred"] == found[3]["lang_pred"] == "und" and found[3]["score"] == 0.0
     assert found[4]["lang_pred"] == "bb" and abs(found[4]["score"] - 2 / 3) < 0.05
-    assert language.identify(empty, names, logs).count() == 0
+    assert language.identify(empty, model).count() == 0
     clash = asked.withColumns({"languages": F.lit(1), "score": F.lit("x"), "lang": F.lit("zz")}).unionAll(asked.withColumns({"languages": F.lit(1), "score": F.lit("x"), "lang": F.lit(None)}))
-    assert Counter(map(tuple, language.identify(clash, names, logs).collect())) == Counter([*map(tuple, found.values())] * 2)
-    assert language.learn(empty)[0] == [] and {x["lang_pred"] for x in language.identify(asked, *language.learn(empty)).collect()} == {"und"}
+    assert Counter(map(tuple, language.identify(clash, model).collect())) == Counter([*map(tuple, found.values())] * 2)
+    assert language.learn(empty)[0][0] == [] and {x["lang_pred"] for x in language.identify(asked, language.learn(empty)).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("most", [256, 7])
+def test_every_label_is_learned(spark, monkeypatch, most):
+    """Thirty languages, one of them with a single text, in one part and in several."""
+    monkeypatch.setattr(language, "LANGUAGES", most)
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(r.choice(letters) for _ in range(6)) for _ in range(8)] for k in range(30)}
+    text = lambda x: " ".join(r.choice(words[x]) for _ in range(40))
+    docs = spark.createDataFrame([(i, text(x), x) for i, x in enumerate([*words] * 4)] + [(999, "żółw gżegżółka " * 20, "pl")], "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert sorted(x for names, _ in model for x in names) == [*sorted(words), "pl"] and max(len(names) for names, _ in model) <= most
+    asked = spark.createDataFrame([(i, text(x), x) for i, x in enumerate(words)] + [(50, "gżegżółka żółw", "pl"), (51, None, "und"), (51, None, "und")], "doc_id long, text string, row string")
+    found = [tuple(x)[:2] for x in language.identify(asked, model).collect()]
+    assert Counter(found) == Counter(tuple(x) for x in asked.select("doc_id", "row").collect())
+
+
+def test_language_query_by_its_quarters(spark, tmp_path):
+    """The query on a small table: the held-out quarter, what is learned from the rest alone, and undetermined texts."""
+    import zlib
+
+    r = random.Random(6)
+    words = {"aa": ["banana", "anagram", "cabana"], "bb": ["mitring", "sprint", "wind"]}
+    rows = [(k, " ".join(r.choice(words[x]) for _ in range(30)), x) for k, x in enumerate(["aa", "bb"] * 20)]
+    out = [k for k, *_ in rows if zlib.crc32(str(k).encode()) % 4 == 2]
+    rows = [(k, t, "only-held-out" if k in out else x) for k, t, x in rows] + [(100, None, "aa"), (101, " 1 ", None), (None, "banana cabana", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {x["doc_id"]: x for x in language.op10_language_mixture(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows) and all(found[k]["held_out"] == (zlib.crc32(("" if k is None else str(k)).encode()) % 4 == 2) for k in found)
+    for k, t, _ in rows:
+        assert found[k]["lang_pred"] == ("und" if not t or t == " 1 " else "aa" if set(t.split()) <= set(words["aa"]) else "bb")
 
 
 def test_mixture_of_many_languages():
@@ -655,10 +687,10 @@ def test_mixture_of_many_languages():
         counts = np.bincount(bucket, minlength=language.BUCKETS) + 0.1
         logs[:, k] = np.log(counts / counts.sum())
     six = " ".join(word(k) for k in range(6) for _ in range(30))
-    assert (language.mixtures([six], logs)[0] > 0.1).all()
+    assert (language.mixtures([six], logs)[0][0] > 0.1).all()
     for langs in combinations(range(6), 3):
         text = " ".join(word(k) for k in langs[: 1 + sum(langs) % 3] for _ in range(20))
-        found = language.mixtures([text], logs)[0]
+        found = language.mixtures([text], logs)[0][0]
         assert set(np.flatnonzero(found > 0)) == set(langs[: 1 + sum(langs) % 3])
 
 
