@@ -77,8 +77,14 @@ def within_open(a: Column, b: Column, x: Column, y: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def determinant(rows: pd.Series) -> pd.Series:
-    """Determinant of a square matrix, given as rows after each other."""
-    return rows.map(lambda x: float(np.linalg.det(np.reshape(np.asarray(x, float), (math.isqrt(len(x)),) * 2))))
+    """Determinant of a square matrix, given as rows after each other; matrices of one size are worked out together."""
+    out = np.empty(len(rows))
+    sizes = rows.map(len).to_numpy()
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        side = math.isqrt(int(size))
+        out[at] = np.linalg.det(np.stack([np.asarray(rows.iloc[k], float) for k in at]).reshape(-1, side, side))
+    return pd.Series(out)
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

@@ -139,14 +139,19 @@ CELL = 1 << 16
 def last_before(keys: DataFrame, asked: DataFrame, carried: str) -> DataFrame:
     """asked(v, ...) with the column `carried` of the row of keys(v, carried) of the greatest v that isn't over its own; else null.
 
-    Both sides are put in one order, cell by cell of CELL values; the last key of each cell is carried on to the next.
+    Both sides are put in one order, cell by cell of CELL values; the last key of each cell is carried on to the next one
+    of CELL cells, and the last of those to the next such.
     """
     extra = [c for c in asked.columns if c != "v"]
     both = keys.select("v", F.struct("v", carried).alias("key"), F.lit(None).cast(asked.select(F.struct(*asked.columns)).schema[0].dataType).alias("row"))
     both = both.unionByName(asked.select("v", F.lit(None).cast(both.schema["key"].dataType).alias("key"), F.struct(*asked.columns).alias("row"))).withColumn("cell", F.floor(F.col("v") / CELL))
     within = F.last("key", ignorenulls=True).over(Window.partitionBy("cell").orderBy("v", F.col("key").isNull()))
-    tops = both.groupBy("cell").agg(F.max("key").alias("top"))
-    before = tops.select("cell", F.max("top").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))  # a row a cell
+    tops = both.groupBy("cell").agg(F.max("key").alias("top")).withColumn("block", F.floor(F.col("cell") / CELL))
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = tops.groupBy("block").agg(F.max("top").alias("last"))
+    blocks = blocks.select("block", F.max("last").over(so_far(Window.orderBy("block"))).alias("last"))  # a row for CELL ** 2 values
+    inner = F.max("top").over(so_far(Window.partitionBy("block").orderBy("cell")))
+    before = tops.withColumn("inner", inner).join(blocks, "block").select("cell", F.coalesce("inner", "last").alias("earlier"))
     found = both.withColumn("own", within).join(before, "cell").filter("row is not null")
     return found.select("row.v", *(f"row.{c}" for c in extra), F.coalesce("own", "earlier")[carried].alias(carried))
 

@@ -84,3 +84,14 @@ def test_common_prefixes(spark, monkeypatch, whole, first):
         last = order[rank - 1][0] if rank else []
         want[k, p, rank, next((n for n, (x, y) in enumerate(zip(suffix, last)) if x != y), min(len(suffix), len(last)))] += 1
     assert Counter(map(tuple, suffixes.neighbour_prefixes(frame(spark, sequences)).collect())) == want
+
+
+@pytest.mark.parametrize("cell", [1 << 16, 3])
+def test_last_before_carries_over_cells(spark, monkeypatch, cell):
+    monkeypatch.setattr(suffixes, "CELL", cell)
+    r = random.Random(8)
+    keys = sorted(r.sample(range(-50, 2000), 40))
+    asked = [r.randint(-100, 2100) for _ in range(200)]
+    got = suffixes.last_before(spark.createDataFrame([(k, f"k{k}") for k in keys], "v long, name string"), spark.createDataFrame([(a,) for a in asked], "v long"), "name")
+    want = Counter((a, next((f"k{k}" for k in reversed(keys) if k <= a), None)) for a in asked)
+    assert Counter(map(tuple, got.collect())) == want
