@@ -421,6 +421,27 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition(partitions(pairs.sparkSession), "lot").sortWithinPartitions("lot").mapInArrow(run, "a long, b long")
 
 
+def possible_pairs(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """The rows of pairs(shard, a, b) that the sizes and parity maps of maps(node, n, parity) allow (similar_enough).
+
+    A map is 128 bytes where a set of shingles may be of thousands, so most candidates go before any set is moved.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                sizes = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
+                held = np.frombuffer(b"".join([*batch.column("pa").to_pylist(), *batch.column("pb").to_pylist()]), np.uint64).reshape(2 * n, -1)
+                kept = similar_enough(np.arange(n), np.arange(n, 2 * n), sizes, held, similarity)
+                yield batch.select(["shard", "a", "b"]).filter(pa.array(kept))
+
+    rows = pairs
+    for end in "ab":
+        rows = rows.join(maps.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"p{end}")), end)
+    return rows.mapInArrow(run, "shard string, a long, b long")
+
+
 def shingle_shards(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """(shard, node): a shard for each shingle that several of nodes(node, h, first) have among their first_shingles().
 
@@ -458,9 +479,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFram
     each round every print is compared, as a set of shingles, with its nearest candidates of other components, and
     shards where a print has further ones go into the next round, with GROWTH times as many. So a group of near copies
     costs a few pairs a text, no candidate between components is left out or compared twice, and the rounds grow with
-    the logarithm of the largest group. In the shards of shingles, and from the second round on in all, candidates also
-    have to pass the parity maps of their sets, so that a crowd that is a little less alike than the similarity isn't
-    compared pair by pair.
+    the logarithm of the largest group. Candidates also have to pass the parity maps of their sets, in the shards of
+    shingles and from the second round on in all where they are sought, so that a crowd that is a little less alike than
+    the similarity isn't compared pair by pair; those of the first round before their sets are moved.
     """
     columns, most, links, marked, tried = _columns(scheme), MOST, None, None, None
     maps, by_shingle = nodes.select("node", "n", "parity"), shingle_shards(docs, nodes, scheme)
@@ -476,7 +497,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFram
         shingled = shingled.join(rooted.join(maps, "node"), "node")
         found = stage(_candidates(routed.select(fields).unionByName(shingled.select(fields)), scheme, most))
         pairs = found.filter("a is not null").groupBy("a", "b").agg(F.min("shard").alias("shard"))
-        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = stage(possible_pairs(pairs, maps, scheme.similarity) if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = stage(ends.join(nodes.select("node", "h"), "node"))
