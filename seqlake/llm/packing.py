@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,47 +27,52 @@ def bin_cost(size: int, overhead: int = OVERHEAD, attention: int = ATTENTION) ->
 def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, attention: int = ATTENTION) -> tuple[list[int], list[int], list[int]]:
     """(bin, place in the bin) of each piece, and the size of each bin.
 
-    Bins are opened for the longest piece that is left. Each permitted size that holds it is filled, on trial, with the
-    pieces that fit its free room best (the longest of those that are left, again and again), and the size of least
-    bin_cost() a token held is opened: a large bin costs more attention, a small one may stay empty beside a long
-    piece, and which weighs more depends on the pieces that are left. A tie goes to the smaller size. Finally each bin
-    takes the smallest permitted size for its contents. Pieces are at most the largest size long; those of one length
-    go by position; pieces of no tokens join the first bin.
+    Best fit, the longest piece first: a piece goes into the open bin whose free room it fills best, of several the
+    first. Where none has the room, a bin is opened, of a size that goes by the least permitted size that holds the piece.
+    These sizes are optimised together: from the largest pieces' to the smallest's, each is set to the permitted size
+    with which all pieces, packed whole, cost least by bin_cost(), every bin downsized to the smallest permitted size
+    for its contents; a tie goes to the smaller size. Pieces are at most the largest size long; those of one length go
+    by position; pieces of no tokens join the first bin.
     """
-    waiting: dict[int, list[int]] = {}
-    for i in range(len(lengths) - 1, -1, -1):
-        waiting.setdefault(lengths[i], []).append(i)
-    left = sorted(n for n in waiting if n)
     permitted = sorted(sizes)
-    costs = {s: bin_cost(s, overhead, attention) for s in permitted}
-    bins, places, found = [0] * len(lengths), [0] * len(lengths), []
-
-    def filled(size: int) -> tuple[int, list[tuple[int, int]]]:
-        """Tokens that a bin of this size gets, and how many pieces of which lengths."""
-        room, at, taken = size, len(left) - 1, []
-        while at >= 0:
-            n = left[at]
-            if count := min(len(waiting[n]), room // n):
-                taken.append((n, count))
-                room -= n * count
-            at = min(at, bisect_right(left, room)) - 1
-        return size - room, taken
-
-    while left:
-        trials = [(s, *filled(s)) for s in permitted if s >= left[-1]]
-        held, taken = min(((costs[next(x for x in permitted if x >= n)] / n, s, n, t) for s, n, t in trials), key=lambda x: x[:2])[2:]
-        place = 0
-        for n, count in taken:
-            for _ in range(count):
-                i = waiting[n].pop()
-                bins[i], places[i] = len(found), place
-                place += n
-            if not waiting[n]:
-                left.pop(bisect_right(left, n) - 1)
-        found.append(next(s for s in permitted if s >= held))
-    if waiting.get(0) and not found:
-        found.append(permitted[0])
-    return bins, places, found
+    fitting = lambda n: permitted[bisect_left(permitted, n)]
+    order = sorted((i for i in range(len(lengths)) if lengths[i]), key=lambda i: -lengths[i])
+
+    def cost(opening: dict[int, int]) -> tuple[float, tuple[list[int], list[int], list[int]]]:
+        packed = best_fit(lengths, order, permitted, opening)
+        return sum(bin_cost(fitting(u), overhead, attention) for u in packed[2]), packed
+
+    opening = {s: s for s in permitted}
+    best = cost(opening)
+    for least in sorted({fitting(lengths[i]) for i in order}, reverse=True):
+        for size in permitted[permitted.index(least) + 1 :]:
+            tried = cost(opening | {least: size})
+            if tried[0] < best[0] - 1e-9:
+                best, opening = tried, opening | {least: size}
+    bins, places, used = best[1]
+    return bins, places, [fitting(u) for u in used or [0] * bool(lengths)]
+
+
+def best_fit(lengths: list[int], order: list[int], permitted: list[int], opening: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
+    """(bin, place in the bin) of each piece and the tokens of each bin, pieces taken in the given order.
+
+    `opening` says, by the least permitted size that holds a piece, of which size a bin is opened for it.
+    """
+    bins, places, used = [0] * len(lengths), [0] * len(lengths), []
+    rooms: list[tuple[int, int]] = []  # free room and bin of every open bin, in order
+    for i in order:
+        n = lengths[i]
+        at = bisect_left(rooms, (n, -1))
+        if at < len(rooms):
+            room, number = rooms.pop(at)
+        else:
+            room, number = opening[permitted[bisect_left(permitted, n)]], len(used)
+            used.append(0)
+        bins[i], places[i] = number, used[number]
+        used[number] += n
+        if room > n:
+            insort(rooms, (room - n, number))
+    return bins, places, used
 
 
 def pack_items(items: DataFrame, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, attention: int = ATTENTION) -> DataFrame:

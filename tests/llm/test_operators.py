@@ -398,6 +398,62 @@ def test_packing_costs():
         assert sum(map(packing.bin_cost, joint)) < 0.98 * sum(map(packing.bin_cost, downsized)) and len(set(joint)) > 1
 
 
+def test_best_fit_equals_plain_search():
+    """Each piece in the fullest open bin that has room, by looking at all of them; and sizes as good as any choice of them."""
+    from itertools import product
+
+    permitted = [32, 64, 128]
+    for seed in range(30):
+        r = random.Random(seed)
+        lengths = [r.choice([1, 5, 30, 64, 100, r.randint(1, 128)]) for _ in range(r.randint(0, 60))]
+        order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+        costs = []
+        for sizes in product(permitted, repeat=3):
+            opening = dict(zip(permitted, sizes))
+            if any(s < k for k, s in opening.items()):
+                continue
+            rooms, bins = [], [0] * len(lengths)
+            for i in order:
+                fits = [(room - lengths[i], k) for k, room in enumerate(rooms) if room >= lengths[i]]
+                if not fits:
+                    rooms.append(opening[next(s for s in permitted if s >= lengths[i])])
+                    fits = [(0, len(rooms) - 1)]
+                bins[i] = min(fits)[1]
+                rooms[bins[i]] -= lengths[i]
+            found = packing.best_fit(lengths, order, permitted, opening)
+            assert found[0] == bins
+            costs.append(sum(packing.bin_cost(next(s for s in permitted if s >= u), 4, 384) for u in found[2]))
+        total = sum(packing.bin_cost(s, 4, 384) for s in packing.pack(lengths, tuple(permitted), 4, 384)[2])
+        assert total <= 1.02 * min(costs) + 1e-9
+
+
+@pytest.mark.parametrize("shard", [20_000, 40])
+def test_packed_items_of_many_groups(spark, monkeypatch, shard):
+    """Items longer than any bin, nulls, repeats and clashing columns, in one group and in several."""
+    monkeypatch.setattr(packing, "SHARD", shard)
+    r = random.Random(5)
+    items = [(r.choice([None, 1, k]), r.choice([None, 0, -3, 1, 700, r.randint(1, 30_000)])) for k in range(150)] + [(7, 8192 * 3)] * 5
+    frame = spark.createDataFrame(items, "doc_id long, n_tokens long").withColumns({"shard": F.lit(1), "bin": F.lit(2), "At": F.lit(3)}).repartition(4)
+    found = packing.pack_items(frame).collect()
+    total, bins = Counter(), {}
+    for x in found:
+        total[x.doc_id] += x.length
+        bins.setdefault(x.bin, []).append(x)
+        assert x.start == x.piece * 8192 and x.bin_start + x.length <= x.bin_size
+    want = Counter()
+    for doc, n in items:
+        want[doc] += max(0, n or 0)
+    assert +total == +want and {x.doc_id for x in found} == {doc for doc, _ in items}
+    assert sum(x.piece == 0 for x in found) == len(items)
+    for rows in bins.values():
+        used = 0
+        for x in sorted(rows, key=lambda x: (x.bin_start, x.length)):
+            assert not x.length or x.bin_start == used
+            used += x.length
+        assert {x.bin_size for x in rows} == {next(s for s in packing.SIZES if s >= used)}
+    assert packing.pack_items(frame.limit(0)).count() == 0
+
+
 def test_packing_rows(docs, rows, empty):
     assert packing.pack_documents(empty).count() == 0
     found = packing.pack_documents(docs).collect()
