@@ -126,8 +126,9 @@ def avg_prob_vector(spark, sf_dir):
 def letter_dot_matrix(spark, sf_dir):
     sums = _sums_of_letters(spark, sf_dir)
     other = sums.select(F.col("letter").alias("j"), F.col("sums").alias("other"))
-    dot = sum((F.get("sums", F.lit(c)) * F.get("other", F.lit(c)) for c in range(1, CLASSES)), F.get("sums", F.lit(0)) * F.get("other", F.lit(0)))
-    dots = sums.select(F.col("letter").alias("i"), "sums").crossJoin(F.broadcast(other)).select("i", "j", dot.alias("dot"))  # all pairs of an alphabet's letters are the result
+    dot = F.aggregate(F.zip_with("sums", "other", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    rows = sums.select(F.col("letter").alias("i"), "sums").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i")  # few rows, but much to do for each
+    dots = rows.crossJoin(F.broadcast(other)).select("i", "j", dot.alias("dot"))  # all pairs of an alphabet's letters are the result
     return dots.select("i", "j", F.round("dot", 5).alias("dot"), F.round(F.sum("dot").over(Window.partitionBy("i")), 5).alias("row_sum"))
 
 
