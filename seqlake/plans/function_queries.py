@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import codes, numbers, text
 from ..operators.align import gapped_global, gapped_local, unit_edits, weighted_edits
 from ..operators.skip import find_all
-from ..operators.suffixes import last_before, numbered
+from ..operators.suffixes import kept, last_before, numbered
 from ..operators.ties import close_ranks
 from ..progress import required
 from ..sources.views import EVENT_SQL, PROB_SQL, event_sequences, probability_vectors, table
@@ -124,7 +124,7 @@ def avg_prob_vector(spark, sf_dir):
 
 @query(f"WITH {_TWO}, v AS (SELECT letter, c, sum(probs[c]) AS x FROM (SELECT letter, probs, unnest(range(1, 65)) AS c FROM letters JOIN pv USING (pos)) GROUP BY ALL), d AS (SELECT a.letter AS i, b.letter AS j, sum(a.x * b.x) AS dot FROM v a JOIN v b USING (c) GROUP BY ALL) SELECT i, j, round(dot, 5) AS dot, round(sum(dot) OVER (PARTITION BY i), 5) AS row_sum FROM d")
 def letter_dot_matrix(spark, sf_dir):
-    sums = _sums_of_letters(spark, sf_dir)
+    sums = kept(_sums_of_letters(spark, sf_dir))  # both sides of the pairs
     other = sums.select(F.col("letter").alias("j"), F.col("sums").alias("other"))
     dot = F.aggregate(F.zip_with("sums", "other", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
     rows = sums.select(F.col("letter").alias("i"), "sums").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i")  # few rows, but much to do for each
