@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -392,11 +393,12 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, pick: Callable[
     return picked.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"])
 
 
-def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of the staged pairs(shard, a, b) whose sets(node, s) share `similarity`.
+def compared(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the staged pairs(shard, a, b) whose sets(node, s), of sizes(node, n), share `similarity`.
 
     The pairs of a shard meet with its sets, each of which is moved once, not once a pair; a shard of many pairs is cut
-    by hashes of a into lots of about PAIRS.
+    by hashes of a into lots of about PAIRS. A set goes to every lot that asks for it, long texts' to many: lots are
+    taken in waves, one after another, in each of which about as much is moved as all the sets are, once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,9 +418,17 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     part = F.coalesce(F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / PAIRS)), F.lit(0))
     asked = pairs.join(many, F.col("shard") == F.col("_shard"), "left").select(F.concat_ws("/", "shard", part.cast("string")).alias("lot"), "a", "b")
     asked = stage(asked)
-    given = asked.select("lot", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
-    rows = asked.withColumn("s", F.lit(None).cast("array<bigint>")).unionByName(given.select("lot", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "s"))
-    return rows.repartition(partitions(pairs.sparkSession), "lot").sortWithinPartitions("lot").mapInArrow(run, "a long, b long")
+    needed = stage(asked.select("lot", F.explode(F.array("a", "b")).alias("node")).distinct())
+    moved = needed.groupBy("node").agg(F.count("*").alias("lots")).join(sizes, "node")
+    total, own = moved.agg(F.sum(F.col("lots") * F.col("n")), F.sum("n")).first()
+    waves, done = -(-(total or 1) // (own or 1)), []
+    for wave in range(waves):
+        now = F.pmod(F.xxhash64("lot"), F.lit(waves)) == wave
+        given = needed.filter(now).join(sets, "node")
+        rows = asked.filter(now).withColumn("s", F.lit(None).cast("array<bigint>")).unionByName(given.select("lot", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "s"))
+        done.append(stage(rows.repartition(partitions(pairs.sparkSession), "lot").sortWithinPartitions("lot").mapInArrow(run, "a long, b long")))
+    unstage(asked, needed)
+    return reduce(DataFrame.unionByName, done)
 
 
 def possible_pairs(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
@@ -502,7 +512,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFram
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = stage(ends.join(nodes.select("node", "h"), "node"))
         sets = stage(_shingle_sets(docs, wanted, scheme.size))
-        passed = compared(pairs, sets, scheme.similarity)
+        passed = compared(pairs, sets, nodes.select("node", "n"), scheme.similarity)
         links = stage(passed if links is None else links.unionByName(passed))
         unstage(wanted, sets)
         marked = stage(found.filter("a is null").select("shard").distinct())
