@@ -230,7 +230,7 @@ def dump_letters(spark, sf_dir):
 @query("SELECT vec_id, i, chr(9) AS tab, CAST(i AS VARCHAR) || chr(9) || printf('%.6f', embedding[i + 1]::DOUBLE) AS line FROM (SELECT vec_id, embedding, CAST(unnest(range(0, 64)) AS INTEGER) AS i FROM embeddings)")
 def dump_series(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    return rows.select("vec_id", "i", F.lit("\t").alias("tab"), F.format_string("%d\t%.6f", "i", F.col("x").cast("double")).alias("line"))
+    return rows.select("vec_id", "i", F.lit("\t").alias("tab"), F.concat(F.col("i").cast("string"), F.lit("\t"), text.six_decimals(F.col("x"))).alias("line"))
 
 
 @query(

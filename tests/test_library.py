@@ -356,3 +356,12 @@ def test_entry_and_queries(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_six_decimals_are_those_of_c(spark):
+    """Halves go to the even digit, by the exact value of a float."""
+    values = [k / 128 for k in range(-9, 10)] + [0.1, -0.1, -1e-9, 1e-7, 16777216.5, 3e9, 123456789.0, 8e9, 5e10, -2.0**62, 2.0**-20, 0.9999996, float("inf"), float("-inf"), float("nan"), -0.0]
+    values = [float(np.float32(x)) for x in values] + np.random.default_rng(1).normal(size=500).astype(np.float32).tolist()
+    df = spark.createDataFrame([(n, x) for n, x in enumerate(values)] + [(-1, None)], "n int, x float")
+    found = {r["n"]: r["s"] for r in df.select("n", text.six_decimals(F.col("x")).alias("s")).collect()}
+    assert found == {n: "%.6f" % x for n, x in enumerate(values)} | {-1: None}
