@@ -119,7 +119,9 @@ def _plain_report(spark, sf_dir):
     target = lambda shift, tail: F.format_string(f"12  /db/%04d{tail} ", (c + shift) % 10_000)
     lines = [F.format_string("/db/%04dA", c % 10_000), target(1, "A"), F.lit("rmsd: 2.25, tm_scr 0.99"), F.format_string("tm_scr 0.%d", 100 + c % 800), F.lit("1-exp(-HSS)"), target(F.when(c % 3 == 0, 0).otherwise(2), "A"), F.when(c % 4 == 0, "nothing").otherwise("tm_scr 0.75"), F.lit("1-exp(-HSS)")]
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(F.array(*lines)).alias("k", "line"))
-    return files.read_places(spark, _lines(rows, files.scratch(spark), "c_custkey", "k"))
+    path = files.scratch(spark)  # several files, in the order of customers, of which none is cut
+    rows.repartitionByRange("c_custkey").sortWithinPartitions("c_custkey", "k").select("line").write.text(path)
+    return files.read_places(spark, path)
 
 
 @query(f"WITH {_PLAIN} SELECT q AS a, printf('%04d', (c + 1) % 10000) || 'A' AS b, CAST('0.' || (100 + c % 800) AS DOUBLE) AS tm FROM k UNION ALL SELECT q, printf('%04d', (c + 2) % 10000) || 'A', CASE WHEN c % 4 = 0 THEN CAST('0.' || (100 + c % 800) AS DOUBLE) ELSE 0.75 END FROM k WHERE c % 3 <> 0")

@@ -50,9 +50,15 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_places(spark: SparkSession, path: str) -> DataFrame:
-    """(path, n, value): the lines of text files with their numbers from 0, those that are empty left out."""
-    lines = read_whole(spark, path).select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
-    return lines.filter("value <> ''")
+    """(path, n, value): the lines of text files with their numbers from 0, those that are empty left out.
+
+    Files are read in blocks, whose lines are counted first, so that no task holds a file.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("value"))
+    blocks = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))  # the lines of a block follow each other
+    before = F.sum("lines").over(Window.partitionBy("path").orderBy("block")) - F.col("lines")
+    shift = blocks.select("path", "block", (before - F.col("first")).alias("shift"))
+    return lines.join(F.broadcast(shift), ["path", "block"]).select("path", (F.col("at") + F.col("shift")).cast("int").alias("n"), "value").filter("value <> ''")
 
 
 def load_sequences(spark: SparkSession, list_path: str, folder: str, loader: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
@@ -204,7 +210,7 @@ def edges_of_report(lines: DataFrame) -> DataFrame:
 def labels_of_report(lines: DataFrame) -> DataFrame:
     """(label, code): the queries of plain-text reports, numbered from 1 by their lines."""
     codes = lines.select("path", "n", F.regexp_extract("value", PLAIN_REPORT["query"], 1).alias("code")).filter("code <> ''")
-    return codes.select(F.row_number().over(Window.orderBy("path", "n")).alias("label"), "code")  # a row a query
+    return numbered(codes, "place", "path", "n").select((F.col("place") + 1).cast("int").alias("label"), "code")
 
 
 def edges_of_results(path: str, spark: SparkSession) -> DataFrame:

@@ -365,3 +365,22 @@ def test_six_decimals_are_those_of_c(spark):
     df = spark.createDataFrame([(n, x) for n, x in enumerate(values)] + [(-1, None)], "n int, x float")
     found = {r["n"]: r["s"] for r in df.select("n", text.six_decimals(F.col("x")).alias("s")).collect()}
     assert found == {n: "%.6f" % x for n, x in enumerate(values)} | {-1: None}
+
+
+def test_lines_are_numbered_block_by_block(spark, tmp_path):
+    """Files of many blocks, whose lines keep their numbers, and of which no task reads a whole one."""
+    texts = {"a.txt": "".join(f"line {k}\r\n" if k % 3 else "\n" for k in range(900)) + "end", "b.txt": "\n\nx\rx\n", "c.txt": ""}
+    for name, content in texts.items():
+        (tmp_path / name).write_bytes(content.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        lines = files.read_places(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 3
+        found = sorted((r["path"].rsplit("/", 1)[1], r["n"], r["value"]) for r in lines.collect())
+        codes = files.labels_of_report(spark.createDataFrame([("p", n, f"/db/{n:04d}A") for n in range(300)], "path string, n int, value string"))
+        assert sorted(map(tuple, codes.collect())) == [(n + 1, f"{n:04d}A") for n in range(300)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    import re
+
+    assert found == sorted((name, n, x) for name, content in texts.items() for n, x in enumerate(re.split("\r?\n", content)) if x)
