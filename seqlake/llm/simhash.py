@@ -47,12 +47,14 @@ PAIRS = 20_000
 FEW = 1_000_000
 #: A shard of more fingerprints is split again by distance from a vantage point; a tree's leaf has LEAF at most.
 SHARD, LEAF = 50_000, 64
-#: Up to so many shards' vantage points are broadcast to their rows, and keys that a hot component's rows are dealt to.
+#: Up to so many shards' names or vantage points are broadcast to their rows, and keys that a hot component's rows are dealt to.
 VANTAGES, SALTS = 100_000, 64
 #: A shingle that over CROWD prints have among their first is a late choice; LATE bounds how many are (8 bytes each go to every task).
 CROWD, LATE = 1000, 4_000_000
-#: Bits of the parity map of a text's set of shingles.
+#: Bits of the parity map of a text's set of shingles, at least.
 PARITY = 1024
+#: Words of parity maps that are held against each other at a time.
+MAPS = 1 << 20
 #: What the names of the shards of shingles begin with.
 SHINGLE = "s"
 _SHINGLES = 1 << 14
@@ -99,13 +101,23 @@ def fingerprint(text: bytes, size: int = 4, longs: int = 1) -> np.ndarray:
     return _print(shingles(text, size), longs)
 
 
-def parity_map(hashes: np.ndarray) -> np.ndarray:
-    """For a set of shingles (distinct hashes) whether an odd number of them falls on each of PARITY bits, as uint64.
+def parity_map(hashes: np.ndarray, bits: int = 0) -> np.ndarray:
+    """For a set of shingles (distinct hashes) whether an odd number of them falls on each of `bits` (PARITY) bits, as uint64.
 
     Two maps differ in no more bits than the sets have members that are not common to both, so they tell apart sets
     of too little similarity without an error on the other side.
     """
-    return np.packbits(np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1, bitorder="little").view(np.uint64)
+    bits = bits or PARITY
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").view(np.uint64)
+
+
+def whole_map(hashes: np.ndarray) -> np.ndarray:
+    """parity_map() of the power of two of bits that gives each shingle one, PARITY at least.
+
+    The maps of two sets of many more shingles than bits differ in about half of them, whatever the sets share. The
+    exclusive or of a map's halves is the map of half as many bits.
+    """
+    return parity_map(hashes, max(PARITY, 1 << max(0, len(hashes) - 1).bit_length()))
 
 
 def _columns(scheme: Scheme) -> list[str]:
@@ -135,7 +147,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """(doc_id, h: a hash of the text, f0, ...: the print's bits as longs) of every whole text; a null text has no words.
 
     A scheme with a similarity prints the text's set of shingles, without repeats, and adds `node`, a hash of that set,
-    `n`, its size, `parity`, its parity_map(), and `first`, its first_shingles().
+    `n`, its size, `parity`, its whole_map(), and `first`, its first_shingles().
     """
     columns = _columns(scheme)
 
@@ -148,7 +160,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
                     distinct = np.unique(np.concatenate([*chunks, np.zeros(0, np.uint64)]))
                     chunks = iter([distinct])  # print and similarity measure the same set
                     first = first_shingles(distinct, scheme.similarity, np.zeros(0, np.uint64))
-                    more.append((xxhash.xxh64_intdigest(distinct.tobytes()) - (1 << 63), len(distinct), parity_map(distinct).tobytes(), first.view(np.int64)))
+                    more.append((xxhash.xxh64_intdigest(distinct.tobytes()) - (1 << 63), len(distinct), whole_map(distinct).tobytes(), first.view(np.int64)))
                 prints.append(_print(chunks, scheme.longs))
             found = np.array(prints, np.uint64).view(np.int64).reshape(-1, scheme.longs)
             arrays = [batch.column(0), batch.column(2), *(pa.array(found[:, n]) for n in range(scheme.longs))]
@@ -240,6 +252,41 @@ def similar_enough(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, maps: np
     return np.maximum(differ, np.abs(a - b)) <= (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
+class Maps:
+    """whole_map()s of sets of all sizes, one after another."""
+
+    def __init__(self, maps: list[bytes]):
+        self.words = np.array([len(m) >> 3 for m in maps], np.int64)
+        self.starts = np.cumsum(self.words) - self.words
+        self.flat = np.frombuffer(b"".join(maps), np.uint64)
+
+    def folded(self, at: np.ndarray, words: int, width: int) -> np.ndarray:
+        """The maps at some positions, which have so many words each, folded to `width` words, a row each."""
+        return np.bitwise_xor.reduce(self.flat[self.starts[at][:, None] + np.arange(words)].reshape(len(at), words // width, width), axis=1)
+
+    def least(self) -> np.ndarray:
+        """All maps folded to PARITY bits."""
+        width = PARITY >> 6
+        rows = np.zeros((len(self.words), width), np.uint64)
+        for words in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == words)
+            for k in range(0, len(at), step := max(1, MAPS // words)):
+                rows[at[k : k + step]] = self.folded(at[k : k + step], words, width)
+        return rows
+
+    def similar_enough(self, one: np.ndarray, two: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+        """similar_enough() by the whole maps, the longer of two folded to the shorter."""
+        kept = np.zeros(len(one), bool)
+        for x, y in np.unique(np.stack([self.words[one], self.words[two]]), axis=1).T.tolist():
+            at = np.flatnonzero((self.words[one] == x) & (self.words[two] == y))
+            for k in range(0, len(at), step := max(1, MAPS // max(x, y))):
+                some, width = at[k : k + step], min(x, y)
+                n = len(some)
+                both = np.concatenate([self.folded(one[some], x, width), self.folded(two[some], y, width)])
+                kept[some] = similar_enough(np.arange(n), np.arange(n, 2 * n), np.concatenate([sizes[one[some]], sizes[two[some]]]), both, similarity)
+        return kept
+
+
 def nearest(fps: np.ndarray, roots: np.ndarray, radius: int, most: int, possible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, tree: tuple[np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
     """Each print with its `most` nearest prints of another component, as pairs of positions within `radius`.
 
@@ -345,9 +392,9 @@ def near_links(nodes: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
 def _candidates(routed: DataFrame, scheme: Scheme, most: int) -> DataFrame:
     """(shard, a, b) of prints by nearest(); a and b are null in a row more for a shard where a print has more.
 
-    Where a shard's rows have n and parity, only pairs count that can have the scheme's similarity. The shards of
-    shingles always have them and know no radius of the prints; their tree is one of the parity maps, by which no
-    pair of that similarity is further apart than similar_enough() allows.
+    Only pairs count that can have the scheme's similarity by their n and whole maps. The shards of shingles know no
+    radius of the prints; their tree is one of the maps, by which no pair of that similarity is further apart than
+    similar_enough() allows.
     """
     columns = _columns(scheme)
 
@@ -357,15 +404,21 @@ def _candidates(routed: DataFrame, scheme: Scheme, most: int) -> DataFrame:
                 continue
             node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
             fps = np.stack([rows.column(c).to_numpy()[at] for c in columns], axis=1).view(np.uint64)
-            possible = tree = None
-            radius = scheme.radius
-            if not rows.column("parity").null_count:
-                sizes = rows.column("n").to_numpy()[at]
-                maps = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(len(rows), -1)[at]
-                possible = lambda x, y: similar_enough(x, y, sizes, maps, scheme.similarity)
-                if shard.startswith(SHINGLE):
-                    radius = 64 * scheme.longs
-                    tree = maps, int(2 * sizes.max() * (1 - scheme.similarity) / (1 + scheme.similarity) + 1e-6)
+            radius, tree = scheme.radius, None
+            sizes = rows.column("n").to_numpy()[at]
+            whole = Maps(rows.column("parity").take(pa.array(at)).to_pylist())
+            least = whole.least()
+
+            def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                kept = similar_enough(x, y, sizes, least, scheme.similarity)  # noqa: B023
+                long = np.flatnonzero(kept & (np.minimum(whole.words[x], whole.words[y]) > least.shape[1]))  # noqa: B023
+                if len(long):
+                    kept[long] = whole.similar_enough(x[long], y[long], sizes, scheme.similarity)  # noqa: B023
+                return kept
+
+            if shard.startswith(SHINGLE):
+                radius = 64 * scheme.longs
+                tree = least, int(2 * sizes.max() * (1 - scheme.similarity) / (1 + scheme.similarity) + 1e-6)
             one, two, more = nearest(fps, rows.column("root").to_numpy()[at], radius, most, possible, tree)
             if not len(one):
                 continue
@@ -431,27 +484,6 @@ def compared(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: fl
     return reduce(DataFrame.unionByName, done)
 
 
-def possible_pairs(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
-    """The rows of pairs(shard, a, b) that the sizes and parity maps of maps(node, n, parity) allow (similar_enough).
-
-    A map is 128 bytes where a set of shingles may be of thousands, so most candidates go before any set is moved.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                sizes = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
-                held = np.frombuffer(b"".join([*batch.column("pa").to_pylist(), *batch.column("pb").to_pylist()]), np.uint64).reshape(2 * n, -1)
-                kept = similar_enough(np.arange(n), np.arange(n, 2 * n), sizes, held, similarity)
-                yield batch.select(["shard", "a", "b"]).filter(pa.array(kept))
-
-    rows = pairs
-    for end in "ab":
-        rows = rows.join(maps.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"p{end}")), end)
-    return rows.mapInArrow(run, "shard string, a long, b long")
-
-
 def shingle_shards(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """(shard, node): a shard for each shingle that several of nodes(node, h, first) have among their first_shingles().
 
@@ -469,10 +501,11 @@ def shingle_shards(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFra
         if not len(new):
             break
         late = np.union1d(late, new)
-        again = stage(postings.join(hot, "s", "left_semi").select("node").distinct().join(nodes.select("node", "h"), "node"))
+        again = stage(postings.join(F.broadcast(hot), "s", "left_semi").select("node").distinct().join(nodes.select("node", "h"), "node"))
         shared = docs.sparkSession.sparkContext.broadcast(late)
         chosen = _shingle_sets(docs, again, scheme.size, lambda hashes: first_shingles(hashes, scheme.similarity, shared.value))
-        rest = postings.join(again.select("node"), "node", "left_anti")
+        asked = again.select("node")
+        rest = postings.join(F.broadcast(asked) if again.count() <= FEW else asked, "node", "left_anti")
         last, postings = postings, stage(rest.unionByName(chosen.select("node", F.explode("s").alias("s"))))
         unstage(last, several, again)
     kept = stage(several.groupBy("n", "x").agg(F.min("s").alias("s")).select("s"))
@@ -489,25 +522,24 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFram
     each round every print is compared, as a set of shingles, with its nearest candidates of other components, and
     shards where a print has further ones go into the next round, with GROWTH times as many. So a group of near copies
     costs a few pairs a text, no candidate between components is left out or compared twice, and the rounds grow with
-    the logarithm of the largest group. Candidates also have to pass the parity maps of their sets, in the shards of
-    shingles and from the second round on in all where they are sought, so that a crowd that is a little less alike than
-    the similarity isn't compared pair by pair; those of the first round before their sets are moved.
+    the logarithm of the largest group. Candidates also have to pass the parity maps of their sets where they are
+    sought, so that a crowd that is a little less alike than the similarity isn't compared pair by pair, and hardly a
+    set is moved but for pairs near that similarity, however many texts a block's prints bring together. A map is a
+    64th to a 32nd of its set, or 128 bytes.
     """
     columns, most, links, marked, tried = _columns(scheme), MOST, None, None, None
-    maps, by_shingle = nodes.select("node", "n", "parity"), shingle_shards(docs, nodes, scheme)
-    rooted = nodes.select("node", *columns, F.col("node").alias("root"))
-    fields = ["shard", "node", *columns, "root", "n", "parity"]
+    by_shingle, carried = shingle_shards(docs, nodes, scheme), ["n", "parity"]
+    rooted = nodes.select("node", *columns, F.col("node").alias("root"), *carried)
+    fields = ["shard", "node", *columns, "root", *carried]
     while True:
         routed, shingled = _routed(rooted, scheme), by_shingle
-        if marked is None:
-            routed = routed.withColumns({"n": F.lit(None).cast("long"), "parity": F.lit(None).cast("binary")})
-        else:
-            routed, shingled = (x.join(marked, "shard", "left_semi") for x in (routed, shingled))
-            routed = routed.join(maps, "node")
-        shingled = shingled.join(rooted.join(maps, "node"), "node")
+        if marked is not None:
+            few = F.broadcast(marked) if marked.count() <= VANTAGES else marked  # most rows stay where they are
+            routed, shingled = (x.join(few, "shard", "left_semi") for x in (routed, shingled))
+        shingled = shingled.join(rooted, "node")
         found = stage(_candidates(routed.select(fields).unionByName(shingled.select(fields)), scheme, most))
         pairs = found.filter("a is not null").groupBy("a", "b").agg(F.min("shard").alias("shard"))
-        pairs = stage(possible_pairs(pairs, maps, scheme.similarity) if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = stage(ends.join(nodes.select("node", "h"), "node"))
@@ -522,7 +554,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFram
         roots = connected_components(links).withColumnRenamed("node", "_node")
         links = roots.filter("_node <> root").select(F.col("_node").alias("a"), F.col("root").alias("b"))
         joined = nodes.join(roots, F.col("node") == F.col("_node"), "left")
-        rooted = stage(joined.select("node", *columns, F.coalesce("root", "node").alias("root")))
+        rooted = stage(joined.select("node", *columns, F.coalesce("root", "node").alias("root"), *carried))
         most *= GROWTH
 
 

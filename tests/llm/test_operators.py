@@ -165,6 +165,36 @@ def test_parity_maps_deny_no_similar_pair():
     assert able[alike].all() and alike.any() and not able.all()
 
 
+def test_whole_maps_tell_long_sets_apart():
+    """Sets of thousands of shingles, which maps of 1,024 bits can't: none of over 0.8 is denied, all under 0.7 are."""
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2**63, 20_000, np.uint64)
+    sets = [np.unique(np.concatenate([base[:n][r.random(n) >= share], r.integers(0, 2**63, int(share * n), np.uint64)])) for n in (900, 4000, 4500, 16_000, 20_000) for share in (0, 0.05, 0.1, 0.3, 1)]
+    sizes = np.array([len(s) for s in sets])
+    maps = simhash.Maps([simhash.whole_map(s).tobytes() for s in sets])
+    assert (maps.least() == np.stack([simhash.parity_map(s) for s in sets])).all()
+    one, two = np.triu_indices(len(sets), 1)
+    common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(one, two)])
+    alike = common / (sizes[one] + sizes[two] - common)
+    able = maps.similar_enough(one, two, sizes, 0.8)
+    assert able[alike >= 0.8].all() and not able[alike < 0.7].any()
+    assert simhash.similar_enough(one, two, sizes, maps.least(), 0.8)[alike < 0.7].any()
+
+
+@pytest.mark.parametrize("crowd", [None, 3])
+def test_unlike_long_texts_move_no_sets(spark, monkeypatch, crowd):
+    """Texts of thousands of shingles, two thirds of them common to all, are no candidates once their maps are seen."""
+    asked = []
+    held = simhash.compared
+    monkeypatch.setattr(simhash, "compared", lambda pairs, *rest: asked.append(pairs.count()) or held(pairs, *rest))
+    if crowd:
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+    common = prose(70, 4000, 5000)
+    texts = [f"{common} {prose(71 + k, 2000, 5000)}" for k in range(9)] + [f"{common} {prose(71, 2000, 5000)} end"]
+    found = dict(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), simhash.SIMILAR).select("doc_id", "component_id").collect())
+    assert found == {k: k % 9 for k in range(10)} and sum(asked) == 1
+
+
 @pytest.mark.parametrize("crowd", [None, 3])
 def test_similar_texts_equal_brute_force(spark, monkeypatch, crowd):
     """Texts with a few words changed, some 0.8 alike and some not, and a crowd that needs several rounds.
