@@ -6,8 +6,10 @@ import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,15 +89,18 @@ class Trie:
             before = text
 
 
-_held: tuple[dict[str, float], Trie] | None = None
+_tries: WeakKeyDictionary[Broadcast, Trie] = WeakKeyDictionary()
 
 
-def trie_of(pieces: dict[str, float]) -> Trie:
-    """The Trie that this Python process keeps for a vocabulary, with the counts of its earlier tasks."""
-    global _held
-    if _held is None or _held[0] is not pieces:
-        _held = pieces, Trie(pieces)
-    return _held[1]
+def trie_of(pieces: Broadcast[dict[str, float]]) -> Trie:
+    """The Trie that this Python process keeps for a broadcast vocabulary, with the counts of its earlier tasks.
+
+    It goes with the broadcast, which Spark takes from a process whose next task has no use for it: processes outlive
+    their stages, and what they kept would stand beside all that comes after.
+    """
+    if pieces not in _tries:
+        _tries[pieces] = Trie(pieces.value)
+    return _tries[pieces]
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -109,12 +114,14 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     pieces = docs.sparkSession.sparkContext.broadcast(load(vocabulary))  # a vocabulary's size, which is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = trie_of(pieces.value)
+        trie = trie_of(pieces)
         for batch in slices(batches, "text", CHUNK):
-            found = [text.split() for text in blobs(batch.column("text"))]
-            trie.insert(chain.from_iterable(found))
-            count = trie.count.__getitem__
-            words, tokens = [len(x) for x in found], [sum(map(count, x)) for x in found]
+            texts, words, tokens = blobs(batch.column("text")), [], []
+            trie.insert(chain.from_iterable(map(bytes.split, texts)))
+            for text in texts:
+                found = text.split()
+                words.append(len(found))
+                tokens.append(sum(map(trie.count.__getitem__, found)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqlake.llm import chat, components, decontaminate, language, licenses, packing, quality, sharding, simhash, suffix, tokens
+from seqlake.llm import chat, common, components, decontaminate, language, licenses, packing, quality, sharding, simhash, suffix, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, spans string, shard string"
 
@@ -385,6 +385,28 @@ def test_token_count_rows(docs, empty):
     assert found[0] == found[1] == found[2] == (0, 0) and found[7][0] == 9000 and found[3][1] >= 2
 
 
+def test_tries_end_with_their_stage(spark, docs):
+    """The stages after a count run in the same Python processes."""
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        tries = sum(isinstance(x, tokens.Trie) for x in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([tries] * batch.num_rows, pa.int64())], names=["tries"])
+
+    tokens.count_tokens(docs).collect()
+    assert {r["tries"] for r in spark.range(64, numPartitions=16).mapInArrow(held, "tries long").collect()} == {0}
+
+
+def test_trie_is_shared_by_the_tasks_of_a_stage(spark):
+    pieces = spark.sparkContext.broadcast({"▁a": -1.0})
+    assert tokens.trie_of(pieces) is tokens.trie_of(pieces)
+
+
 def test_packing():
     for seed in range(20):
         r = random.Random(seed)
@@ -804,6 +826,29 @@ def test_long_texts_are_cut_alike(spark, monkeypatch):
     assert [r["kept_sha256"] for r in suffix.remove_repeats(docs).orderBy("doc_id").collect()] == [hashlib.sha256(w).hexdigest() for w in want]
 
 
+def test_batches_of_long_texts_are_bounded(spark):
+    """A partition of 48 MB comes to Python in parts; a smaller limit of the session's stays."""
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        docs = common.stage(spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 16_000).alias("text")))
+        found = [r["n"] for r in docs.coalesce(1).mapInArrow(sizes, "n long").collect()]
+        assert sum(found) >= 48_000_000 and max(found) <= 1.1 * common.BATCH
+        spark.conf.set(name, "2m")
+        common.bounded_batches(spark)
+        assert spark.conf.get(name) == "2m"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_stage_forms_take_any_columns(spark):
     """Columns that clash with helpers' names, or aren't plain names; null and repeated ids; empty tables."""
     names = ["doc_id", "text", "lang", "source", "_id", "_h", "_", "a.b", "bad_id", "bad_hash", "text_hash", "h", "k", "k2", "rest", "c0", "kept", "out", "BAD_ID_"]
