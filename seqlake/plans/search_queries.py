@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import SearchConfig
 from ..operators import batches, stats
-from ..operators.align import gapless
+from ..operators.align import gapless_best
 from ..operators.blocks import Ranking, searched
 from ..operators.copies import members, spread
 from ..operators.index import build_index
@@ -464,7 +464,7 @@ class GaplessScore:
     """A filter: the gapless score of a pair, whose row has both sequences' letters."""
 
     def add(self, row):
-        self.n, self.score = row["n_seeds"], gapless(np.array(row["a"]), np.array(row["b"]))[0]
+        self.n, self.score = row["n_seeds"], gapless_best(np.array(row["a"]), np.array(row["b"]))
 
     def results(self):
         yield self.n, int(self.score)
